@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import chat, quality, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_substring_dedup": substring_dedup.op4,
+        "op5_chat_format": chat.op5,
+        "op9_quality_rules": quality.op9,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_chat_format": chat.OP5_SQL,
+        "op9_quality_rules": quality.OP9_SQL,
+    }
