@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, quality, substring_dedup
+from . import chat, quality, simhash, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_substring_dedup": substring_dedup.op4,
         "op5_chat_format": chat.op5,
+        "op6_simhash_near_dedup": simhash.op6,
         "op9_quality_rules": quality.op9,
     }
 
