@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, quality, simhash, substring_dedup
+from . import chat, decontam, line_dedup, mixing, quality, simhash, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_source_mixing": mixing.op1,
+        "op2_decontamination": decontam.op2,
+        "op3_line_dedup": line_dedup.op3,
         "op4_substring_dedup": substring_dedup.op4,
         "op5_chat_format": chat.op5,
         "op6_simhash_near_dedup": simhash.op6,
@@ -20,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_line_dedup": line_dedup.OP3_SQL,
         "op5_chat_format": chat.OP5_SQL,
         "op9_quality_rules": quality.OP9_SQL,
     }
