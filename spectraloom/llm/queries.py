@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, line_dedup, mixing, quality, simhash, substring_dedup
+from . import chat, decontam, langid, line_dedup, lm_score, mixing, quality, simhash, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,7 +17,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_substring_dedup": substring_dedup.op4,
         "op5_chat_format": chat.op5,
         "op6_simhash_near_dedup": simhash.op6,
+        "op7_language_id": langid.op7,
         "op9_quality_rules": quality.op9,
+        "op10_lm_scoring": lm_score.op10,
     }
 
 
@@ -26,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": line_dedup.OP3_SQL,
         "op5_chat_format": chat.OP5_SQL,
         "op9_quality_rules": quality.OP9_SQL,
+        "op10_lm_scoring": lm_score.OP10_SQL,
     }
