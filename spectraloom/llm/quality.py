@@ -50,8 +50,8 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def repeat_words(text: Column) -> Column:
-    """Words inside 3-word windows that the text holds twice or more.
+def repeat_words(w: Column) -> Column:
+    """Of an array of words: those inside 3-word windows that it holds twice or more.
 
     Windows are compared by 64-bit hash within their own text. Only texts that do have an equal pair are sorted.
     """
@@ -80,24 +80,43 @@ def repeat_words(text: Column) -> Column:
         ordered = F.array_sort(F.transform(h3, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(h3)) == F.size(h3), F.lit(0)).otherwise(let(ordered, lambda s: let(marked(s), covered)))
 
-    return let(F.transform(words(text), lambda w: F.xxhash64(w)), lambda h: let(windows(h), count)).cast("long")
+    return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: let(windows(h), count)).cast("long")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule rejects a text where `reject(text)` is true; null counts as false."""
+    """A rule rejects a text where `reject(measures)` is true; null counts as false."""
 
     name: str
-    reject: Callable[[Column], Column]
+    reject: Callable[[dict[str, Column]], Column]
+
+
+def measures(text: Column) -> dict[str, Column]:
+    """Measures as expressions over the text, each on its own, so that a rule evaluates only what it needs."""
+    return {
+        "n_words": word_count(text),
+        "word_chars": word_chars(text),
+        "n_symbols": symbol_count(text),
+        "n_lines": line_count(text),
+        "n_dup_lines": duplicate_lines(text),
+        "n_repeat_words": repeat_words(words(text)),
+    }
+
+
+def all_measures(text: Column) -> Column:
+    """All measures as one struct that splits the text once."""
+    by_word = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words")))
+    by_line = let(lines(text), lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+    return F.struct(by_word.alias("words"), by_line.alias("lines"), word_chars(text).alias("word_chars"), symbol_count(text).alias("n_symbols"))
 
 
 RULES = (
-    Rule("few_words", lambda t: word_count(t) < 50),
-    Rule("repeated_words", lambda t: repeat_words(t) * 100 > word_count(t) * 50),
-    Rule("symbols", lambda t: symbol_count(t) * 10 > word_count(t)),
-    Rule("short_words", lambda t: word_chars(t) < word_count(t) * 3),
-    Rule("long_words", lambda t: word_chars(t) > word_count(t) * 12),
-    Rule("repeated_lines", lambda t: duplicate_lines(t) * 2 > line_count(t)),
+    Rule("few_words", lambda m: m["n_words"] < 50),
+    Rule("repeated_words", lambda m: m["n_repeat_words"] * 100 > m["n_words"] * 50),
+    Rule("symbols", lambda m: m["n_symbols"] * 10 > m["n_words"]),
+    Rule("short_words", lambda m: m["word_chars"] < m["n_words"] * 3),
+    Rule("long_words", lambda m: m["word_chars"] > m["n_words"] * 12),
+    Rule("repeated_lines", lambda m: m["n_dup_lines"] * 2 > m["n_lines"]),
 )
 SAMPLE_ROWS = 2000  # only the order of the rules depends on the sample, never a verdict
 
@@ -117,16 +136,16 @@ def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
     idle = min(measured(F.col("text").isNull())[0] for _ in range(2))
     gain = {}
     for rule in rules:
-        took, share = measured(rule.reject(F.col("text")))
+        took, share = measured(rule.reject(measures(F.col("text"))))
         gain[rule.name] = share / max(took - idle, 1e-3)
     return sorted(rules, key=lambda r: -gain[r.name])
 
 
-def verdict(text: Column, rules: list[Rule]) -> Column:
-    """Name of the first rule that rejects the text, else null; later rules aren't evaluated once one has."""
+def verdict(m: dict[str, Column], rules: list[Rule]) -> Column:
+    """Name of the first rule that rejects, else null; later rules aren't evaluated once one has."""
     out = None
     for rule in rules:
-        condition = F.coalesce(rule.reject(text), F.lit(False))
+        condition = F.coalesce(rule.reject(m), F.lit(False))
         out = F.when(condition, rule.name) if out is None else out.when(condition, rule.name)
     return F.lit(None).cast("string") if out is None else out
 
@@ -136,19 +155,18 @@ def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows
 
     A null or empty text has no words and fails `few_words`. Repeated rows are judged alike; an empty table stays empty.
     """
-    return docs.where(verdict(F.col("text"), ordered_rules(docs, rules, sample_rows)).isNull())
+    return docs.where(verdict(measures(F.col("text")), ordered_rules(docs, rules, sample_rows)).isNull())
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rules = ordered_rules(docs)
-    text = F.col("text")
-    base = {"n_words": word_count(text), "word_chars": word_chars(text), "n_symbols": symbol_count(text), "n_dup_lines": duplicate_lines(text), "n_repeat_words": repeat_words(text)}
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    out = docs.select("doc_id", all_measures(F.col("text")).alias("m")).select("doc_id", "m.words.*", "m.lines.*", "m.word_chars", "m.n_symbols")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     rest = [r for r in rules if r.name not in ("few_words", "repeated_words")]  # those two are base_failed
-    out = docs.select("doc_id", "text", *(c.alias(n) for n, c in base.items())).withColumn("base_failed", failed)
-    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict(text, rest).isNull())
-    return out.select("doc_id", *base, "base_failed", kept.alias("kept"))
+    kept = F.when(failed, F.lit(False)).otherwise(verdict({n: F.col(n) for n in out.columns}, rest).isNull())
+    return out.select("doc_id", *base, failed.alias("base_failed"), kept.alias("kept"))
 
 
 OP9_SQL = r"""
