@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, line_dedup, lm_score, mixing, quality, simhash, substring_dedup
+from . import chat, decontam, langid, line_dedup, lm_score, mixing, quality, simhash, substring_dedup, suffix_array
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_chat_format": chat.op5,
         "op6_simhash_near_dedup": simhash.op6,
         "op7_language_id": langid.op7,
+        "op8_suffix_array_dedup": suffix_array.op8,
         "op9_quality_rules": quality.op9,
         "op10_lm_scoring": lm_score.op10,
     }
