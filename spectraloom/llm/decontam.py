@@ -173,3 +173,14 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float
 
 def op2(spark, sf_dir: str) -> DataFrame:
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """Rows of `docs` whose text leaks no item, all columns kept.
+
+    Whether a row goes depends on its text alone (see `leaks`), so a null or repeated doc_id makes no
+    difference and rows with equal texts share their fate. Null texts stay. No column may be named __leak.
+    """
+    keyed = docs.withColumn("__leak", F.xxhash64("text"))
+    found = leaks(keyed.select(F.col("__leak").alias("doc_id"), "text"), items, shingle, threshold)
+    return keyed.join(found.select(F.col("doc_id").alias("__leak")).distinct(), "__leak", "left_anti").drop("__leak")

@@ -31,8 +31,8 @@ class Mixture:
     seed: int = 1
 
 
-HALVINGS = 5  # bisection steps that one pass over the source totals settles
-PASSES = 8
+HALVINGS = 6  # bisection steps that one pass over the source totals settles
+PASSES = 5
 
 
 def exponent(totals: DataFrame, mixture: Mixture) -> tuple[float, float, int]:

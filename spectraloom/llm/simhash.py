@@ -45,14 +45,15 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long. Null, empty and blank texts get zero."""
+    """(doc_id, text_hash, fp): fp is the fingerprint's 64 bits as a signed long. Null, empty and blank texts get zero."""
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(bytes(t), shingle) for t in H.text_bytes(batch["text"])], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(fps)], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def shared_bytes(x: np.ndarray) -> np.ndarray:
@@ -157,7 +158,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: documents whose fingerprints are chained by pairs within the radius.
+    """(doc_id, text_hash, fp, component_id) for every row: documents whose fingerprints are chained by pairs within the radius.
 
     component_id is the smallest doc_id of the chain. Texts that are null, empty or blank have fingerprint
     zero and are linked like any other. A null doc_id is in its group but is never the smallest unless the
@@ -171,7 +172,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(classes, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -181,3 +182,16 @@ def hex_digits(fp: Column) -> Column:
 def op6(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """Rows of `docs`, all columns kept, without those of a near-duplicate group but its smallest doc_id.
+
+    Repeated rows of that doc_id are one document and stay. A row with a null doc_id goes if its group has
+    an id, else it stays. No column may have a name that begins with __near.
+    """
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    loser = near_duplicates(docs, shingle).where(~stays).select(F.col("doc_id").alias("__near_id"), F.col("text_hash").alias("__near_text")).distinct()
+    keyed = docs.withColumn("__near_key", F.xxhash64("text"))
+    gone = F.col("doc_id").cast("long").eqNullSafe(F.col("__near_id")) & (F.col("__near_key") == F.col("__near_text"))
+    return keyed.join(loser, gone, "left_anti").drop("__near_key")
