@@ -1,11 +1,56 @@
-"""Corpus pipeline: quality rules, line dedup, near-dedup, decontamination and mixing, one after the other."""
+"""Corpus pipeline over `documents`: quality rules, line dedup, SimHash near-dedup, decontamination, source mixing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the
+last return the columns of `documents`; the last adds how often the mixture takes each document.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spectraloom.llm import decontam, line_dedup, mixing, quality, simhash
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no rule rejects."""
+    return quality.quality_filter(docs).select(*COLUMNS)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without lines whose template recurs; n_chars follows the text."""
+    out = line_dedup.drop_recurring_lines(docs.select(*COLUMNS))
+    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n_chars).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest doc_id, of each group that SimHash links."""
+    return simhash.drop_near_duplicates(docs.select(*COLUMNS))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontam.decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with `copies`: sources as even as they can be with each gone through once to four times."""
+    return mixing.mix_sources(docs.select(*COLUMNS), mixing.Mixture(entropy=None, repeats=4.0, cover=True))
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", dedup_lines),
+    ("simhash_near_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("source_mixing", mix),
+]
+ORACLE_SQL = None  # SimHash and exponent search have no SQL form; tests compare with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
