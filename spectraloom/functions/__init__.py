@@ -1 +1 @@
-
+"""Column expressions and NumPy kernels."""
