@@ -14,12 +14,31 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 ROWS = "block long, bucket long, ask binary, extra binary"
 ANSWERS = "block long, bucket long, answer binary"
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, block, packed) from (doc_id, block, text): texts go through the shuffle zstd-compressed; null stays null."""
+
+    def run(batches):
+        zipper = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            texts = pa.array([None if t is None else zipper.compress(t) for t in batch["text"].cast(pa.large_binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["block"], texts], names=["doc_id", "block", "packed"])
+
+    return docs.select("doc_id", "block", "text").mapInArrow(run, "doc_id long, block long, packed binary")
+
+
+def unpacked(table: pa.Table) -> list[memoryview]:
+    """Texts of a table of `packed` rows as UTF-8 bytes; null as empty."""
+    unzipper = zstandard.ZstdDecompressor()
+    return [memoryview(b"" if t is None else unzipper.decompress(t)) for t in table["packed"].to_pylist()]
+
+
 def ask_rows(block: int, asked: list[tuple[int, bytes, bytes]]) -> pa.Table:
     """asked: bucket, packed hashes, packed extras."""
     return pa.table(

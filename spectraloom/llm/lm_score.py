@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .exchange import ask_rows, exchange
+from .exchange import ask_rows, exchange, packed, unpacked
 from .runtime import block_count
 
 ORDER = 3
@@ -57,7 +57,7 @@ def backoff_scores(docs: DataFrame, min_count: int = 2, block_bytes: int = BLOCK
         return H.window_hashes(words, counts, n)
 
     def ask(table: pa.Table) -> pa.Table:
-        words, counts = H.word_hashes(H.text_bytes(table["text"]))
+        words, counts = H.word_hashes(unpacked(table))
         asked = []
         for n in range(1, ORDER + 1):
             distinct, times = np.unique(grams(words, counts, n)[0], return_counts=True)
@@ -77,7 +77,7 @@ def backoff_scores(docs: DataFrame, min_count: int = 2, block_bytes: int = BLOCK
         return [H.pack_counts(x) for x in np.split(out, np.cumsum([len(p) for p in parts])[:-1])]
 
     def finish(table: pa.Table, got: dict[int, bytes]) -> pa.Table:
-        words, counts = H.word_hashes(H.text_bytes(table["text"]))
+        words, counts = H.word_hashes(unpacked(table))
         count_at = []  # by order, at each window's first word
         for n in range(1, ORDER + 1):
             hashes, starts = grams(words, counts, n)
@@ -109,7 +109,7 @@ def backoff_scores(docs: DataFrame, min_count: int = 2, block_bytes: int = BLOCK
         )
 
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    return exchange(dealt, ask, answer, finish, OUT)
+    return exchange(packed(dealt), ask, answer, finish, OUT)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

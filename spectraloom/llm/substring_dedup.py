@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .exchange import ask_rows, exchange
+from .exchange import ask_rows, exchange, packed, unpacked
 from .runtime import BLOCK_BYTES, block_count
 
 OUT = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string"
@@ -47,7 +47,7 @@ def repeated_windows(docs: DataFrame, window: int = 13, block_bytes: int = BLOCK
         return pd.Series(np.searchsorted(shared.value, ids.to_numpy(), side="right"))
 
     def hashes(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[memoryview]]:
-        texts = H.text_bytes(table["text"])
+        texts = unpacked(table)
         words, counts = H.word_hashes(texts)
         found, starts = H.window_hashes(words, counts, window)
         return found, starts, np.repeat(table["doc_id"].to_numpy(), counts), counts, texts
@@ -91,7 +91,7 @@ def repeated_windows(docs: DataFrame, window: int = 13, block_bytes: int = BLOCK
             yield pa.RecordBatch.from_pylist([_row(None, w, np.zeros(len(w), dtype=bool)) for w in words], schema=ARROW)
 
     dealt = known.withColumn("block", block_of("doc_id"))
-    return exchange(dealt, ask, answer, finish, OUT).unionByName(docs.where(F.col("doc_id").isNull()).mapInArrow(alone, OUT))
+    return exchange(packed(dealt), ask, answer, finish, OUT).unionByName(docs.where(F.col("doc_id").isNull()).mapInArrow(alone, OUT))
 
 
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string())])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .exchange import ANSWERS, ROWS, ask_rows
+from .exchange import ANSWERS, ROWS, ask_rows, packed, unpacked
 from .runtime import BLOCK_BYTES, block_count
 
 GRAM = 16  # bytes of an anchor
@@ -203,8 +203,8 @@ def repeated_bytes(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
     buckets = max(blocks, docs.sparkSession.sparkContext.defaultParallelism)
 
     def texts_of(table: pa.Table) -> tuple[pa.Table, list[memoryview]]:
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])  # starts count through the block
-        return table, H.text_bytes(table["text"])
+        table = table.sort_by([("doc_id", "ascending"), ("packed", "ascending")])  # starts count through the block
+        return table, unpacked(table)
 
     def classes(texts: list[memoryview]):
         first, n, group, kind = runs(texts, length)
@@ -320,6 +320,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
         return pa.Table.from_pylist(rows, schema=ARROW)
 
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    dealt = packed(dealt)
     one = dealt.groupBy("block").applyInArrow(ask, ROWS).groupBy("bucket").applyInArrow(judged, ANSWERS)
     two = dealt.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(ask_again, ROWS).groupBy("bucket").applyInArrow(answered, ANSWERS)
     return dealt.groupBy("block").cogroup(two.groupBy("block")).applyInArrow(finish, OUT)
