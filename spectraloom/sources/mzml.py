@@ -50,21 +50,19 @@ def decode(params, text: str | None) -> np.ndarray:
     return np.frombuffer(raw, dtype="<f4" if FLOAT32 in names else "<f8").astype(np.float64)
 
 
-def _spectrum(row) -> tuple:
-    scans = (row["scanList"] or {}).get("scan") if row["scanList"] is not None else None
-    start, unit = _value(scans[0]["cvParam"] if scans is not None and len(scans) else None, SCAN_START)
+def _spectrum(row: dict) -> tuple:
+    start, unit = _value(row["scan"], SCAN_START)
     rt = float(start) * (60.0 if unit == MINUTE else 1.0) if start is not None else None
-    ahead = (row["precursorList"] or {}).get("precursor") if row["precursorList"] is not None else None
-    window = ahead[0]["isolationWindow"]["cvParam"] if ahead is not None and len(ahead) and ahead[0]["isolationWindow"] is not None else None
-    arrays = {}
-    for a in (row["binaryDataArrayList"] or {}).get("binaryDataArray") or [] if row["binaryDataArrayList"] is not None else []:
-        for name in (MZ_ARRAY, INTENSITY_ARRAY):
+    arrays = {MZ_ARRAY: np.empty(0), INTENSITY_ARRAY: np.empty(0)}
+    for a in row["arrays"] if row["arrays"] is not None else []:
+        for name in arrays:
             if any(p["_accession"] == name for p in a["cvParam"]):
                 arrays[name] = decode(a["cvParam"], a["binary"])
-    mz, intensity = arrays.get(MZ_ARRAY, np.empty(0)), arrays.get(INTENSITY_ARRAY, np.empty(0))
+    mz, intensity = arrays.values()
     order = np.argsort(mz, kind="stable")
-    level = _number(row["cvParam"], MS_LEVEL)
-    return row["file"], row["_id"], row["_index"], int(level) if level is not None else None, rt, mz[order].tolist(), intensity[order].tolist(), *(_number(window, k) for k in (TARGET, LOWER, UPPER))
+    level = _number(row["params"], MS_LEVEL)
+    window = (_number(row["window"], k) for k in (TARGET, LOWER, UPPER))
+    return row["file"], row["_id"], row["_index"], int(level) if level is not None else None, rt, mz[order].tolist(), intensity[order].tolist(), *window
 
 
 def read_mzml(spark: SparkSession, path: str) -> DataFrame:
@@ -76,7 +74,16 @@ def read_mzml(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame([_spectrum(r) for r in pdf.to_dict("records")], columns=names)
 
     rows = spark.read.format("xml").option("rowTag", "spectrum").option("attributePrefix", "_").schema(SCHEMA).load(path)
-    return rows.withColumn("file", F.input_file_name()).mapInPandas(run, OUT)
+    flat = rows.select(
+        F.input_file_name().alias("file"),
+        "_id",
+        "_index",
+        F.col("cvParam").alias("params"),
+        F.get("scanList.scan", F.lit(0))["cvParam"].alias("scan"),
+        F.get("precursorList.precursor", F.lit(0))["isolationWindow"]["cvParam"].alias("window"),
+        F.col("binaryDataArrayList.binaryDataArray").alias("arrays"),
+    )
+    return flat.mapInPandas(run, OUT)
 
 
 def write_partitioned(spectra: DataFrame, path: str, interval: float = 120.0) -> None:
