@@ -4,15 +4,13 @@ A long table has one row for each expected or observed fragment of a PSM: keys,
 x (observed) and p (predicted). Nothing is pivoted, so peptidoforms may have any fragments.
 """
 
-from typing import Any
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..functions import kernels as K
 
 KEYS = ["peptide", "charge"]
 
@@ -85,20 +83,46 @@ def pair_correlations(long: DataFrame, entity: str, axis: str, keys: list[str] =
     return pairs.groupBy(*keys, "a", "b").agg(X.safe_corr(F.col("xa"), F.col("xb"), None).alias("correlation"), F.count(F.lit(1)).alias("n"))
 
 
+def unit_vector(x: Column) -> Column:
+    """An array centred and scaled to length 1, so that the product of two is their correlation; null if it does not vary."""
+    n = F.size(x)
+    add = lambda s, v: s + v
+    mean = F.try_divide(F.aggregate(x, F.lit(0.0), add), n)
+
+    def scaled(m: Column) -> Column:
+        centred = F.transform(x, lambda v: v - m)
+        length = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda s, v: s + v * v))
+        return F.when(length > F.sqrt(n.cast("double")) * 1e-9 * (1 + F.abs(m)), F.transform(centred, lambda v: v / length))
+
+    return F.element_at(F.transform(F.array(mean), scaled), 1)
+
+
+def squared_pairs(vectors: Column) -> Column:
+    """Ascending squares of the products of all pairs of different unit vectors, each pair in both orders; null vectors are left out."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    known = F.filter(vectors, lambda v: v.isNotNull())
+
+    def pairs(v: Column) -> Column:
+        below = F.transform(v, lambda a, i: F.transform(F.slice(v, 1, i), lambda b: F.pow(dot(a, b), F.lit(2.0))))
+        return F.flatten(below)
+
+    once = F.element_at(F.transform(F.array(known), pairs), 1)
+    return F.sort_array(F.element_at(F.transform(F.array(once), lambda o: F.concat(o, o)), 1))
+
+
 def corr_features(long: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """(keys, psm_matrix, fragment_matrix): ascending squared correlations between PSMs and between observed fragments.
 
-    One Arrow group per peptidoform; the matrices exist in the task only.
+    Vectors are gathered by aggregates and multiplied as arrays in the JVM: no pairs of rows, no Python.
     """
 
-    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf[pdf["observed"] == 1].pivot_table(index="psm_id", columns="fragment_name", values="x", fill_value=0.0)
-        full = pdf.pivot_table(index="psm_id", columns="fragment_name", values="x", fill_value=0.0)
-        return pd.DataFrame([[*key, K.squared_off_diagonal(full.to_numpy()).tolist(), K.squared_off_diagonal(m.to_numpy().T).tolist()]], columns=[*keys, "psm_matrix", "fragment_matrix"])
+    def squares(rows: DataFrame, entity: str, axis: str, name: str) -> DataFrame:
+        ordered = F.transform(F.sort_array(F.collect_list(F.struct(axis, "x"))), lambda s: s["x"])
+        vectors = rows.groupBy(*keys, entity).agg(ordered.alias("v")).select(*keys, unit_vector(F.col("v")).alias("v"))
+        # collect_list leaves null vectors out
+        return vectors.groupBy(*keys).agg(F.collect_list("v").alias("v")).select(*keys, squared_pairs(F.col("v")).alias(name))
 
-    types = dict(long.dtypes)
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "psm_matrix array<double>", "fragment_matrix array<double>"])
-    return long.groupBy(*keys).applyInPandas(run, schema)
+    return squares(long, "psm_id", "fragment_name", "psm_matrix").join(squares(long.where("observed = 1"), "fragment_name", "psm_id", "fragment_matrix"), keys)
 
 
 QUANTILES = (0, 25, 50, 75, 100)

@@ -14,22 +14,34 @@ from pyspark.sql import functions as F
 FOLDS = 3
 
 
-def tdc_qvalues(psms: DataFrame, score: str = "score", decoy: str = "is_decoy", bins: int = 0) -> DataFrame:
+RANGES = 256
+
+
+def tdc_qvalues(psms: DataFrame, score: str = "score", decoy: str = "is_decoy", ranges: int = RANGES) -> DataFrame:
     """psms with q_value: the least (decoys + 1) / targets over all thresholds at or below the row's score, at most 1.
 
-    Rows with equal scores share a threshold. Counts are made for each distinct score before the running sums,
-    so the ordered part sees one row per score; `bins` > 0 rounds scores to that many places to bound it.
+    Rows with equal scores share a threshold; null scores are below all others. Scores are cut into `ranges`
+    ranges of about equal count: the running counts start from the totals of the ranges above, the running
+    minimum is completed by those of the ranges below, so no task orders more than its own range.
     """
-    key = F.round(F.col(score), bins) if bins else F.col(score)
-    rows = psms.withColumn("__score", key.cast("double"))
+    rows = psms.withColumn("__score", F.col(score).cast("double"))
     d = F.coalesce(F.col(decoy), F.lit(False))
     steps = rows.groupBy("__score").agg(F.count_if(d).alias("__d"), F.count_if(~d).alias("__t"))
-    falling = W.orderBy(F.col("__score").desc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
-    rate = F.least((F.sum("__d").over(falling) + 1) / F.greatest(F.sum("__t").over(falling), F.lit(1)), F.lit(1.0))
-    steps = steps.withColumn("__fdr", rate)
-    rest = W.orderBy(F.col("__score").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    steps = steps.select("__score", F.min("__fdr").over(rest).alias("q_value"))
-    return rows.join(steps, rows["__score"].eqNullSafe(steps["__score"])).drop("__score")
+    cuts = psms.agg(F.percentile_approx(F.col(score).cast("double"), [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []
+    cuts = sorted(set(cuts))
+    at = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("__score"))), F.lit(0)) if cuts else F.lit(0)
+    steps = steps.withColumn("__range", F.when(F.col("__score").isNull(), -1).otherwise(at))
+    above = W.orderBy(F.col("__range").desc()).rowsBetween(W.unboundedPreceding, -1)
+    sums = steps.groupBy("__range").agg(F.sum("__d").alias("d"), F.sum("__t").alias("t"))  # at most `ranges` rows
+    start = sums.select("__range", F.coalesce(F.sum("d").over(above), F.lit(0)).alias("__d0"), F.coalesce(F.sum("t").over(above), F.lit(0)).alias("__t0"))
+    falling = W.partitionBy("__range").orderBy(F.col("__score").desc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
+    decoys, targets = F.sum("__d").over(falling) + F.col("__d0"), F.sum("__t").over(falling) + F.col("__t0")
+    rates = steps.join(start, "__range").withColumn("__fdr", F.least((decoys + 1) / F.greatest(targets, F.lit(1)), F.lit(1.0)))
+    below = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    lows = rates.groupBy("__range").agg(F.min("__fdr").alias("m")).select("__range", F.min("m").over(below).alias("__low"))
+    rising = W.partitionBy("__range").orderBy(F.col("__score").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    q = rates.join(lows, "__range").select(F.col("__score").alias("__s"), F.least(F.min("__fdr").over(rising), F.col("__low")).alias("q_value"))
+    return rows.join(q, rows["__score"].eqNullSafe(q["__s"])).drop("__score", "__s")
 
 
 def dense_network(n_features: int):
