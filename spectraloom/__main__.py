@@ -16,7 +16,7 @@ def main(argv: list[str]) -> None:
     config = merged(argv)
     write(config, f"{config.result_dir}/settings.json")
     spark = SparkSession.builder.appName("spectraloom").getOrCreate()
-    run(spark, config).write.mode("overwrite").parquet(f"{config.result_dir}/rescored")
+    run(spark, config)
 
 
 if __name__ == "__main__":

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .kernels import pearson_pvalue
 
 # The mass-shift notations that are renamed, and their names.
 MASS_SHIFTS = {
@@ -197,3 +201,9 @@ def mass_of(sequence: Column) -> Column:
     """Monoisotopic mass of an unmodified sequence; null with an unknown residue."""
     masses = F.create_map(*(F.lit(v) for kv in RESIDUES.items() for v in kv))
     return F.aggregate(F.array_remove(F.split(sequence, ""), ""), F.lit(WATER), lambda s, x: s + F.element_at(masses, x))
+
+
+@F.pandas_udf(T.DoubleType())
+def corr_pvalue(r: pd.Series, n: pd.Series) -> pd.Series:
+    """Two-tailed p of a Pearson correlation r of n pairs, null where it has none."""
+    return pd.Series([pearson_pvalue(float(a), int(b)) if pd.notna(a) and pd.notna(b) else None for a, b in zip(r, n)], dtype="float64")

@@ -5,7 +5,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
@@ -97,3 +97,11 @@ def mass_differences(peaks: DataFrame, keys: list[str], mz: str = "mz", toleranc
     pairs = pairs.withColumn("delta", F.abs(F.col("high") - F.col("low") - F.col("mass"))).where(F.col("delta") < tolerance)
     best = F.min_by(F.struct("residue", "delta"), F.struct("delta", "residue"))
     return pairs.groupBy(*keys, "low", "high").agg(best.alias("b")).select(*keys, "low", "high", "b.residue", "b.delta")
+
+
+def random_spectra(spark: SparkSession, n: int, peaks: int = 50, seed: int = 1) -> DataFrame:
+    """n seeded random spectra (scan_id, mz ascending, intensity) for trials of matching and deconvolution."""
+    at = F.sequence(F.lit(0), F.lit(peaks - 1))
+    share = lambda i, salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id", i), F.lit(1_000_000)) / 1e6
+    mz = F.sort_array(F.transform(at, lambda i: F.lit(100.0) + share(i, 1) * 1900))
+    return spark.range(n).select(F.concat(F.lit("scan="), F.col("id").cast("string")).alias("scan_id"), mz.alias("mz"), F.transform(at, lambda i: share(i, 2) * 1e4).alias("intensity"))

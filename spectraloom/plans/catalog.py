@@ -420,6 +420,12 @@ def _(spark, d):
     return pairs(spark, d, "vec_id", "dim", "any")
 
 
+@query("corr_pvalue")
+def _(spark, d):
+    p = psm(spark, d).groupBy("peptide").agg(X.safe_corr(F.col("rt"), F.col("spectrum_q"), None).alias("r"), F.count(F.lit(1)).alias("n"))
+    return p.select("peptide", r(F.col("r")).alias("r"), "n", r(X.corr_pvalue(F.col("r"), F.col("n"))).alias("p"))
+
+
 # --- distribution and top-k features
 
 QS = (0, 25, 50, 75, 100)

@@ -57,14 +57,37 @@ def peptide_windows(proteins: DataFrame, psms: DataFrame, config: EngineConfig =
 
 
 def run(spark: SparkSession, config: EngineConfig) -> DataFrame:
-    """Reads the inputs named in the settings, writes the feature table and returns it with scores and q-values."""
+    """Reads the inputs named in the settings, writes the feature table and returns it with scores and q-values.
+
+    The stages' results are cached as the settings say; with remove_intermediate_files the caches go in the
+    end, and the returned table is read from result_dir/rescored.
+    """
     began = time.time()
-    results = search_results.read(spark, [config.psm_path], [config.fragment_path], config.fdr_init_search)
+
+    def cache(read: bool, write: bool) -> tables.StageCache:
+        return tables.StageCache(spark, f"{config.result_dir}/cache", read, write)
+
+    inputs = {"psms": config.psm_path, "fragments": config.fragment_path, "fdr": config.fdr_init_search}
+    found = search_results.read(spark, [config.psm_path], [config.fragment_path], config.fdr_init_search)
+    search = cache(config.read_search_cache, config.write_search_cache)
+    results = search_results.SearchResults(*(search.get(f"search_{n}", inputs, lambda n=n: getattr(found, n)) for n in found._fields))
+    psms = without_residue(results.psms)
     spectra = mzml.read_mzml(spark, config.mzml_path)
-    cache = tables.StageCache(spark, f"{config.result_dir}/cache", config.read_correlation_cache, config.write_correlation_cache)
-    settings = {"psms": config.psm_path, "fragments": config.fragment_path, "mzml": config.mzml_path, "rt": config.rt_limit, "apex": config.apex_width, "ppm": config.ppm, "fdr": config.fdr_init_search}
-    pin = cache.get("features", settings, lambda: feature_table(results, spectra, config))
+
+    def predicted_rt() -> DataFrame:
+        first, second, _ = R.retrained(psms)
+        return R.predict_rt(psms, second if config.transfer_learn else first)
+
+    rt = cache(config.read_rt_cache, config.write_rt_cache).get("rt", {**inputs, "transfer": config.transfer_learn}, predicted_rt)
+    ions = cache(config.read_fragment_cache, config.write_fragment_cache).get("ions", inputs, lambda: S.predict_fragments(psms))
+    settings = {**inputs, "mzml": config.mzml_path, "rt": config.rt_limit, "apex": config.apex_width, "ppm": config.ppm, "count": config.min_count, "transfer": config.transfer_learn}
+    features = cache(config.read_correlation_cache, config.write_correlation_cache)
+    pin = features.get("features", settings, lambda: feature_table(results, spectra, config, rt, ions))
     tables.write_pin(pin, f"{config.result_dir}/outfile.pin")
     log.info("feature table written after %.1f s", time.time() - began)
     names = [c for c in pin.columns if c not in P.NOT_FEATURES]
-    return rescored(pin, names, model=dense_network if config.model_type == "network" else linear_model)
+    out = rescored(pin, names, model=dense_network if config.model_type == "network" else linear_model)
+    out.write.mode("overwrite").parquet(f"{config.result_dir}/rescored")
+    if config.remove_intermediate_files:
+        features.clear()
+    return spark.read.parquet(f"{config.result_dir}/rescored")

@@ -63,6 +63,11 @@ class StageCache:
         p = jvm.Path(f"{path}/_SUCCESS")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
+    def clear(self) -> None:
+        """Removes everything under the root, for runs that keep no intermediate files."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def get(self, stage: str, settings: dict, make) -> DataFrame:
         path = self.path(stage, settings)
         if self.read and self.exists(path):

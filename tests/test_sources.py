@@ -81,6 +81,27 @@ def test_mzml(spark, tmp_path):
     assert {p.name for p in (tmp_path / "parts").glob("rt_part=*")} == {"rt_part=120.0", "rt_part=240.0"}
 
 
+def test_run(spark, tmp_path):
+    """The command line's path from files to q-values."""
+    from spectraloom.operators.spectra import random_spectra
+    from spectraloom.plans.pipeline import run
+
+    peptides = [("PEPTIDEK", 2), ("ELVISK", 2), ("SAMPLER", 3), ("TESTK", 2), ("DECOYR", 2), ("KEYWRDK", 3)]
+    p = spark.createDataFrame([(i, "run", f"scan={i}", *peptides[i % 6], 0.001, i % 6 > 3, 10.0 + i % 6 + i / 100) for i in range(60)], "psm_id long, filename string, scannr string, peptide string, charge int, spectrum_q double, is_decoy boolean, rt double")
+    for c in ("fragment_ppm", "rank", "delta_next", "delta_rt_model", "matched_peaks", "longest_b", "longest_y", "matched_intensity_pct", "peptide_q", "precursor_ppm", "hyperscore", "poisson", "delta_best", "expmass", "peptide_len", "missed_cleavages", "num_proteins"):
+        p = p.withColumn(c, F.col("psm_id") * 1.0)
+    p.withColumns({"calcmass": F.lit(900.0), "proteins": F.lit("sp")}).write.parquet(str(tmp_path / "psms"))
+    f = p.select("psm_id").crossJoin(spark.createDataFrame([("b1/1",), ("b2/1",), ("y1/1",)], "fragment_name string"))
+    f.withColumn("fragment_intensity", F.pmod(F.xxhash64("psm_id", "fragment_name"), F.lit(1000)) + 1.0).write.parquet(str(tmp_path / "fragments"))
+    body = spectrum_xml(0, 1, 1.5, "UO:0000031", [451.007276466812], [2.0], 64, True) + spectrum_xml(1, 2, 95.0, "UO:0000010", [100.5], [7.0], 32, False, 500.0)
+    (tmp_path / "run.mzML").write_text(f"<mzML><run><spectrumList>{body}</spectrumList></run></mzML>")
+    config = C.EngineConfig(mzml_path=str(tmp_path / "run.mzML"), psm_path=str(tmp_path / "psms"), fragment_path=str(tmp_path / "fragments"), result_dir=str(tmp_path / "out"), rt_limit=10.0, write_search_cache=True, write_rt_cache=True, write_fragment_cache=True, write_correlation_cache=True)
+    got = run(spark, config)
+    assert got.count() == 6 and {"score", "q_value"} <= set(got.columns) and len(list((tmp_path / "out/cache").iterdir())) == 7
+    assert run(spark, C.EngineConfig(**{**vars(config), "remove_intermediate_files": True})).count() == 6 and not (tmp_path / "out/cache").exists()
+    assert random_spectra(spark, 3).where(F.size("mz") == 50).count() == 3
+
+
 def test_settings(tmp_path):
     file = tmp_path / "c.json"
     file.write_text(json.dumps({"ppm": 15, "rt_limit": 0.1, "min_count": "3", "enzyme": {"kr": 1}}))
