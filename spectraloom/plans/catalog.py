@@ -730,12 +730,14 @@ def _(spark, d):
 def spectra(spark, d):
     """A file per user, scans in event order, MS1 scans with the peaks of a vector."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), F.transform("embedding", lambda x, i: F.lit(100.0) + i.cast("double") * F.lit(0.5)).alias("mz"), F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("intensity"))
-    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("file"), F.col("event_id").cast("string").alias("scan_id"), F.col("event_id").alias("scan_index"), F.when(F.col("event_type") == "error", 1).otherwise(2).alias("ms_level"), (F.col("event_id") % 500).alias("k"))
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("file"), F.col("event_id").cast("string").alias("scan_id"), F.col("event_id").alias("scan_index"), F.when(F.col("event_type") == "error", 1).otherwise(2).alias("ms_level"), "event_id")
+    n = v.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"))
+    e = e.crossJoin(F.broadcast(n)).withColumn("k", F.col("event_id") % F.col("n"))  # a table of one row
     return e.join(v, e["k"] == v["v"]).select("file", "scan_id", "scan_index", "ms_level", "mz", "intensity")
 
 
 SPECTRA = """
-sp AS (SELECT user_id, event_id, event_type, embedding[1:64] AS e FROM events JOIN embeddings ON event_id % 500 = vec_id)"""
+sp AS (SELECT user_id, event_id, event_type, embedding[1:64] AS e FROM events JOIN embeddings ON event_id % (SELECT count(*) FROM embeddings) = vec_id)"""
 
 
 def peak_sql(target: str) -> str:
@@ -800,7 +802,7 @@ def _(spark, d):
 @query("lasso_deconvolution")
 def _(spark, d):
     f = A.dense_ranks(own(spark, d), ["psm_id"], F.col("fragment_name"), "peak_identifier")
-    f = f.select((F.col("psm_id") % 500).cast("string").alias("scannr"), "peak_identifier", X.peptidoform(F.col("peptide"), F.col("charge")).alias("peptidoform"), "fragment_name", "fragment_intensity")
+    f = f.select(F.floor(F.col("psm_id") / 30).cast("string").alias("scannr"), "peak_identifier", X.peptidoform(F.col("peptide"), F.col("charge")).alias("peptidoform"), "fragment_name", "fragment_intensity")
     p = M.normalised_predictions(predictions(spark, d)).select(X.peptidoform(F.col("peptide"), F.col("charge")).alias("peptidoform"), "fragment_name", "predicted")
     return S.deconvolved(f, p, 0.001).withColumn("coefficient", r(F.col("coefficient")))
 
@@ -826,7 +828,7 @@ def _(spark, d):
 @query("fragment_annotation")
 def _(spark, d):
     p = psm(spark, d).select("psm_id", F.col("psm_id").cast("string").alias("scannr"), F.translate("peptide", "0123456789", "GASPVTCLNK").alias("peptide"), "charge")
-    return S.annotate(p, spectra(spark, d), 200.0).withColumn("fragment_intensity", r(F.col("fragment_intensity")))
+    return S.annotate(p, spectra(spark, d), 5000.0).withColumn("fragment_intensity", r(F.col("fragment_intensity")))
 
 
 @query(
