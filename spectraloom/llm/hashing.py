@@ -79,7 +79,7 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[memoryview]:
     return out
 
 
-CHUNK = 1 << 20
+CHUNK = 3 << 18  # a batch fits the power tables of 2**20 entries
 
 
 def word_hashes(texts: list[memoryview]) -> tuple[np.ndarray, np.ndarray]:
@@ -135,12 +135,17 @@ def window_hashes(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.
     """Rabin-Karp hash of every window of `size` words inside one text, and each window's first word."""
     if len(words) < size:
         return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-    prefix = prefix_sums(words, WORD_BASE)
     inside = np.ones(len(words) + 1, dtype=bool)
     for end in np.cumsum(counts).tolist():
         inside[max(0, end - size + 1) : end] = False
     starts = np.flatnonzero(inside[: len(words) - size + 1])
-    return span_hashes(prefix, starts, starts + size, WORD_BASE), starts
+    if size > 4:
+        return span_hashes(prefix_sums(words, WORD_BASE), starts, starts + size, WORD_BASE), starts
+    code = words[starts]  # a few terms are summed at once, without tables of powers
+    for j in range(1, size):
+        code *= np.uint64(WORD_BASE)
+        code += words[j:][starts]
+    return mix64(code + np.uint64(size)), starts
 
 
 _ZIP = zstandard.ZstdCompressor(level=1)

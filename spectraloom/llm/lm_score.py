@@ -82,6 +82,7 @@ def backoff_scores(docs: DataFrame, min_count: int = 2, block_bytes: int = BLOCK
         for n in range(1, ORDER + 1):
             hashes, starts = grams(words, counts, n)
             distinct, place = np.unique(hashes, return_inverse=True)
+            del hashes
             edges = H.bucket_edges(distinct, buckets)
             totals = np.zeros(len(distinct), dtype=np.int64)
             for b in range(buckets):
@@ -90,6 +91,7 @@ def backoff_scores(docs: DataFrame, min_count: int = 2, block_bytes: int = BLOCK
             at = np.zeros(len(words) + 1, dtype=np.int64)
             at[starts] = totals[place]
             count_at.append(at)
+            del distinct, place, totals, starts
         one, two, three = count_at
         place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
         g = np.arange(len(words))
