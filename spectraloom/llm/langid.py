@@ -18,7 +18,8 @@ DIMS = 2048
 ORDERS = (1, 2, 3, 4)
 LETTER = regex.compile(r"\p{L}")
 TRAIN_ROWS = 1200  # documents of each language that training may look at; a bound, not a share
-MAX_LANGS = 400
+TRAIN_TOTAL = 20_000  # documents over all languages, 8 KB of features each on the driver
+MAX_LANGS = 400  # the most frequent ones are learned
 
 
 def features(text: bytes) -> np.ndarray:
@@ -131,6 +132,7 @@ def train(labelled: DataFrame, rows_per_lang: int = TRAIN_ROWS) -> Model | None:
     if not counts:
         return None
     names = sorted(counts)
+    rows_per_lang = min(rows_per_lang, TRAIN_TOTAL // len(names))
     share = F.lit(0.0)
     for name in names:
         share = F.when(F.col("lang") == name, min(1.0, rows_per_lang / counts[name])).otherwise(share)
