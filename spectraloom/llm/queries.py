@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_line_dedup": line_dedup.OP3_SQL,
+        "op4_substring_dedup": substring_dedup.OP4_SQL,
         "op5_chat_format": chat.OP5_SQL,
         "op9_quality_rules": quality.OP9_SQL,
         "op10_lm_scoring": lm_score.OP10_SQL,
