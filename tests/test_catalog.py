@@ -1,6 +1,8 @@
 """Every catalogued query against its SQL in DuckDB at the smallest size, and the whole plan end to end."""
 
+import importlib.util
 import math
+import sys
 from pathlib import Path
 
 import duckdb
@@ -53,6 +55,19 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_entry_without_the_text_operators(monkeypatch):
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)  # importing it now raises ImportError
+    spec = importlib.util.spec_from_file_location("entry_alone", Path(__spark_entry__.__file__))
+    entry = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(entry)
+    assert set(entry.queries()) == set(catalog.QUERIES) and set(entry.oracle_sql()) == set(catalog.ORACLE)
+
+
+def test_nothing_else_imports_the_text_operators():
+    root = Path(catalog.__file__).parents[1]
+    assert not [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts and "llm" in p.read_text()]
+
+
 def test_whole_plan(spark):
     peptides = [("PEPTIDEK", 2), ("ELVISK", 2), ("SAMPLER", 3)]
     psms = [(i, "run", f"scan={i % 6}", *peptides[i % 3], 0.001, i % 5 == 0, 10.0 + i % 3 + i / 100) for i in range(30)]
