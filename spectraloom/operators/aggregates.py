@@ -43,9 +43,13 @@ def collapse(df: DataFrame, keys: list[str], largest: list[str] = (), least: lis
 
 
 def with_counts(df: DataFrame, key: str = "peptide", least: int = 2) -> DataFrame:
-    """Rows of keys that occur `least` times or more, with count; null keys go."""
-    count = F.count(F.lit(1)).over(W.partitionBy(key)).alias("count")
-    return df.where(F.col(key).isNotNull()).select("*", count).where(F.col("count") >= least)
+    """Rows of keys that occur `least` times or more, with count; null keys go.
+
+    Counting combines before the shuffle and the join is one to many, so Spark can broadcast few counts and
+    split a frequent key, which a window could not.
+    """
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= least)
+    return df.join(counts, key)
 
 
 def multi_agg(df: DataFrame, keys: list[str], value: str) -> DataFrame:
