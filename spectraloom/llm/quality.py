@@ -29,10 +29,6 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def word_chars(text: Column) -> Column:
-    return F.length(F.array_join(words(text), "")).cast("long")
-
-
 def symbol_count(text: Column) -> Column:
     return F.coalesce(F.octet_length(text) - F.octet_length(F.regexp_replace(text, SYMBOLS, "")), F.lit(0)).cast("long")
 
@@ -91,15 +87,15 @@ class Rule:
     reject: Callable[[dict[str, Column]], Column]
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """Measures as expressions over the text, each on its own, so that a rule evaluates only what it needs."""
+def measures(w: Column, text: Column) -> dict[str, Column]:
+    """Measures as expressions over a text and its words, each on its own, so that a rule evaluates only what it needs."""
     return {
-        "n_words": word_count(text),
-        "word_chars": word_chars(text),
+        "n_words": F.size(w).cast("long"),
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
         "n_symbols": symbol_count(text),
         "n_lines": line_count(text),
         "n_dup_lines": duplicate_lines(text),
-        "n_repeat_words": repeat_words(words(text)),
+        "n_repeat_words": repeat_words(w),
     }
 
 
@@ -136,7 +132,7 @@ def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
     idle = min(measured(F.col("text").isNull())[0] for _ in range(2))
     gain = {}
     for rule in rules:
-        took, share = measured(rule.reject(measures(F.col("text"))))
+        took, share = measured(first_rejection(F.col("text"), [rule]).isNotNull())
         gain[rule.name] = share / max(took - idle, 1e-3)
     return sorted(rules, key=lambda r: -gain[r.name])
 
@@ -150,12 +146,17 @@ def verdict(m: dict[str, Column], rules: list[Rule]) -> Column:
     return F.lit(None).cast("string") if out is None else out
 
 
+def first_rejection(text: Column, rules: list[Rule]) -> Column:
+    """`verdict` of a text: it is split into words once, everything else is evaluated as rules ask for it."""
+    return let(words(text), lambda w: verdict(measures(w, text), rules))
+
+
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Rows of `docs` that no rule rejects, all columns kept.
 
     A null or empty text has no words and fails `few_words`. Repeated rows are judged alike; an empty table stays empty.
     """
-    return docs.where(verdict(measures(F.col("text")), ordered_rules(docs, rules, sample_rows)).isNull())
+    return docs.where(first_rejection(F.col("text"), ordered_rules(docs, rules, sample_rows)).isNull())
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
