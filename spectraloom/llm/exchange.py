@@ -17,20 +17,27 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from . import hashing as H
+
 ROWS = "block long, bucket long, ask binary, extra binary"
 ANSWERS = "block long, bucket long, answer binary"
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, block, packed) from (doc_id, block, text): texts go through the shuffle zstd-compressed; null stays null."""
+def packed(docs: DataFrame, place: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(doc_id, block, packed) from (doc_id, text) and either a column `block` or a function of the ids.
+
+    Texts go through the shuffle zstd-compressed; null stays null.
+    """
 
     def run(batches):
         zipper = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            texts = pa.array([None if t is None else zipper.compress(t) for t in batch["text"].cast(pa.large_binary()).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["block"], texts], names=["doc_id", "block", "packed"])
+            null = batch["text"].is_null().to_pylist()
+            texts = pa.array([None if n else zipper.compress(t) for t, n in zip(H.text_bytes(batch["text"]), null)], pa.binary())
+            block = batch["block"] if place is None else pa.array(place(batch["doc_id"].to_numpy()), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], block, texts], names=["doc_id", "block", "packed"])
 
-    return docs.select("doc_id", "block", "text").mapInArrow(run, "doc_id long, block long, packed binary")
+    return docs.select("doc_id", "text", *(["block"] if place is None else [])).mapInArrow(run, "doc_id long, block long, packed binary")
 
 
 def unpacked(table: pa.Table) -> list[memoryview]:

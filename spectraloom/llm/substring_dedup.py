@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
 from itertools import compress
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,10 +40,6 @@ def repeated_windows(docs: DataFrame, window: int = 13, block_bytes: int = BLOCK
     bounds = np.array((known.agg(F.percentile_approx("doc_id", cuts, 20 * blocks)).first()[0] or []) if cuts else [], dtype=np.int64)
     shared = spark.sparkContext.broadcast(bounds)  # one long for each block
 
-    @F.pandas_udf("long")
-    def block_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(shared.value, ids.to_numpy(), side="right"))
-
     def hashes(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[memoryview]]:
         texts = unpacked(table)
         words, counts = H.word_hashes(texts)
@@ -90,8 +84,8 @@ def repeated_windows(docs: DataFrame, window: int = 13, block_bytes: int = BLOCK
             words = [bytes(t).split() for t in H.text_bytes(batch["text"])]
             yield pa.RecordBatch.from_pylist([_row(None, w, np.zeros(len(w), dtype=bool)) for w in words], schema=ARROW)
 
-    dealt = known.withColumn("block", block_of("doc_id"))
-    return exchange(packed(dealt), ask, answer, finish, OUT).unionByName(docs.where(F.col("doc_id").isNull()).mapInArrow(alone, OUT))
+    dealt = packed(known, lambda ids: np.searchsorted(shared.value, ids, side="right"))
+    return exchange(dealt, ask, answer, finish, OUT).unionByName(docs.where(F.col("doc_id").isNull()).mapInArrow(alone, OUT))
 
 
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string())])
