@@ -37,7 +37,8 @@ def aligned(fragments: DataFrame, predictions: DataFrame, keys: list[str] = KEYS
     names = seen.select(*keys, "fragment_name").unionByName(p.select(*keys, "fragment_name")).distinct()
     known = names.join(p.select(*keys).distinct(), keys, "left_semi").join(p, [*keys, "fragment_name"], "left")
     grid = seen.select(*keys, "psm_id").distinct().join(known, keys)
-    rows = grid.join(seen, [*keys, "psm_id", "fragment_name"], "left")
+    # dealt by peptidoform: the windows here and every aggregate that follows find their groups in place
+    rows = grid.join(seen, [*keys, "psm_id", "fragment_name"], "left").repartition(*keys)
     x = F.coalesce("fragment_intensity", F.lit(0.0))
     top = F.max(x).over(W.partitionBy(*keys, "psm_id"))
     return rows.select(*keys, "psm_id", "fragment_name", X.safe_divide(x, top).alias("x"), F.coalesce("predicted", F.lit(0.0)).alias("p"), F.max(F.when(F.col("fragment_intensity").isNotNull(), 1).otherwise(0)).over(W.partitionBy(*keys, "fragment_name")).alias("observed"))
@@ -110,19 +111,32 @@ def squared_pairs(vectors: Column) -> Column:
     return F.sort_array(F.element_at(F.transform(F.array(once), lambda o: F.concat(o, o)), 1))
 
 
-def corr_features(long: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """(keys, psm_matrix, fragment_matrix): ascending squared correlations between PSMs and between observed fragments.
+def matrices(long: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """One row per peptidoform: psms (array of struct(psm_id, x)), p and observed, x, p and observed in the order of fragment names."""
+    s = F.sort_array(F.collect_list(F.struct("fragment_name", "x", "p", "observed")))
+    part = lambda name: F.transform("s", lambda e: e[name])
+    by_psm = long.groupBy(*keys, "psm_id").agg(s.alias("s")).select(*keys, "psm_id", part("x").alias("x"), part("p").alias("p"), part("observed").alias("observed"))
+    return by_psm.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("psm_id", "x"))).alias("psms"), F.any_value("p").alias("p"), F.any_value("observed").alias("observed"))
 
-    Vectors are gathered by aggregates and multiplied as arrays in the JVM: no pairs of rows, no Python.
-    """
 
-    def squares(rows: DataFrame, entity: str, axis: str, name: str) -> DataFrame:
-        ordered = F.transform(F.sort_array(F.collect_list(F.struct(axis, "x"))), lambda s: s["x"])
-        vectors = rows.groupBy(*keys, entity).agg(ordered.alias("v")).select(*keys, unit_vector(F.col("v")).alias("v"))
-        # collect_list leaves null vectors out
-        return vectors.groupBy(*keys).agg(F.collect_list("v").alias("v")).select(*keys, squared_pairs(F.col("v")).alias(name))
+def corr_features(m: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """The columns of `matrices`, and psm_matrix, fragment_matrix (ascending squared correlations between PSMs and between
+    observed fragments), c and n (each PSM's correlation with the prediction and its number of observed fragments).
 
-    return squares(long, "psm_id", "fragment_name", "psm_matrix").join(squares(long.where("observed = 1"), "fragment_name", "psm_id", "fragment_matrix"), keys)
+    Vectors are multiplied as arrays in the JVM: no pairs of rows, no Python. A peptidoform's row holds all its PSMs.
+    """
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    columns = F.transform("observed", lambda o, i: F.when(o == 1, F.transform("psms", lambda r: F.get(r["x"], i))))
+    out = m.withColumns({"__units": F.transform("psms", lambda r: unit_vector(r["x"])), "__columns": F.filter(columns, lambda c: c.isNotNull()), "__p": unit_vector(F.col("p"))})
+    out = out.withColumns(
+        {
+            "psm_matrix": squared_pairs(F.col("__units")),
+            "fragment_matrix": squared_pairs(F.transform("__columns", unit_vector)),
+            "c": F.transform("__units", lambda u: F.coalesce(dot(u, F.col("__p")), F.lit(0.0))),
+            "n": F.transform("psms", lambda r: F.size(F.filter(r["x"], lambda v: v != 0)).cast("double")),
+        }
+    )
+    return out.drop("__units", "__columns", "__p")
 
 
 QUANTILES = (0, 25, 50, 75, 100)
@@ -131,9 +145,12 @@ TOP = 10
 
 def correlation_row(long: DataFrame, apex: DataFrame, keys: list[str] = KEYS, positional: bool = False) -> DataFrame:
     """53 features of a peptidoform: percentiles and top ten of three sets of correlations, apex scores and deviations."""
-    scores = psm_scores(long, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("psm_id", "correlation", "n_observed"))).alias("s"))
-    scores = scores.select(*keys, F.transform("s", lambda s: s["correlation"]).alias("c"), F.transform("s", lambda s: s["n_observed"].cast("double")).alias("n"))
-    rows = scores.join(corr_features(long, keys), keys).join(deviation(long, keys), keys).join(apex, keys, "left")
+    add = lambda s, v: s + v
+    rows = corr_features(matrices(long, keys), keys).join(apex, keys, "left")
+    gaps = F.transform("psms", lambda r: F.aggregate(F.zip_with(r["x"], F.col("p"), lambda x, p: F.abs(x - p)), F.lit(0.0), add))
+    unseen = F.aggregate(F.zip_with("p", "observed", lambda p, o: F.when(o == 0, p).otherwise(0.0)), F.lit(0.0), add)
+    rows = rows.withColumns({"__gap": F.aggregate(gaps, F.lit(0.0), add), "__unseen": unseen, "__n": F.size("psms")})
+    rows = rows.withColumns({"l1": F.col("__gap") / F.col("__n"), "l1_total": (F.col("__gap") + F.col("__unseen")) / F.col("__n")})
     individual = X.percentiles_with_index(F.col("c"), F.col("n"), QUANTILES, positional)
     out = rows.withColumns({"__psm": X.percentiles(F.col("psm_matrix"), QUANTILES), "__frag": X.percentiles(F.col("fragment_matrix"), QUANTILES), "__ind": individual})
     out = out.withColumns({"__tp": X.top_values(F.col("psm_matrix"), TOP), "__tf": X.top_values(F.col("fragment_matrix"), TOP), "__ti": X.top_values(F.col("c"), TOP)})

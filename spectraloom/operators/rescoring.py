@@ -28,8 +28,9 @@ def tdc_qvalues(psms: DataFrame, score: str = "score", decoy: str = "is_decoy",
     d = F.coalesce(F.col(decoy), F.lit(False))
     steps = rows.groupBy("__score").agg(F.count_if(d).alias("__d"), F.count_if(~d).alias("__t"))
     cuts = psms.agg(F.percentile_approx(F.col(score).cast("double"), [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []
-    cuts = sorted(set(cuts))
-    at = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("__score"))), F.lit(0)) if cuts else F.lit(0)
+    cuts = F.lit(sorted(set(cuts))) if cuts else F.array().cast("array<double>")
+    halves = F.array(*(F.lit(1 << k) for k in reversed(range(ranges.bit_length()))))  # binary search for the number of cuts up to the score
+    at = F.aggregate(halves, F.lit(0), lambda i, h: F.when(F.get(cuts, i + h - 1) <= F.col("__score"), i + h).otherwise(i))
     steps = steps.withColumn("__range", F.when(F.col("__score").isNull(), -1).otherwise(at))
     above = W.orderBy(F.col("__range").desc()).rowsBetween(W.unboundedPreceding, -1)
     sums = steps.groupBy("__range").agg(F.sum("__d").alias("d"), F.sum("__t").alias("t"))  # at most `ranges` rows
