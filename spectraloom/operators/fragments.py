@@ -111,12 +111,31 @@ def squared_pairs(vectors: Column) -> Column:
     return F.sort_array(F.element_at(F.transform(F.array(once), lambda o: F.concat(o, o)), 1))
 
 
-def matrices(long: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """One row per peptidoform: psms (array of struct(psm_id, x)), p and observed, x, p and observed in the order of fragment names."""
-    s = F.sort_array(F.collect_list(F.struct("fragment_name", "x", "p", "observed")))
-    part = lambda name: F.transform("s", lambda e: e[name])
-    by_psm = long.groupBy(*keys, "psm_id").agg(s.alias("s")).select(*keys, "psm_id", part("x").alias("x"), part("p").alias("p"), part("observed").alias("observed"))
-    return by_psm.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("psm_id", "x"))).alias("psms"), F.any_value("p").alias("p"), F.any_value("observed").alias("observed"))
+def matrices(fragments: DataFrame, predictions: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """One row per peptidoform: psms (array of struct(psm_id, x)), p and observed, each in the order of fragment names.
+
+    The same numbers as `aligned`, gathered as arrays: fragments are dealt by peptidoform once, and vectors
+    are filled up with zeros inside the row.
+    """
+    seen = best_peaks(fragments.repartition(*keys), keys)
+    entries = F.sort_array(F.collect_list(F.struct("fragment_name", "fragment_intensity")))
+    by_psm = seen.groupBy(*keys, "psm_id").agg(entries.alias("f"))
+    rows = by_psm.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("psm_id", "f"))).alias("psms"))
+    p = predictions.groupBy(*keys, "fragment_name").agg(F.max("predicted").alias("predicted")).groupBy(*keys)
+    p = p.agg(F.map_from_entries(F.collect_list(F.struct("fragment_name", "predicted"))).alias("__p"))
+    out = rows.join(p, keys).withColumn("__seen", F.array_distinct(F.flatten(F.transform("psms", lambda r: F.transform(r["f"], lambda e: e["fragment_name"])))))
+    out = out.withColumns({"__names": F.array_sort(F.array_union("__seen", F.map_keys("__p"))), "__top": F.array_max(F.map_values("__p"))})
+
+    def vector(r: Column) -> Column:
+        filled = F.transform(F.array(F.map_from_entries(r["f"])), lambda m: F.transform("__names", lambda n: F.coalesce(m[n], F.lit(0.0))))
+        return F.element_at(F.transform(filled, lambda v: F.transform(F.array(F.array_max(v)), lambda top: F.transform(v, lambda e: X.safe_divide(e, top)))), 1)[0]
+
+    return out.select(
+        *keys,
+        F.transform("psms", lambda r: F.struct(r["psm_id"].alias("psm_id"), vector(r).alias("x"))).alias("psms"),
+        F.transform("__names", lambda n: X.safe_divide(F.coalesce(F.col("__p")[n], F.lit(0.0)), F.col("__top"))).alias("p"),
+        F.transform("__names", lambda n: F.array_contains(F.col("__seen"), n).cast("int")).alias("observed"),
+    )
 
 
 def corr_features(m: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -143,10 +162,10 @@ QUANTILES = (0, 25, 50, 75, 100)
 TOP = 10
 
 
-def correlation_row(long: DataFrame, apex: DataFrame, keys: list[str] = KEYS, positional: bool = False) -> DataFrame:
-    """53 features of a peptidoform: percentiles and top ten of three sets of correlations, apex scores and deviations."""
+def correlation_row(m: DataFrame, apex: DataFrame, keys: list[str] = KEYS, positional: bool = False) -> DataFrame:
+    """53 features of a peptidoform: percentiles and top ten of three sets of correlations, apex scores and deviations, from `matrices`."""
     add = lambda s, v: s + v
-    rows = corr_features(matrices(long, keys), keys).join(apex, keys, "left")
+    rows = corr_features(m, keys).join(apex, keys, "left")
     gaps = F.transform("psms", lambda r: F.aggregate(F.zip_with(r["x"], F.col("p"), lambda x, p: F.abs(x - p)), F.lit(0.0), add))
     unseen = F.aggregate(F.zip_with("p", "observed", lambda p, o: F.when(o == 0, p).otherwise(0.0)), F.lit(0.0), add)
     rows = rows.withColumns({"__gap": F.aggregate(gaps, F.lit(0.0), add), "__unseen": unseen, "__n": F.size("psms")})

@@ -476,7 +476,7 @@ FROM dv JOIN ss USING (peptide, charge) LEFT JOIN ps USING (peptide, charge) LEF
     PSM, FRAG, OWN, APEX, PRED, NORM, LONG,
 )
 def _(spark, d):
-    out = M.correlation_row(long(spark, d), M.apex_scores(near(spark, d).drop("predicted"), predictions(spark, d)))
+    out = M.correlation_row(M.matrices(own(spark, d).drop("predicted"), predictions(spark, d)), M.apex_scores(near(spark, d).drop("predicted"), predictions(spark, d)))
     names = [
         "distribution_correlation_matrix_psm_ids_50", "distribution_correlation_matrix_frag_ids_50", "distribution_correlation_individual_25", "top_correlation_matrix_psm_ids_1",
         "top_correlation_matrix_frag_ids_2", "top_correlation_individual_3", "top_correlation_cos_1", "mse_avg_pred_intens_1",
@@ -506,7 +506,7 @@ def _(spark, d):
 
 @query("feature_table")
 def _(spark, d):
-    rows = M.correlation_row(long(spark, d), M.apex_scores(near(spark, d).drop("predicted"), predictions(spark, d)))
+    rows = M.correlation_row(M.matrices(own(spark, d).drop("predicted"), predictions(spark, d)), M.apex_scores(near(spark, d).drop("predicted"), predictions(spark, d)))
     return P.pin_table(wide_psms(spark, d), rows)
 
 

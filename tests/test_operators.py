@@ -137,7 +137,11 @@ def test_fragment_features(spark):
     assert d["l1"] == pytest.approx((0.25 + 2.25) / 2) and d["sum_predicted"] == pytest.approx(1.5) and d["l1_total"] == pytest.approx((2.5 + 0.25) / 2)
     apex = M.apex_scores(f, p)
     assert rows(apex, "peptide") == [("PEP", 2, pytest.approx(1.0), pytest.approx(1.0))]
-    row = M.correlation_row(long, apex)
+    m = M.matrices(f, p)
+    assert tuple(m.select("p", "observed").first()) == ([0.5, 0.0, 1.0, 0.25], [1, 1, 1, 0])
+    assert [tuple(r) for r in m.first()["psms"]] == [(1, [0.5, 0.0, 1.0, 0.0]), (2, [0.5, 1.0, 0.0, 0.0])]
+    row = M.correlation_row(m, apex)
+    assert row.first()["mse_avg_pred_intens_1"] == pytest.approx(d["l1"]) and row.first()["mse_avg_pred_intens_total_1"] == pytest.approx(d["l1_total"])
     assert len(row.columns) == 2 + 53 and row.count() == 1
     scores = {r["psm_id"]: r for r in M.psm_scores(long).collect()}
     assert scores[1]["n_observed"] == 2 and row.first()["top_correlation_individual_1"] == pytest.approx(scores[1]["correlation"])
@@ -148,7 +152,7 @@ def test_feature_table_width(spark):
     own = {c: F.lit(1.0) for c in {*P.MAX_COLUMNS, *P.MIN_COLUMNS} - {"rt"}}
     psms = spark.createDataFrame([(1, "PEP", 2, 10.0, False), (2, "PEP", 2, 11.0, False), (3, "OTHER", 3, 5.0, True)], "psm_id long, peptide string, charge int, rt double, is_decoy boolean").withColumns({**own, "filename": F.lit("f"), "scannr": F.lit("s"), "num_proteins": F.lit(1), "proteins": F.lit("p"), "expmass": F.lit(1.0), "calcmass": F.lit(1.0), "peptide_len": F.lit(3), "missed_cleavages": F.lit(0)})
     assert len(P.peptidoform_row(psms).columns) == 59
-    pin = P.pin_table(psms, M.correlation_row(M.aligned(f, p), M.apex_scores(f, p)))
+    pin = P.pin_table(psms, M.correlation_row(M.matrices(f, p), M.apex_scores(f, p)))
     assert len(pin.columns) == 111 and len([c for c in pin.columns if c not in P.NOT_FEATURES]) == 103
     assert pin.first()["SpecId"] == "1|f|s" and pin.first()["Label"] == 1
 
