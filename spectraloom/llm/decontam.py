@@ -1,4 +1,7 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, then exact weighted-shingle similarity."""
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, then exact weighted-shingle similarity.
+
+Fingerprints decide only for items where the radius covers every similar window for certain; the windows of all others are compared exactly.
+"""
 
 from __future__ import annotations
 
@@ -34,6 +37,17 @@ def simhashes(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(2 * (sums[starts + size] - sums[starts]) > size, axis=1).view(np.uint64).ravel()
 
 
+def reach(sums: np.ndarray, m: int, need: int) -> int:
+    """Bits in which a bag of m shingles may differ at most from the one with these bit sums if they share `need`."""
+    margin, moved = 2 * sums - m, 2 * (m - need)
+    return int(np.where(margin > 0, margin <= moved, margin > -moved).sum())
+
+
+def least_shared(sizes: int, threshold: float) -> int:
+    """Shingles that two bags of together `sizes` must share to be similar enough."""
+    return math.ceil(sizes * threshold / (1 + threshold) - 1e-9)
+
+
 class MultiIndex:
     """Finds every stored fingerprint within `radius` bits: of radius + 1 blocks at least one agrees."""
 
@@ -73,11 +87,16 @@ class Items:
             if len(words):
                 n = min(shingle, len(words))
                 by_size.setdefault((n, len(words)), []).append((item, H.window_hashes(words, counts, n)[0]))
-        self.sizes = {}
+        self.sizes, exact = {}, {}
         for (n, size), items in sorted(by_size.items()):
             m = size - n + 1
-            fps = np.concatenate([simhashes(bit_sums(h), np.zeros(1, dtype=np.int64), m) for _, h in items])
-            self.sizes[n, size] = (MultiIndex(fps, radius), [i for i, _ in items], [Counter(h.tolist()) for _, h in items])
+            sure = [reach(bit_sums(h)[-1], m, least_shared(2 * m, threshold)) <= radius for _, h in items]
+            exact.setdefault(n, []).extend((i, size, h) for (i, h), s in zip(items, sure) if not s)
+            if any(sure):
+                items = [x for x, s in zip(items, sure) if s]
+                fps = np.concatenate([simhashes(bit_sums(h), np.zeros(1, dtype=np.int64), m) for _, h in items])
+                self.sizes[n, size] = (MultiIndex(fps, radius), [i for i, _ in items], [Counter(h.tolist()) for _, h in items])
+        self.exact = {n: Postings(items) for n, items in exact.items() if items}
         self.known = {n: np.unique(np.concatenate([h for (k, _), items in by_size.items() if k == n for _, h in items])) for n in {k for k, _ in by_size}}
         self.filter = {}
         for n, known in self.known.items():
@@ -104,6 +123,8 @@ class Items:
                 low = int(np.searchsorted(starts, first_word[t]))
                 high = int(np.searchsorted(starts, first_word[t] + counts[t]))
                 self._scan(t, n, hashes[low:high], own - low, best)
+                if n in self.exact:
+                    self._compare(t, n, hashes[low:high], own - low, best)
         return [(t, item, *rest) for (t, item), rest in sorted(best.items())]
 
     def _scan(self, t: int, n: int, hashes: np.ndarray, hits: np.ndarray, best: dict) -> None:
@@ -115,7 +136,7 @@ class Items:
             if k != n or len(hashes) < m:
                 continue
             # two bags of m shingles are similar enough only if they share so many
-            need = math.ceil(2 * m * self.threshold / (1 + self.threshold) - 1e-9)
+            need = least_shared(2 * m, self.threshold)
             at = np.flatnonzero(count[m:] - count[:-m] >= need)
             for run in np.split(at, np.flatnonzero(np.diff(at) > m) + 1) if len(at) else []:
                 for part in np.split(run, range(4096, len(run), 4096)):
@@ -131,6 +152,65 @@ class Items:
                             best[key] = (start, size, similarity)
 
 
+    def _compare(self, t: int, n: int, hashes: np.ndarray, hits: np.ndarray, best: dict) -> None:
+        """Best windows of the items that fingerprints cannot settle: the bags' intersection with every window, in one pass over the item's hits."""
+        post = self.exact[n]
+        found, times = np.unique(hashes[hits], return_counts=True)
+        for at in post.sharing(found, times, self.threshold).tolist():
+            item, size, m = post.items[at], post.sizes[at], post.sizes[at] - n + 1
+            if len(hashes) < m:
+                continue
+            own, weight = post.bags[at]
+            place = np.minimum(np.searchsorted(own, hashes[hits]), len(own) - 1)
+            mine = own[place] == hashes[hits]
+            shared, start = best_window(hits[mine], place[mine], weight, m, len(hashes))
+            similarity = shared / (2 * m - shared)
+            key = (t, item)
+            if similarity >= self.threshold - 1e-12 and (key not in best or (similarity, -start) > (best[key][2], -best[key][0])):
+                best[key] = (start, size, similarity)
+
+
+class Postings:
+    """Items (id, words, shingle hashes) as bags, and the items of every shingle."""
+
+    def __init__(self, items: list[tuple[int, int, np.ndarray]]):
+        self.items, self.sizes = [i for i, _, _ in items], [s for _, s, _ in items]
+        self.bags = [np.unique(h, return_counts=True) for _, _, h in items]
+        self.total = np.array([len(h) for _, _, h in items])
+        hashes, weights = np.concatenate([b[0] for b in self.bags]), np.concatenate([b[1] for b in self.bags])
+        of = np.repeat(np.arange(len(items)), [len(b[0]) for b in self.bags])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.weights, self.of = hashes[order], weights[order], of[order]
+
+    def sharing(self, found: np.ndarray, times: np.ndarray, threshold: float) -> np.ndarray:
+        """Numbers of the items that share enough with a text that holds the shingles `found` so many `times`."""
+        low, high = np.searchsorted(self.hashes, found), np.searchsorted(self.hashes, found, side="right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(self.of[at], np.minimum(self.weights[at], np.repeat(times, n)), minlength=len(self.items))
+        return np.flatnonzero(shared >= np.ceil(2 * self.total * threshold / (1 + threshold) - 1e-9))
+
+
+def best_window(hits: np.ndarray, kind: np.ndarray, weight: np.ndarray, m: int, n: int) -> tuple[int, int]:
+    """(shared shingles, start) of the earliest best of all windows of m among n shingles; `hits` ascend and are of a bag's `kind`, which counts `weight` times.
+
+    A hit counts for the starts from which the window holds it and fewer than `weight` of its kind before it: an interval.
+    """
+    order = np.lexsort((hits, kind))
+    p, k = hits[order], kind[order]
+    back = np.arange(len(p)) - weight[k]
+    same = (back >= 0) & (k[np.maximum(back, 0)] == k)
+    first = np.maximum(np.where(same, p[np.maximum(back, 0)] + 1, 0), np.maximum(p - m + 1, 0))
+    last = np.minimum(p, n - m)
+    good = first <= last
+    first, last = np.sort(first[good]), np.sort(last[good])
+    if not len(first):
+        return 0, 0
+    # the count rises only where an interval begins
+    shared = np.searchsorted(first, first, side="right") - np.searchsorted(last, first)
+    return int(shared.max()), int(first[shared.argmax()])
+
+
 MAX_ITEM_BYTES = 16 << 20  # benchmark text that one broadcast holds; larger benchmarks go in several
 RADIUS = 15
 
@@ -139,9 +219,10 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float
     """(doc_id, item_id, start, n_words, similarity): each document and item where a window of the item's size is similar enough.
 
     Words are compared in lower case without ASCII punctuation; start counts such words. A window has as
-    many words as the item. Its fingerprint is a SimHash of its shingles; the multi-index finds all items of
-    that size within `radius` bits; a pair stays if the bags of shingles, weighted by how often they occur,
-    have a weighted Jaccard similarity of `threshold` or more. Items shorter than a shingle are one shingle.
+    many words as the item. A pair stays if the bags of shingles, weighted by how often they occur,
+    have a weighted Jaccard similarity of `threshold` or more. Where no window so similar can have a SimHash
+    more than `radius` bits away, the multi-index finds the item's candidates; all windows are compared
+    exactly with other items, so no pair is lost. Items shorter than a shingle are one shingle.
 
     Items that are null or have no word match nothing; items that share an id are told as one. Null text
     has no window. Null doc_id is carried through. Repeated documents give repeated rows. Either table may

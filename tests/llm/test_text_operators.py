@@ -245,6 +245,34 @@ def test_leaks(spark):
     assert decontam.leaks(d, b.limit(0)).count() == 0 and decontam.leaks(d.limit(0), b).count() == 0
 
 
+def test_leaks_near_the_threshold_with_repeated_shingles(spark):
+    rng = random.Random(11)
+    fresh = lambda k, tag: [f"{tag}{rng.random()}" for _ in range(k)]
+    docs, items = [], []
+    for k, (once, times) in enumerate([(89, 11), (54, 6), (89, 11), (60, 0), (9, 0)]):
+        item = fresh(once, "a") + ["again"] * (times + 4 if times else 0)  # one shingle so many times, besides others
+        items.append((k, " ".join(item)))
+        for gone in range(16):
+            leak = item[: len(item) - gone] + fresh(gone, "b")
+            docs.append((100 * k + gone, " ".join(fresh(5, "c") + leak + fresh(5, "d"))))
+    got = decontam.leaks(table(spark, [(i, t, "en", "s") for i, t in docs]), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_leaks(docs, items)
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and 20 < len(want) < len(docs)
+
+
+def test_best_window_counts_weighted_shares():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        n, m = int(rng.integers(5, 40)), int(rng.integers(1, 6))
+        text, weight = rng.integers(0, 5, n), rng.integers(1, 4, 3)  # kinds 3 and 4 are not of the item
+        hits = np.flatnonzero(text < 3)
+        shares = [sum(min(int((text[s : s + m] == k).sum()), int(weight[k])) for k in range(3)) for s in range(n - m + 1)]
+        got = decontam.best_window(hits, text[hits], weight, m, n)
+        assert got == (max(shares), shares.index(max(shares)))
+
+
 def test_multi_index_finds_all_within_radius():
     import numpy as np
 
