@@ -87,16 +87,16 @@ class Items:
             if len(words):
                 n = min(shingle, len(words))
                 by_size.setdefault((n, len(words)), []).append((item, H.window_hashes(words, counts, n)[0]))
-        self.sizes, exact = {}, {}
+        self.sizes, bags = {}, {}
         for (n, size), items in sorted(by_size.items()):
             m = size - n + 1
             sure = [reach(bit_sums(h)[-1], m, least_shared(2 * m, threshold)) <= radius for _, h in items]
-            exact.setdefault(n, []).extend((i, size, h) for (i, h), s in zip(items, sure) if not s)
+            bags.setdefault(n, []).extend((i, size, h, s) for (i, h), s in zip(items, sure))
             if any(sure):
                 items = [x for x, s in zip(items, sure) if s]
                 fps = np.concatenate([simhashes(bit_sums(h), np.zeros(1, dtype=np.int64), m) for _, h in items])
                 self.sizes[n, size] = (MultiIndex(fps, radius), [i for i, _ in items], [Counter(h.tolist()) for _, h in items])
-        self.exact = {n: Postings(items) for n, items in exact.items() if items}
+        self.bags = {n: Postings(items) for n, items in bags.items()}
         self.known = {n: np.unique(np.concatenate([h for (k, _), items in by_size.items() if k == n for _, h in items])) for n in {k for k, _ in by_size}}
         self.filter = {}
         for n, known in self.known.items():
@@ -123,8 +123,7 @@ class Items:
                 low = int(np.searchsorted(starts, first_word[t]))
                 high = int(np.searchsorted(starts, first_word[t] + counts[t]))
                 self._scan(t, n, hashes[low:high], own - low, best)
-                if n in self.exact:
-                    self._compare(t, n, hashes[low:high], own - low, best)
+                self._compare(t, n, hashes[low:high], own - low, best)
         return [(t, item, *rest) for (t, item), rest in sorted(best.items())]
 
     def _scan(self, t: int, n: int, hashes: np.ndarray, hits: np.ndarray, best: dict) -> None:
@@ -153,42 +152,46 @@ class Items:
 
 
     def _compare(self, t: int, n: int, hashes: np.ndarray, hits: np.ndarray, best: dict) -> None:
-        """Best windows of the items that fingerprints cannot settle: the bags' intersection with every window, in one pass over the item's hits."""
-        post = self.exact[n]
+        """Best windows of the items that fingerprints cannot settle: the bags' intersection with every window, in one pass over the item's hits.
+
+        A text shorter than an item is one window as a whole.
+        """
+        post = self.bags[n]
         found, times = np.unique(hashes[hits], return_counts=True)
-        for at in post.sharing(found, times, self.threshold).tolist():
-            item, size, m = post.items[at], post.sizes[at], post.sizes[at] - n + 1
-            if len(hashes) < m:
+        for at in post.sharing(found, times, len(hashes), self.threshold).tolist():
+            item, size, whole = post.items[at], post.sizes[at], post.sizes[at] - n + 1
+            m = min(whole, len(hashes))
+            if m == whole and post.sure[at]:
                 continue
             own, weight = post.bags[at]
             place = np.minimum(np.searchsorted(own, hashes[hits]), len(own) - 1)
             mine = own[place] == hashes[hits]
             shared, start = best_window(hits[mine], place[mine], weight, m, len(hashes))
-            similarity = shared / (2 * m - shared)
+            similarity = shared / (whole + m - shared)
             key = (t, item)
             if similarity >= self.threshold - 1e-12 and (key not in best or (similarity, -start) > (best[key][2], -best[key][0])):
-                best[key] = (start, size, similarity)
+                best[key] = (start, m + n - 1, similarity)
 
 
 class Postings:
-    """Items (id, words, shingle hashes) as bags, and the items of every shingle."""
+    """Items (id, words, shingle hashes, whether fingerprints settle them) as bags, and the items of every shingle."""
 
-    def __init__(self, items: list[tuple[int, int, np.ndarray]]):
-        self.items, self.sizes = [i for i, _, _ in items], [s for _, s, _ in items]
-        self.bags = [np.unique(h, return_counts=True) for _, _, h in items]
-        self.total = np.array([len(h) for _, _, h in items])
+    def __init__(self, items: list[tuple[int, int, np.ndarray, bool]]):
+        self.items, self.sizes, hashes, self.sure = map(list, zip(*items))
+        self.bags = [np.unique(h, return_counts=True) for h in hashes]
+        self.total = np.array([len(h) for h in hashes])
         hashes, weights = np.concatenate([b[0] for b in self.bags]), np.concatenate([b[1] for b in self.bags])
         of = np.repeat(np.arange(len(items)), [len(b[0]) for b in self.bags])
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.weights, self.of = hashes[order], weights[order], of[order]
 
-    def sharing(self, found: np.ndarray, times: np.ndarray, threshold: float) -> np.ndarray:
-        """Numbers of the items that share enough with a text that holds the shingles `found` so many `times`."""
+    def sharing(self, found: np.ndarray, times: np.ndarray, size: int, threshold: float) -> np.ndarray:
+        """Numbers of the items that share enough with a text of `size` shingles that holds the shingles `found` so many `times`."""
         low, high = np.searchsorted(self.hashes, found), np.searchsorted(self.hashes, found, side="right")
         n = high - low
         at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
         shared = np.bincount(self.of[at], np.minimum(self.weights[at], np.repeat(times, n)), minlength=len(self.items))
-        return np.flatnonzero(shared >= np.ceil(2 * self.total * threshold / (1 + threshold) - 1e-9))
+        return np.flatnonzero(shared >= np.ceil((self.total + np.minimum(self.total, size)) * threshold / (1 + threshold) - 1e-9))
 
 
 def best_window(hits: np.ndarray, kind: np.ndarray, weight: np.ndarray, m: int, n: int) -> tuple[int, int]:
@@ -216,10 +219,10 @@ RADIUS = 15
 
 
 def leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float = 0.8, radius: int = RADIUS, max_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
-    """(doc_id, item_id, start, n_words, similarity): each document and item where a window of the item's size is similar enough.
+    """(doc_id, item_id, start, n_words, similarity): each document and item where a window of the item's size, or a shorter text, is similar enough.
 
     Words are compared in lower case without ASCII punctuation; start counts such words. A window has as
-    many words as the item. A pair stays if the bags of shingles, weighted by how often they occur,
+    many words as the item; a text with fewer words is one window. A pair stays if the bags of shingles, weighted by how often they occur,
     have a weighted Jaccard similarity of `threshold` or more. Where no window so similar can have a SimHash
     more than `radius` bits away, the multi-index finds the item's candidates; all windows are compared
     exactly with other items, so no pair is lost. Items shorter than a shingle are one shingle.

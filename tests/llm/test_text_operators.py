@@ -260,6 +260,24 @@ def test_leaks_near_the_threshold_with_repeated_shingles(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == want and 20 < len(want) < len(docs)
 
 
+def test_leaks_of_truncated_items(spark):
+    words = [f"u{i}" for i in range(100)]
+    items = [(1, " ".join(words)), (2, "one two three four five six"), (3, "red green blue"), (4, " ".join(["again"] * 40 + words[:20]))]
+    texts = [words[:95], words[5:], words[:85], words[:84], words[:80], "one two three four five".split(), "red green".split(), ["again"] * 30 + words[:20], ["again"] * 40]
+    bag = lambda w, n=5: Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    want = {}
+    for d, w in enumerate(texts):
+        for k, t in items:
+            a, b = bag(w), bag(t.split())
+            if len(w) < len(t.split()) and sum((a & b).values()) >= 0.8 * sum((a | b).values()) > 0:
+                want[d, k] = (0, len(w), sum((a & b).values()) / sum((a | b).values()))
+    docs = table(spark, [(d, " ".join(w), "en", "s") for d, w in enumerate(texts)])
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["n_words"], r["similarity"]) for r in decontam.leaks(docs, b).collect() if r["n_words"] < 100}
+    assert got == {k: (s, n, pytest.approx(q)) for k, (s, n, q) in want.items()} and {(0, 1), (1, 1), (7, 4)} <= set(want) and len(want) < 8
+    assert not {0, 1, 7} & {r["doc_id"] for r in decontam.decontaminate(docs, b).collect()}
+
+
 def test_best_window_counts_weighted_shares():
     import numpy as np
 
