@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines whose template recurs; n_chars follows the text. A document of which no word is left goes."""
-    out = line_dedup.drop_recurring_lines(docs.select(*COLUMNS)).where((F.col("n_dropped") == 0) | F.col("text").rlike(quality.INK))
+    out = line_dedup.drop_recurring_templates(docs.select(*COLUMNS)).where((F.col("n_dropped") == 0) | F.col("text").rlike(quality.INK))
     n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*COLUMNS)
 

@@ -1,14 +1,26 @@
-"""Line dedup by a log-template tree: lines are parsed by token count and leading tokens, variable fields become <*>, recurring templates are dropped."""
+"""Line dedup by log templates: lines are parsed by token count, variable fields become <*>, recurring templates are dropped.
+
+`drop_recurring_lines` is the contract of op3, as its SQL fixes it: fields are tokens with digits, nothing else.
+`drop_recurring_templates` also finds fields without digits, where lines agree in most of their parts.
+"""
 
 from __future__ import annotations
 
+import hashlib
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import hashing as H
+from .exchange import ask_rows, exchange, packed, unpacked
 from .quality import let, words
-from .runtime import cut
+from .runtime import BLOCK_BYTES, block_count, cut
 
 FIELD = "<*>"
+PARTS = 7  # a line's tokens are dealt to so many parts, one token each if there are fewer
 
 
 def template_path(line: Column, depth: int = 3) -> Column:
@@ -59,6 +71,11 @@ def drop_recurring_lines(docs: DataFrame, min_tokens: int = 5, min_docs: int = 2
     recurring = cut(recurring.select("k0", "k1", "k2", "first"))  # its own shuffle in the join, which lets Spark split hot keys
     gone = node.join(recurring, ["k0", "k1", "k2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("n") != F.col("first.n")))
     by_doc = gone.groupBy("doc_id", "__line_text").agg(F.collect_set("n").alias("__line_gone")).withColumnsRenamed({"doc_id": "__line_doc", "__line_text": "__line_hash"})
+    return without(keyed, by_doc)
+
+
+def without(keyed: DataFrame, by_doc: DataFrame) -> DataFrame:
+    """Documents, keyed by doc_id and __line_text, without the lines whose numbers by_doc has in __line_gone."""
     joined = keyed.join(by_doc, (F.col("doc_id") == F.col("__line_doc")) & (F.col("__line_text") == F.col("__line_hash")), "left")
     # line numbers come in any order; a sorted list and one pass cut them out
     gone_sorted = F.sort_array("__line_gone")
@@ -79,6 +96,139 @@ def let_cut(lines: Column, gone: Column) -> Column:
     return let(lines, lambda t: F.flatten(F.transform(let(gone, cut), lambda s: F.slice(t, s["a"] + 1, F.greatest(F.least(s["b"], F.size(t)) - s["a"], F.lit(0))))))
 
 
+def masks(size: int) -> list[tuple[int, ...]]:
+    """Parts that a template of `size` tokens may leave open: none first, then one of 4 to 6 and two of 7."""
+    parts = min(size, PARTS)
+    return [(), *combinations(range(parts), 0 if parts < 4 else 1 if parts < PARTS else 2)][: 1 if parts < 4 else None]
+
+
+MASKS = [masks(k) for k in range(PARTS + 1)]
+_PART = np.random.default_rng(7).integers(1, 1 << 63, PARTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def line_keys(texts: list[memoryview]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text number, line number, whether the template has open parts), a row for each template of each line that has a token."""
+    out = []
+    at = 0
+    while at < len(texts):  # about a megabyte at a time
+        end, held = at, 0
+        while end < len(texts) and (end == at or held + len(texts[end]) < H.CHUNK):
+            held += len(texts[end]) + 1
+            end += 1
+        out.append(_line_keys(texts[at:end], at))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.empty(0, dtype=t) for t in (np.uint64, np.int64, np.int64, bool))
+
+
+def _line_keys(texts: list[memoryview], offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    data = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
+    starts, ends = H.word_spans(data)
+    words = H.span_hashes(H.byte_prefix(data), starts, ends, H.BYTE_BASE)
+    digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
+    field = digits[ends] > digits[starts]
+    words[field] = np.uint64(1)
+    breaks = np.flatnonzero(data == 10)
+    line, first, size = np.unique(np.searchsorted(breaks, starts), return_index=True, return_counts=True)
+    first_line = np.searchsorted(breaks, np.cumsum([0, *(len(t) + 1 for t in texts[:-1])]))
+    text = np.searchsorted(first_line, line, side="right") - 1
+    number = line - first_line[text]
+    prefix = H.prefix_sums(words, H.WORD_BASE)
+    fixed = np.concatenate([[0], np.cumsum(~field)])
+    out = []
+    for parts in range(5, PARTS + 1):
+        rows = np.flatnonzero(size == parts if parts < PARTS else size >= parts)
+        if not len(rows):
+            continue
+        edges = first[rows, None] + size[rows, None] * np.arange(parts + 1) // parts
+        a, b = edges[:, :-1], edges[:, 1:]
+        hashed = H.span_hashes(prefix, a.ravel(), b.ravel(), H.WORD_BASE).reshape(a.shape) * _PART[:parts]
+        known = fixed[b] - fixed[a]
+        whole = hashed.sum(axis=1, dtype=np.uint64) + size[rows].astype(np.uint64) * np.uint64(H.BYTE_BASE)
+        for k, mask in enumerate(MASKS[parts]):
+            key = H.mix64(whole - hashed[:, list(mask)].sum(axis=1, dtype=np.uint64) + np.uint64(k * H.WORD_BASE & H.MASK))
+            # a template with open parts has fixed tokens in at least half of its positions
+            good = 2 * (known.sum(axis=1) - known[:, list(mask)].sum(axis=1)) >= size[rows] if mask else np.ones(len(rows), dtype=bool)
+            out.append((key[good], text[rows][good] + offset, number[rows][good], np.full(good.sum(), bool(mask))))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.empty(0, dtype=t) for t in (np.uint64, np.int64, np.int64, bool))
+
+
+def drop_recurring_templates(docs: DataFrame, min_docs: int = 2, min_like: int = 3, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """As `drop_recurring_lines`, for fields without digits also. Lines of fewer than five tokens stay.
+
+    A line's tokens are dealt to PARTS contiguous parts of equal size, one token each in a line of fewer.
+    Its templates are the whole line with tokens that have digits as <*>, and the same with one part open
+    (4 to 6 tokens) or two parts open (7 tokens or more), if half of the tokens at least stay fixed. So two
+    lines of as many tokens share a template if they agree in all but so many parts, wherever these are.
+    A template recurs if `min_docs` documents or more have a line of it, `min_like` if it has open parts.
+    A line that has a recurring template and is not the first line of it (smallest doc_id, then earliest)
+    goes. min_docs and min_like are at least 2.
+
+    Templates are counted by the block exchange: blocks are ranges of doc_id, a block asks about a template
+    once, so none is hot and no pair of lines is made. 64-bit hashes: n templates collide with probability
+    n**2 / 2**65.
+    """
+    keyed = docs.withColumn("__line_text", F.md5(F.encode("text", "utf-8")))
+    known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    spark = docs.sparkSession
+    n_docs, size = known.agg(F.count(F.lit(1)), F.sum(F.octet_length("text").cast("long"))).first()
+    blocks = min(block_count(spark, int(size or 0), block_bytes), max(1, n_docs))
+    buckets = max(blocks // 4, spark.sparkContext.defaultParallelism)
+    cuts = [i / blocks for i in range(1, blocks)]
+    bounds = np.array((known.agg(F.percentile_approx("doc_id", cuts, 20 * blocks)).first()[0] or []) if cuts else [], dtype=np.int64)
+    shared = spark.sparkContext.broadcast(bounds)  # one long for each block
+
+    def rows(table: pa.Table):
+        """Distinct keys, how many documents have each, and per row of `line_keys` in the order of key, document, line: key's place, text, document, line, open."""
+        key, text, line, is_open = line_keys(unpacked(table))
+        doc = table["doc_id"].to_numpy()[text]
+        order = np.lexsort((line, doc, key))
+        key, text, line, is_open, doc = (x[order] for x in (key, text, line, is_open, doc))
+        new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+        other = new | np.concatenate([[True], doc[1:] != doc[:-1]])[: len(key)]
+        place = np.cumsum(new) - 1
+        return key[new], np.bincount(place[other], minlength=int(new.sum())), np.flatnonzero(new), place, text, doc, line, is_open
+
+    def ask(table: pa.Table) -> pa.Table:
+        distinct, n = rows(table)[:2]
+        edges = H.bucket_edges(distinct, buckets)
+        return ask_rows(table["block"][0].as_py(), [(b, H.pack_sorted(distinct[s:e]), H.pack_counts(n[s:e])) for b, (s, e) in enumerate(zip(edges[:-1], edges[1:])) if e > s])
+
+    def answer(ids: list[int], asked: list[bytes], extra: list[bytes]) -> list[bytes]:
+        parts = [H.unpack_sorted(x) for x in asked]
+        every = np.concatenate(parts)
+        order = np.argsort(every, kind="stable")  # equal hashes stay in the order of blocks
+        new = np.concatenate([[True], every[order[1:]] != every[order[:-1]]])
+        place = np.cumsum(new) - 1
+        total = np.add.reduceat(np.concatenate([H.unpack_counts(x) for x in extra])[order], np.flatnonzero(new))[place]
+        told = np.zeros(len(every), dtype=np.int64)  # 1: an earlier block has it, 2: it recurs, 4: it recurs as one with open parts
+        told[order] = ~new + 2 * (total >= min_docs) + 4 * (total >= min_like)
+        return [H.pack_counts(x) for x in np.split(told, np.cumsum([len(p) for p in parts])[:-1])]
+
+    def finish(table: pa.Table, got: dict[int, bytes]) -> pa.Table:
+        distinct, _, head, place, text, doc, line, is_open = rows(table)
+        edges = H.bucket_edges(distinct, buckets)
+        told = np.zeros(len(distinct), dtype=np.int64)
+        for b, codes in got.items():
+            told[edges[b] : edges[b + 1]] = H.unpack_counts(codes)
+        first = head[place]
+        later = (told[place] & 1 > 0) | (doc != doc[first]) | (line != line[first])
+        gone = later & (told[place] & np.where(is_open, 4, 2) > 0)
+        pairs = np.unique(np.stack([text[gone], line[gone]]), axis=1)
+        at, start = np.unique(pairs[0], return_index=True)
+        texts = unpacked(table)
+        return pa.table(
+            {
+                "__line_doc": table["doc_id"].take(pa.array(at)),
+                "__line_hash": pa.array([hashlib.md5(texts[i]).hexdigest() for i in at.tolist()], pa.string()),
+                "__line_gone": pa.array([x.tolist() for x in np.split(pairs[1], start[1:])] if len(at) else [], pa.list_(pa.int32())),
+            }
+        )
+
+    dealt = packed(known, lambda ids: np.searchsorted(shared.value, ids, side="right"))
+    gone = exchange(dealt, ask, answer, finish, "__line_doc long, __line_hash string, __line_gone array<int>")
+    return without(keyed, gone.dropDuplicates(["__line_doc", "__line_hash"]))
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     out = drop_recurring_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

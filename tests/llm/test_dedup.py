@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -198,3 +199,50 @@ def test_recurring_lines(spark):
     assert line_dedup.drop_recurring_lines(table(spark, [])).count() == 0
     three = line_dedup.drop_recurring_lines(table(spark, rows), min_docs=3).collect()
     assert sum(r["n_dropped"] for r in three) <= sum(r["n_dropped"] for r in got.collect())
+
+
+def brute_templates(rows, least=1):
+    def templates(line):
+        w = ["<*>" if re.search("[0-9]", x) else x for x in re.findall(r"[^\x20\x09-\x0D]+", line)]
+        k, parts = len(w), min(len(w), 7)
+        if k < least:
+            return []
+        part = [i for i in range(parts) for _ in range(k * i // parts, k * (i + 1) // parts)]
+        out = [tuple(w)]
+        for mask in combinations(range(parts), 2 if parts == 7 else 1) if parts > 3 else []:
+            if 2 * sum(x != "<*>" and p not in mask for x, p in zip(w, part)) >= k:
+                out.append((mask, *(None if p in mask else x for x, p in zip(w, part))))
+        return out
+
+    where = {}
+    for i, t in rows:
+        for n, line in enumerate((t or "").split("\n")):
+            for x in templates(line) if i is not None else []:
+                where.setdefault(x, set()).add((i, n))
+    recurs = {x: min(at) for x, at in where.items() if len({d for d, _ in at}) >= (3 if isinstance(x[0], tuple) else 2)}
+    out = []
+    for i, t in rows:
+        lines = t.split("\n") if t is not None else []
+        gone = [i is not None and any(recurs.get(x, (i, n)) != (i, n) for x in templates(line)) for n, line in enumerate(lines)]
+        out.append((i, None if t is None else "\n".join(x for x, g in zip(lines, gone) if not g), len(lines), sum(gone)))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("block", [150, 1 << 20])
+def test_recurring_templates(spark, block):
+    rng = random.Random(8)
+    name = lambda: "".join(rng.choices("abcdef", k=5))
+    kinds = ["Posted by {0} in {1} yesterday evening", "{0} likes this very much", "{0} {1} one two three", "Order 17 for {0} was sent on day 3 of May to {1} by our own carrier", "{0}  {1} {2} {2}", "Page 4 of {0} book ü", ""]
+    rows = [(i, "\n".join(rng.choice(kinds).format(name(), name(), name()) for _ in range(rng.randint(0, 5)))) for i in range(40)]
+    rows += [(60, None), (61, ""), (None, rows[3][1]), (7, rows[7][1]), (8, rows[9][1]), (62, "Posted by x in y yesterday evening\nPosted by p in q yesterday evening")]
+    got = line_dedup.drop_recurring_templates(table(spark, rows), block_bytes=block)
+    assert got.columns == ["doc_id", "text", "block", "fp", "n_lines", "n_dropped"]
+    assert Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect()) == brute_templates(rows, 5)
+    assert line_dedup.drop_recurring_templates(table(spark, [])).count() == 0
+
+
+def test_fields_without_digits_are_found(spark):
+    names, places = ["Anna", "Ben", "Cleo", "Dana"], ["Travel", "Food", "Music", "Sport"]
+    rows = [(i, f"Text of its own {'abcd'[i] * 6}\nPosted by {n} in {p} yesterday evening") for i, (n, p) in enumerate(zip(names, places))]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_templates(table(spark, rows)).collect()}
+    assert "Posted by Anna" in got[0] and not any("Posted" in got[i] for i in (1, 2, 3))
