@@ -135,7 +135,7 @@ def _line_keys(texts: list[memoryview], offset: int) -> tuple[np.ndarray, np.nda
     prefix = H.prefix_sums(words, H.WORD_BASE)
     fixed = np.concatenate([[0], np.cumsum(~field)])
     out = []
-    for parts in range(5, PARTS + 1):
+    for parts in range(1, PARTS + 1):
         rows = np.flatnonzero(size == parts if parts < PARTS else size >= parts)
         if not len(rows):
             continue
@@ -153,7 +153,7 @@ def _line_keys(texts: list[memoryview], offset: int) -> tuple[np.ndarray, np.nda
 
 
 def drop_recurring_templates(docs: DataFrame, min_docs: int = 2, min_like: int = 3, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """As `drop_recurring_lines`, for fields without digits also. Lines of fewer than five tokens stay.
+    """As `drop_recurring_lines`, for fields without digits also and for lines of any length that have a token.
 
     A line's tokens are dealt to PARTS contiguous parts of equal size, one token each in a line of fewer.
     Its templates are the whole line with tokens that have digits as <*>, and the same with one part open
