@@ -1,75 +1,134 @@
-"""Line dedup by log templates: lines are parsed by token count, variable fields become <*>, recurring templates are dropped.
-
-`drop_recurring_lines` is the contract of op3, as its SQL fixes it: fields are tokens with digits, nothing else.
-`drop_recurring_templates` also finds fields without digits, where lines agree in most of their parts.
+"""Line dedup by a log-template tree: token count, leading tokens, then templates in the leaf with variable fields as <*>.
+
+The tree has a fixed depth. Level 1 is a line's token count, the next `depth` levels are its leading
+tokens; a token with a digit is a variable field on every level. A line also goes to the wildcard child
+of one level, the other levels literal, so that a line may begin with a field. A leaf merges lines by
+token similarity: what stands after the leading tokens is cut into at most PARTS contiguous parts, and
+a template leaves one or two of them open if enough literal tokens stay. Unlike a parser that reads
+lines one by one, this depends on no order, so leaves need not be whole in any task: lines, templates
+and documents are counted by key, which combines before the shuffle, and no two lines are compared.
 """
 
 from __future__ import annotations
 
-import hashlib
-from itertools import combinations
+from itertools import combinations_with_replacement
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import hashing as H
-from .exchange import ask_rows, exchange, packed, unpacked
 from .quality import let, words
-from .runtime import BLOCK_BYTES, block_count, cut
+from .runtime import cut
 
 FIELD = "<*>"
-PARTS = 7  # a line's tokens are dealt to so many parts, one token each if there are fewer
+PARTS = 7
+GROUPS = 3  # two open parts leave one of so many groups of parts as it is
+KEY = ["n_tokens", "k1", "k2"]
 
 
-def template_path(line: Column, depth: int = 3) -> Column:
-    """struct(n_tokens, lead, rest): a line's way through the tree.
+def parsed(line: Column, depth: int) -> Column:
+    """struct(n_tokens, k1, k2, lead, parts, lead_literals, literals): a line's way through the tree, as hashes of tokens.
 
-    The first level is the token count, the next `depth` levels are the leading tokens, the leaf is the
-    rest of the line. On every level a token with a digit is a variable field and stands as <*>.
+    k1 and k2 are two hashes of the whole line with fields as <*>; lead has a hash for each leading token,
+    parts one for each part of the rest; the other two count the literal tokens in each of them.
     """
     masked = F.transform(words(line), lambda w: F.when(w.rlike("[0-9]"), FIELD).otherwise(w))
-    return let(
-        masked,
-        lambda m: F.struct(
-            F.size(m).alias("n_tokens"),
-            F.array_join(F.slice(m, 1, depth), " ").alias("lead"),
-            F.array_join(F.slice(m, depth + 1, F.size(m)), " ").alias("rest"),
-        ),
-    )
 
+    def path(m: Column) -> Column:
+        n, lead, rest = F.size(m), F.slice(m, 1, depth), F.slice(m, depth + 1, F.greatest(F.size(m), F.lit(1)))
+        r = F.greatest(n - depth, F.lit(0))
+        p = F.least(r, F.lit(PARTS))
+        edge = lambda i: F.floor(i * r / p).cast("int")
+        part = F.transform(F.filter(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: i < p), lambda i: F.slice(rest, edge(i) + 1, edge(i + 1) - edge(i)))
+        literal = lambda x: F.size(F.filter(x, lambda t: t != FIELD))
+        return let(
+            part,
+            lambda q: F.struct(
+                n.alias("n_tokens"), F.xxhash64(m).alias("k1"), F.xxhash64(F.reverse(m), n).alias("k2"),
+                F.transform(lead, lambda t: F.xxhash64(t)).alias("lead"), F.transform(q, lambda x: F.xxhash64(x)).alias("parts"),
+                F.transform(lead, lambda t: (t != FIELD).cast("int")).alias("lead_literals"), F.transform(q, literal).alias("literals"),
+            ),
+        )
+
+    return let(masked, path)
+
+
+def total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0), lambda a, b: a + b)
+
+
+def leaf_groups() -> Column:
+    """Keys of a line's leaf with each group of parts: templates with two open parts agree with all their lines in one of them."""
+    own = lambda g: F.filter("parts", lambda x, i: F.floor(i * GROUPS / F.size("parts")) == g)
+    return F.array(*(F.xxhash64("n_tokens", "lead", F.lit(g), own(g)) for g in range(GROUPS)))
+
+
+def leaf_templates(similarity: int) -> Column:
+    """Keys of the templates with one or two open parts that a line has in its leaf."""
+    literals = total(F.col("literals")) + total(F.col("lead_literals"))
+
+    def one(i: int, j: int) -> Column:
+        is_open = lambda k: (k == i) | (k == j)
+        left = literals - F.get("literals", F.lit(i)) - (F.get("literals", F.lit(j)) if j > i else 0)
+        key = F.xxhash64("n_tokens", "lead", F.lit(i), F.lit(j), F.transform("parts", lambda x, k: F.when(is_open(k), F.lit(0).cast("long")).otherwise(x)))
+        return F.when((F.size("parts") > j) & (left * 100 >= F.col("n_tokens") * similarity), key)
 
-def drop_recurring_lines(docs: DataFrame, min_tokens: int = 5, min_docs: int = 2, depth: int = 3) -> DataFrame:
+    return F.filter(F.array(*(one(i, j) for i, j in combinations_with_replacement(range(PARTS), 2))), lambda k: k.isNotNull())
+
+
+def wildcard_templates(depth: int, similarity: int) -> Column:
+    """Keys of the templates below the wildcard child of one level: that leading token is open, all else is fixed."""
+    literals = total(F.col("literals")) + total(F.col("lead_literals"))
+
+    def one(i: int) -> Column:
+        left = literals - F.get("lead_literals", F.lit(i))
+        key = F.xxhash64("n_tokens", F.transform("lead", lambda x, k: F.when(k == i, F.lit(0).cast("long")).otherwise(x)), F.lit(-1), F.lit(i), "parts")
+        return F.when((F.size("lead") > i) & (left * 100 >= F.col("n_tokens") * similarity), key)
+
+    return F.filter(F.array(*(one(i) for i in range(depth))), lambda k: k.isNotNull())
+
+
+def drop_recurring_lines(docs: DataFrame, depth: int = 2, similarity: int = 70, variants: int = 3) -> DataFrame:
     """All rows and columns of `docs`; `text` without lines whose template recurs across documents, and n_lines, n_dropped.
 
-    Lines are the parts between line feeds. A template recurs if `min_docs` documents or more have a line
-    of it; its first line (smallest doc_id, then earliest) stays, all others go. Lines of fewer than
-    `min_tokens` tokens are never dropped. Kept lines are joined by line feeds again.
+    Lines are the parts between line feeds; a line without a word has no template. A line's templates are
+    the whole line with tokens that have digits as <*>, and those of its leaf (see the module) that keep
+    `similarity` per cent of its tokens as literals. A template recurs if two documents or more have a
+    line of it and, if it has open parts, at least `variants` different lines (two that differ are no
+    evidence of a field). A line that has a recurring template and is not the first line of it (smallest
+    doc_id, then earliest) goes. Kept lines are joined by line feeds again. `depth` is 1 or more.
 
     Null text stays null (no line). A null doc_id is no document to others: its lines are kept and make no
-    template recur. Rows that share a doc_id count as one document; equal rows lose the same lines. If all
-    lines go, the text is empty and the row stays. An empty table stays empty. Other columns may have any
-    name but one that begins with __line.
-
-    A leaf may hold a third of all lines: groups are only counted (which combines before the shuffle), and
-    the join that follows is one to many, so Spark can split its hot keys.
+    template recur. Rows that share a doc_id count as one document; equal rows lose the same lines, and ties
+    (the same line number of the same doc_id) are both first. If all lines go, the text is empty and the
+    row stays. An empty table stays empty. Columns n_lines and n_dropped of `docs` are replaced; other
+    columns may have any name but one that begins with __line.
+
+    A leaf, template or line may hold a third of all lines: groups are only counted, and the joins are one
+    to many between tables that were written, so Spark splits their hot keys. Equal lines are one row, with
+    their first and last document, before templates are made. 64-bit hashes of templates and 128-bit hashes
+    of whole lines stand for their tokens.
     """
+    docs = docs.drop("n_lines", "n_dropped")
     keyed = docs.withColumn("__line_text", F.xxhash64("text"))
     line = keyed.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "__line_text", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    path = line.select("doc_id", "__line_text", "n", template_path(F.col("line"), depth).alias("p"))
-    # a leaf's key: count and leading tokens with two hashes of the whole path in place of long strings
-    # lines are parsed once: what follows reads the keys that were written
-    node = cut(path.select("doc_id", "__line_text", "n", F.col("p.n_tokens").alias("k0"), F.xxhash64("p.lead", "p.rest").alias("k1"), F.xxhash64("p.rest", "p.n_tokens", "p.lead").alias("k2"))).where(F.col("k0") >= min_tokens)
-    first = F.min(F.struct("doc_id", "n"))
-    spread = node.groupBy("k0", "k1", "k2").agg(first.alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("lines"))
-    if min_docs > 2:
-        counted = node.select("k0", "k1", "k2", "doc_id").distinct().groupBy("k0", "k1", "k2").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
-        recurring = spread.join(counted.drop("docs"), ["k0", "k1", "k2"])
-    else:
-        recurring = spread.where(F.col("first.doc_id") < F.col("last"))
-    recurring = cut(recurring.select("k0", "k1", "k2", "first"))  # its own shuffle in the join, which lets Spark split hot keys
-    gone = node.join(recurring, ["k0", "k1", "k2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("n") != F.col("first.n")))
+    # lines are parsed once: what follows reads the hashes that were written
+    node = cut(line.select("doc_id", "__line_text", "n", parsed(F.col("line"), depth).alias("p")).select("doc_id", "__line_text", "n", "p.*").where("n_tokens > 0"))
+    shape = ["lead", "parts", "lead_literals", "literals"]
+    whole = node.groupBy(*KEY).agg(F.min(F.struct("doc_id", "n")).alias("first"), F.max("doc_id").alias("last"), F.first(F.struct(*shape)).alias("s"))
+    whole = cut(whole.select(*KEY, "first", "last", "s.*"))
+    # only lines that meet `variants` lines of their leaf in a group of parts can have a recurring template there
+    groups = whole.select(*KEY, F.explode(leaf_groups()).alias("g"))
+    shared = groups.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= variants).select("g")
+    met = groups.join(shared, "g", "left_semi").select(*KEY).distinct()
+    ends = [*KEY, "first", "last"]
+    inside = whole.join(met, KEY, "left_semi").select(*ends, F.explode(leaf_templates(similarity)).alias("t"))
+    templates = cut(inside.unionByName(whole.select(*ends, F.explode(wildcard_templates(depth, similarity)).alias("t"))))
+    counted = templates.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("first").alias("t_first"), F.max("last").alias("t_last"))
+    recurring = cut(counted.where((F.col("c") >= variants) & (F.col("t_first.doc_id") < F.col("t_last"))).select("t", "t_first"))
+    all_go = templates.join(recurring, "t").where(F.col("first") != F.col("t_first")).select(*KEY).distinct().withColumn("all", F.lit(True))
+    judged = whole.select(*ends).join(all_go, KEY, "left").where((F.col("first.doc_id") < F.col("last")) | F.col("all"))
+    judged = cut(judged.select(*KEY, "first", F.coalesce("all", F.lit(False)).alias("all")))  # its own shuffle in the join, which lets Spark split hot keys
+    gone = node.select("doc_id", "__line_text", "n", *KEY).join(judged, KEY).where(F.col("all") | (F.struct("doc_id", "n") != F.col("first")))
     by_doc = gone.groupBy("doc_id", "__line_text").agg(F.collect_set("n").alias("__line_gone")).withColumnsRenamed({"doc_id": "__line_doc", "__line_text": "__line_hash"})
     return without(keyed, by_doc)
 
@@ -86,147 +145,14 @@ def without(keyed: DataFrame, by_doc: DataFrame) -> DataFrame:
 
 
 def let_cut(lines: Column, gone: Column) -> Column:
-    """Lines with null in place of those whose numbers are in the ascending array `gone`."""
+    """Lines without those whose numbers are in the ascending array `gone`."""
     # between two removed lines stands a run of kept ones: slices joined in order need no search per line
-    def cut(g: Column) -> Column:
+    def runs(g: Column) -> Column:
         starts = F.concat(F.array(F.lit(0)), F.transform(g, lambda x: x + 1))
         ends = F.concat(g, F.array(F.lit(2147483647)))
         return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
-    return let(lines, lambda t: F.flatten(F.transform(let(gone, cut), lambda s: F.slice(t, s["a"] + 1, F.greatest(F.least(s["b"], F.size(t)) - s["a"], F.lit(0))))))
-
-
-def masks(size: int) -> list[tuple[int, ...]]:
-    """Parts that a template of `size` tokens may leave open: none first, then one of 4 to 6 and two of 7."""
-    parts = min(size, PARTS)
-    return [(), *combinations(range(parts), 0 if parts < 4 else 1 if parts < PARTS else 2)][: 1 if parts < 4 else None]
-
-
-MASKS = [masks(k) for k in range(PARTS + 1)]
-_PART = np.random.default_rng(7).integers(1, 1 << 63, PARTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def line_keys(texts: list[memoryview]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, text number, line number, whether the template has open parts), a row for each template of each line that has a token."""
-    out = []
-    at = 0
-    while at < len(texts):  # about a megabyte at a time
-        end, held = at, 0
-        while end < len(texts) and (end == at or held + len(texts[end]) < H.CHUNK):
-            held += len(texts[end]) + 1
-            end += 1
-        out.append(_line_keys(texts[at:end], at))
-        at = end
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.empty(0, dtype=t) for t in (np.uint64, np.int64, np.int64, bool))
-
-
-def _line_keys(texts: list[memoryview], offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    data = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
-    starts, ends = H.word_spans(data)
-    words = H.span_hashes(H.byte_prefix(data), starts, ends, H.BYTE_BASE)
-    digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
-    field = digits[ends] > digits[starts]
-    words[field] = np.uint64(1)
-    breaks = np.flatnonzero(data == 10)
-    line, first, size = np.unique(np.searchsorted(breaks, starts), return_index=True, return_counts=True)
-    first_line = np.searchsorted(breaks, np.cumsum([0, *(len(t) + 1 for t in texts[:-1])]))
-    text = np.searchsorted(first_line, line, side="right") - 1
-    number = line - first_line[text]
-    prefix = H.prefix_sums(words, H.WORD_BASE)
-    fixed = np.concatenate([[0], np.cumsum(~field)])
-    out = []
-    for parts in range(1, PARTS + 1):
-        rows = np.flatnonzero(size == parts if parts < PARTS else size >= parts)
-        if not len(rows):
-            continue
-        edges = first[rows, None] + size[rows, None] * np.arange(parts + 1) // parts
-        a, b = edges[:, :-1], edges[:, 1:]
-        hashed = H.span_hashes(prefix, a.ravel(), b.ravel(), H.WORD_BASE).reshape(a.shape) * _PART[:parts]
-        known = fixed[b] - fixed[a]
-        whole = hashed.sum(axis=1, dtype=np.uint64) + size[rows].astype(np.uint64) * np.uint64(H.BYTE_BASE)
-        for k, mask in enumerate(MASKS[parts]):
-            key = H.mix64(whole - hashed[:, list(mask)].sum(axis=1, dtype=np.uint64) + np.uint64(k * H.WORD_BASE & H.MASK))
-            # a template with open parts has fixed tokens in at least half of its positions
-            good = 2 * (known.sum(axis=1) - known[:, list(mask)].sum(axis=1)) >= size[rows] if mask else np.ones(len(rows), dtype=bool)
-            out.append((key[good], text[rows][good] + offset, number[rows][good], np.full(good.sum(), bool(mask))))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.empty(0, dtype=t) for t in (np.uint64, np.int64, np.int64, bool))
-
-
-def drop_recurring_templates(docs: DataFrame, min_docs: int = 2, min_like: int = 3, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """As `drop_recurring_lines`, for fields without digits also and for lines of any length that have a token.
-
-    A line's tokens are dealt to PARTS contiguous parts of equal size, one token each in a line of fewer.
-    Its templates are the whole line with tokens that have digits as <*>, and the same with one part open
-    (4 to 6 tokens) or two parts open (7 tokens or more), if half of the tokens at least stay fixed. So two
-    lines of as many tokens share a template if they agree in all but so many parts, wherever these are.
-    A template recurs if `min_docs` documents or more have a line of it, `min_like` if it has open parts.
-    A line that has a recurring template and is not the first line of it (smallest doc_id, then earliest)
-    goes. min_docs and min_like are at least 2.
-
-    Templates are counted by the block exchange: blocks are ranges of doc_id, a block asks about a template
-    once, so none is hot and no pair of lines is made. 64-bit hashes: n templates collide with probability
-    n**2 / 2**65.
-    """
-    keyed = docs.withColumn("__line_text", F.md5(F.encode("text", "utf-8")))
-    known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spark = docs.sparkSession
-    n_docs, size = known.agg(F.count(F.lit(1)), F.sum(F.octet_length("text").cast("long"))).first()
-    blocks = min(block_count(spark, int(size or 0), block_bytes), max(1, n_docs))
-    buckets = max(blocks // 4, spark.sparkContext.defaultParallelism)
-    cuts = [i / blocks for i in range(1, blocks)]
-    bounds = np.array((known.agg(F.percentile_approx("doc_id", cuts, 20 * blocks)).first()[0] or []) if cuts else [], dtype=np.int64)
-    shared = spark.sparkContext.broadcast(bounds)  # one long for each block
-
-    def rows(table: pa.Table):
-        """Distinct keys, how many documents have each, and per row of `line_keys` in the order of key, document, line: key's place, text, document, line, open."""
-        key, text, line, is_open = line_keys(unpacked(table))
-        doc = table["doc_id"].to_numpy()[text]
-        order = np.lexsort((line, doc, key))
-        key, text, line, is_open, doc = (x[order] for x in (key, text, line, is_open, doc))
-        new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
-        other = new | np.concatenate([[True], doc[1:] != doc[:-1]])[: len(key)]
-        place = np.cumsum(new) - 1
-        return key[new], np.bincount(place[other], minlength=int(new.sum())), np.flatnonzero(new), place, text, doc, line, is_open
-
-    def ask(table: pa.Table) -> pa.Table:
-        distinct, n = rows(table)[:2]
-        edges = H.bucket_edges(distinct, buckets)
-        return ask_rows(table["block"][0].as_py(), [(b, H.pack_sorted(distinct[s:e]), H.pack_counts(n[s:e])) for b, (s, e) in enumerate(zip(edges[:-1], edges[1:])) if e > s])
-
-    def answer(ids: list[int], asked: list[bytes], extra: list[bytes]) -> list[bytes]:
-        parts = [H.unpack_sorted(x) for x in asked]
-        every = np.concatenate(parts)
-        order = np.argsort(every, kind="stable")  # equal hashes stay in the order of blocks
-        new = np.concatenate([[True], every[order[1:]] != every[order[:-1]]])
-        place = np.cumsum(new) - 1
-        total = np.add.reduceat(np.concatenate([H.unpack_counts(x) for x in extra])[order], np.flatnonzero(new))[place]
-        told = np.zeros(len(every), dtype=np.int64)  # 1: an earlier block has it, 2: it recurs, 4: it recurs as one with open parts
-        told[order] = ~new + 2 * (total >= min_docs) + 4 * (total >= min_like)
-        return [H.pack_counts(x) for x in np.split(told, np.cumsum([len(p) for p in parts])[:-1])]
-
-    def finish(table: pa.Table, got: dict[int, bytes]) -> pa.Table:
-        distinct, _, head, place, text, doc, line, is_open = rows(table)
-        edges = H.bucket_edges(distinct, buckets)
-        told = np.zeros(len(distinct), dtype=np.int64)
-        for b, codes in got.items():
-            told[edges[b] : edges[b + 1]] = H.unpack_counts(codes)
-        first = head[place]
-        later = (told[place] & 1 > 0) | (doc != doc[first]) | (line != line[first])
-        gone = later & (told[place] & np.where(is_open, 4, 2) > 0)
-        pairs = np.unique(np.stack([text[gone], line[gone]]), axis=1)
-        at, start = np.unique(pairs[0], return_index=True)
-        texts = unpacked(table)
-        return pa.table(
-            {
-                "__line_doc": table["doc_id"].take(pa.array(at)),
-                "__line_hash": pa.array([hashlib.md5(texts[i]).hexdigest() for i in at.tolist()], pa.string()),
-                "__line_gone": pa.array([x.tolist() for x in np.split(pairs[1], start[1:])] if len(at) else [], pa.list_(pa.int32())),
-            }
-        )
-
-    dealt = packed(known, lambda ids: np.searchsorted(shared.value, ids, side="right"))
-    gone = exchange(dealt, ask, answer, finish, "__line_doc long, __line_hash string, __line_gone array<int>")
-    return without(keyed, gone.dropDuplicates(["__line_doc", "__line_hash"]))
+    return let(lines, lambda t: F.flatten(F.transform(let(gone, runs), lambda s: F.slice(t, s["a"] + 1, F.greatest(F.least(s["b"], F.size(t)) - s["a"], F.lit(0))))))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
@@ -235,12 +161,24 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS n FROM s),
 w AS (SELECT doc_id, line, n, list_filter(string_split(translate(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda x: x <> '') AS ws FROM l),
-t AS (SELECT doc_id, line, n, len(ws) AS n_tokens, array_to_string(list_transform(ws, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') AS template FROM w),
-r AS (SELECT template, min(doc_id) AS first_doc, arg_min(n, (doc_id, n)) AS first_n FROM t WHERE n_tokens >= 5 GROUP BY template HAVING count(DISTINCT doc_id) > 1),
-k AS (SELECT t.*, r.template IS NOT NULL AND NOT (t.doc_id = first_doc AND t.n = first_n) AS gone FROM t LEFT JOIN r ON t.template = r.template AND t.n_tokens >= 5)
+m AS (SELECT doc_id, line, n, list_transform(ws, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS m FROM w),
+v AS (SELECT m, min((doc_id, n)) AS f, max(doc_id) AS last, len(m) AS k, m[1 : 2] AS lead, m[3 :] AS rest, greatest(len(m) - 2, 0) AS r, least(greatest(len(m) - 2, 0), 7) AS p,
+  len(list_filter(m, lambda x: x <> '<*>')) AS literals FROM m WHERE len(m) > 0 GROUP BY m),
+q AS (SELECT *, list_transform(range(0, p), lambda i: rest[(i * r) // p + 1 : ((i + 1) * r) // p]) AS parts FROM v),
+o AS (SELECT a.i, b.j FROM (SELECT unnest(range(0, 7)) AS i) a, (SELECT unnest(range(0, 7)) AS j) b WHERE a.i <= b.j),
+t AS (
+  SELECT m, f, last, (k, 'leaf', i, j, lead, list_transform(range(0, p), lambda x: CASE WHEN x = i OR x = j THEN NULL ELSE parts[x + 1] END)) AS t FROM q JOIN o ON j < p
+  WHERE 100 * (literals - len(list_filter(parts[i + 1], lambda x: x <> '<*>')) - CASE WHEN j > i THEN len(list_filter(parts[j + 1], lambda x: x <> '<*>')) ELSE 0 END) >= 70 * k
+  UNION ALL
+  SELECT m, f, last, (k, 'wild', i, 0, list_transform(range(0, len(lead)), lambda x: CASE WHEN x = i THEN NULL ELSE lead[x + 1] END), parts) AS t FROM q JOIN (SELECT unnest(range(0, 2)) AS i) a ON i < len(lead)
+  WHERE 100 * (literals - CASE WHEN lead[i + 1] <> '<*>' THEN 1 ELSE 0 END) >= 70 * k),
+r AS (SELECT t, min(f) AS tf FROM t GROUP BY t HAVING count(*) >= 3 AND min(f)[1] < max(last)),
+g AS (SELECT DISTINCT m FROM t JOIN r USING (t) WHERE f <> tf),
+j AS (SELECT v.m, f, v.m IN (SELECT m FROM g) AS all_go FROM v WHERE f[1] < last OR v.m IN (SELECT m FROM g)),
+k AS (SELECT m.*, j.m IS NOT NULL AND (all_go OR (doc_id, n) <> f) AS gone FROM m LEFT JOIN j USING (m))
 SELECT d.doc_id, count(k.n) AS n_lines, count(k.n) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.n) FILTER (NOT gone), '')) AS kept_sha256
 FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id

@@ -167,88 +167,86 @@ def test_components_of_a_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def brute_lines(rows, min_tokens=5):
-    def template(line):
-        w = re.findall(r"[^\x20\x09-\x0D]+", line)
-        return tuple("<*>" if re.search("[0-9]", x) else x for x in w)
+def brute_lines(rows, depth=2, similarity=70, variants=3):
+    """Recurring templates from all templates of all lines, spelled out as tuples."""
 
-    where = {}
-    for i, t in rows:
-        for n, line in enumerate((t or "").split("\n")):
-            if i is not None and t is not None and len(template(line)) >= min_tokens:
-                where.setdefault(template(line), set()).add((i, n))
-    out = []
-    for i, t in rows:
-        if t is None:
-            out.append((i, None, 0, 0))
-            continue
-        lines = t.split("\n")
-        gone = [i is not None and len({d for d, _ in where.get(template(x), ())}) > 1 and (i, n) != min(where[template(x)]) for n, x in enumerate(lines)]
-        out.append((i, "\n".join(x for x, g in zip(lines, gone) if not g), len(lines), sum(gone)))
-    return Counter(out)
-
-
-def test_recurring_lines(spark):
-    rng = random.Random(2)
-    kinds = ["Order 17 was shipped on day {}", "Page {} of the whole book", "short {}", "one two three four five", "", "one two  three four five "]
-    rows = [(i, "\n".join(rng.choice(kinds).format(rng.randint(1, 99)) + ("" if rng.random() < 0.7 else f" tail{i} x y z") for _ in range(rng.randint(0, 6)))) for i in range(30)]
-    rows += [(40, None), (41, ""), (None, "one two three four five"), (7, rows[7][1]), (42, "Page 1 of the whole book"), (43, "Page 2 of the whole book\nPage 3 of the whole book")]
-    got = line_dedup.drop_recurring_lines(table(spark, rows))
-    assert got.columns == ["doc_id", "text", "block", "fp", "n_lines", "n_dropped"]
-    assert Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect()) == brute_lines(rows)
-    assert line_dedup.drop_recurring_lines(table(spark, [])).count() == 0
-    three = line_dedup.drop_recurring_lines(table(spark, rows), min_docs=3).collect()
-    assert sum(r["n_dropped"] for r in three) <= sum(r["n_dropped"] for r in got.collect())
-
-
-def brute_templates(rows):
     def templates(line):
         w = ["<*>" if re.search("[0-9]", x) else x for x in re.findall(r"[^\x20\x09-\x0D]+", line)]
-        k, parts = len(w), min(len(w), 7)
-        if not w:
-            return []
-        part = [i for i in range(parts) for _ in range(k * i // parts, k * (i + 1) // parts)]
-        out = [tuple(w)]
-        for mask in combinations(range(parts), 2 if parts == 7 else 1) if parts > 3 else []:
-            if 2 * sum(x != "<*>" and p not in mask for x, p in zip(w, part)) >= k:
-                out.append((mask, *(None if p in mask else x for x, p in zip(w, part))))
-        return out
-
-    where = {}
+        k, rest = len(w), max(len(w) - depth, 0)
+        parts = min(rest, 7)
+        enough = lambda t: 100 * sum(x not in (None, "<*>") for x in t) >= similarity * k
+        place = [None] * min(depth, k) + [p for p in range(parts) for _ in range(rest * p // parts, rest * (p + 1) // parts)]
+        out = [("whole", *w)] if w else []
+        for i, j in combinations([*range(parts), None], 2) if parts else []:
+            t = [None if p is not None and p in (i, j) else x for p, x in zip(place, w)]
+            out += [(i, j, *t)] if enough(t) else []
+        for i in range(min(depth, k)):
+            t = [None if n == i else x for n, x in enumerate(w)]
+            out += [("wild", i, *t)] if enough(t) else []
+        return w, out
+
+    where, kinds = {}, {}
     for i, t in rows:
         for n, line in enumerate((t or "").split("\n")):
-            for x in templates(line) if i is not None else []:
+            w, own = templates(line)
+            for x in own if i is not None else []:
                 where.setdefault(x, set()).add((i, n))
-    recurs = {x: min(at) for x, at in where.items() if len({d for d, _ in at}) >= (3 if isinstance(x[0], tuple) else 2)}
+                kinds.setdefault(x, set()).add(tuple(w))
+    recurs = {x: min(at) for x, at in where.items() if len({d for d, _ in at}) > 1 and (x[0] == "whole" or len(kinds[x]) >= variants)}
     out = []
     for i, t in rows:
         lines = t.split("\n") if t is not None else []
-        gone = [i is not None and any(recurs.get(x, (i, n)) != (i, n) for x in templates(line)) for n, line in enumerate(lines)]
+        gone = []
+        for n, line in enumerate(lines):
+            w, own = templates(line)
+            # a line stands for all lines that are the same but for its fields
+            first = min(where[own[0]]) if i is not None and own else None
+            gone.append(i is not None and any(x in recurs and recurs[x] != ((i, n) if x[0] == "whole" else first) for x in own))
         out.append((i, None if t is None else "\n".join(x for x, g in zip(lines, gone) if not g), len(lines), sum(gone)))
     return Counter(out)
 
 
-@pytest.mark.parametrize("block", [150, 1 << 20])
-def test_recurring_templates(spark, block):
+def dropped(spark, rows, **more):
+    got = line_dedup.drop_recurring_lines(table(spark, rows), **more).collect()
+    return Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got)
+
+
+@pytest.mark.parametrize("more", [{}, {"depth": 1, "similarity": 50}, {"depth": 3, "variants": 2}])
+def test_recurring_lines(spark, more):
     rng = random.Random(8)
     name = lambda: "".join(rng.choices("abcdef", k=5))
-    kinds = ["Posted by {0} in {1} yesterday evening", "{0} likes this very much", "{0} {1} one two three", "Order 17 for {0} was sent on day 3 of May to {1} by our own carrier", "{0}  {1} {2} {2}", "Page 4 of {0} book ü", ""]
+    kinds = ["Posted by {0} in {1} yesterday evening", "{0} likes this very much", "{0} {1} one two three", "Order 17 for {0} was sent on day 3 of May to {1} by our own carrier", "{0}  {1} {2} {2}", "Page 4 of {0} book ü", "", "short 7", "one two three four five"]
     rows = [(i, "\n".join(rng.choice(kinds).format(name(), name(), name()) for _ in range(rng.randint(0, 5)))) for i in range(40)]
-    rows += [(60, None), (61, ""), (None, rows[3][1]), (7, rows[7][1]), (8, rows[9][1]), (62, "Posted by x in y yesterday evening\nPosted by p in q yesterday evening")]
-    got = line_dedup.drop_recurring_templates(table(spark, rows), block_bytes=block)
-    assert got.columns == ["doc_id", "text", "block", "fp", "n_lines", "n_dropped"]
-    assert Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect()) == brute_templates(rows)
-    assert line_dedup.drop_recurring_templates(table(spark, [])).count() == 0
+    rows += [(60, None), (61, ""), (None, rows[3][1]), (7, rows[7][1]), (8, rows[9][1]), (62, "Posted by x in y yesterday evening\nPosted by p in q yesterday evening"), (63, "word " * 20_000)]
+    assert dropped(spark, rows, **more) == brute_lines(rows, **more)
+
+
+def test_recurring_lines_of_nothing_and_clashing_columns(spark):
+    clashing = table(spark, [(1, "one two"), (2, "one two")]).withColumnsRenamed({"block": "n_lines", "fp": "n_dropped"})
+    got = line_dedup.drop_recurring_lines(clashing)
+    assert got.columns == ["doc_id", "text", "n_lines", "n_dropped"] and [r["n_dropped"] for r in got.orderBy("doc_id").collect()] == [0, 1]
+    assert line_dedup.drop_recurring_lines(table(spark, [])).columns == ["doc_id", "text", "block", "fp", "n_lines", "n_dropped"]
+    assert line_dedup.drop_recurring_lines(table(spark, [])).count() == 0
+
+
+def test_depth_and_similarity_decide(spark):
+    people = [(i, f"User {n} logged in from {h} today once more") for i, (n, h) in enumerate(zip(["alice", "bob", "carol", "dan"], ["home", "work", "town", "sea"]))]
+    gone = lambda **more: sum(n for *_, n in dropped(spark, people, **more))
+    assert gone(depth=1, similarity=60) == 3  # name and place are open parts of the leaf
+    assert gone(depth=2, similarity=60) == 0  # the name is a level of the tree
+    assert gone(depth=1, similarity=90) == 0
+    first = [(i, f"{n} has joined the group of readers") for i, n in enumerate(["Anna", "Ben", "Cleo", "Dana"])]
+    assert sum(n for *_, n in dropped(spark, first)) == 3  # through the wildcard child
 
 
 def test_fields_without_digits_are_found(spark):
     names, places = ["Anna", "Ben", "Cleo", "Dana"], ["Travel", "Food", "Music", "Sport"]
     rows = [(i, f"Text of its own {'abcd'[i] * 6}\nPosted by {n} in {p} yesterday evening") for i, (n, p) in enumerate(zip(names, places))]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_templates(table(spark, rows)).collect()}
+    got = {i: t for i, t, *_ in dropped(spark, rows)}
     assert "Posted by Anna" in got[0] and not any("Posted" in got[i] for i in (1, 2, 3))
 
 
 def test_short_lines_recur(spark):
     short = "All rights reserved.\nRead more\n17\n \nShare"
-    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_templates(table(spark, [(i, f"{short}\nown{'x' * i} text") for i in (1, 2, 3)])).collect()}
+    got = {i: t for i, t, *_ in dropped(spark, [(i, f"{short}\nown{'x' * i} text") for i in (1, 2, 3)])}
     assert got[1] == f"{short}\nownx text" and got[2] == " \nownxx text" and got[3] == " \nownxxx text"
