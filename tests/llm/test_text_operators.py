@@ -62,24 +62,51 @@ def test_measures(spark):
     names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
     got = rows.select("id", *(m[n].alias(n) for n in names)).orderBy("id").collect()
     assert [tuple(r)[1:] for r in got] == [brute_measures(t) for t in TEXTS]
-    a = rows.select("id", quality.all_measures(F.col("text")).alias("m")).select("id", "m.words.*", "m.lines.*", "m.n_symbols").orderBy("id").collect()
+    a = rows.select("id", quality.base_measures(quality.words(F.col("text")), F.col("text")).alias("m")).select("id", "m.*").orderBy("id").collect()
     assert [tuple(r[n] for n in names) for r in a] == [brute_measures(t) for t in TEXTS]
+    own = rows.select("id", *(m[n].alias(n) for n in ("letter_entropy", "top_word", "n_ellipsis_lines", "n_bullet_lines"))).orderBy("id").collect()
+    for r, t in zip(own, TEXTS):
+        entropy, *rest = brute_own(t)
+        assert (r["letter_entropy"] is None) == (entropy is None) and (entropy is None or abs(r["letter_entropy"] - entropy) < 1e-9) and list(r[2:]) == rest
+
+
+def brute_own(text):
+    letters = Counter(re.findall("[a-z]", re.sub("[A-Z]", lambda x: x[0].lower(), text or "")))
+    z = sum(letters.values())
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    entropy = None if z < 100 else -sum(c / z * math.log2(c / z) for c in letters.values())
+    return entropy, max(Counter(WORD.findall(text or "")).values(), default=0), sum(bool(re.search(r"(\.\.\.|\u2026)[ \t-\r]*$", x)) for x in lines), sum(bool(re.match(r"[ \t-\r]*[-*\u2022]", x)) for x in lines)
 
 
 def brute_rejects(text):
     n, chars, symbols, lines, dup, rep = brute_measures(text)
-    return n < 50 or 100 * rep > 50 * n or 10 * symbols > n or chars < 3 * n or chars > 12 * n or 2 * dup > lines
+    entropy, top, dots, bullets = brute_own(text)
+    base = n < 50 or 100 * rep > 50 * n or 10 * symbols > n or chars < 3 * n or chars > 12 * n or 2 * dup > lines
+    return base or (entropy is not None and entropy < 2.5) or 100 * top > 30 * n or 100 * dots > 30 * lines or 100 * bullets > 90 * lines
 
 
 def test_quality_filter(spark):
     good = " ".join(f"word{i}" for i in range(60))
-    rows = [(i, t, None, None) for i, t in enumerate([*TEXTS, good, good + " # # # # # # # #", "\n".join([good] * 3)])] + [(None, good, "en", "s"), (50, good, "en", "s")]
+    rows = [(i, t, None, None) for i, t in enumerate([*TEXTS, good, good + " # # # # # # # #", "\n".join([good] * 3), good.replace("word", "aaa"), good + " the" * 40, good.replace(" ", "...\n"), "- " + good, "- word\n" + good + "\n * x"])] + [(None, good, "en", "s"), (50, good, "en", "s")]
     out = quality.quality_filter(table(spark, rows), sample_rows=10)
     assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter((i, t) for i, t, *_ in rows if not brute_rejects(t))
     assert out.columns == table(spark, []).columns and quality.quality_filter(table(spark, [])).count() == 0
     assert {r.name for r in quality.ordered_rules(table(spark, rows))} == {r.name for r in quality.RULES}
 
 
+def test_cascade_order_avoids_evaluations(spark):
+    good = " ".join(f"word{i} of" for i in range(60))
+    docs = table(spark, [(i, t, None, None) for i, t in enumerate([good] * 3 + ["too short"] * 5 + ["the " * 90] * 2)])
+    few, top = (next(r for r in quality.RULES if r.name == n) for n in ("few_words", "top_word"))
+    asked = {tuple(r.name for r in order): [(r["rule"], r["asked"], r["rejected"]) for r in quality.cascade_report(docs, order).orderBy("place").collect()] for order in ([few, top], [top, few])}
+    assert asked["few_words", "top_word"] == [("few_words", 10, 5), ("top_word", 5, 5)]  # "of" is half of the good words
+    assert asked["top_word", "few_words"] == [("top_word", 10, 10), ("few_words", 0, 0)]
+    # what a rule would evaluate is never touched for rows that an earlier rule rejected
+    broken = quality.Rule("broken", lambda m: F.when(m["n_words"] < 50, F.raise_error(F.lit("evaluated")).cast("boolean")).otherwise(False))
+    assert docs.where(quality.first_rejection(F.col("text"), [few, broken]).isNull()).count() == 5
+    assert quality.cascade_report(table(spark, []), [few, top]).agg(F.sum("asked")).first()[0] == 0
+
+
 def test_cascade_stops_at_the_first_rule(spark):
     rules = [quality.Rule("first", lambda m: F.lit(True)), quality.Rule("never", lambda m: F.raise_error(F.lit("evaluated")).cast("boolean"))]
     assert spark.range(3).select(quality.verdict({}, rules).alias("v")).distinct().first()["v"] == "first"
