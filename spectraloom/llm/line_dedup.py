@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import let, words
-from .runtime import cut
+from .runtime import cut, sized
 
 FIELD = "<*>"
 PARTS = 7
@@ -26,65 +26,90 @@ KEY = ["n_tokens", "k1", "k2"]
 
 
 def parsed(line: Column, depth: int) -> Column:
-    """struct(n_tokens, k1, k2, lead, parts, lead_literals, literals): a line's way through the tree, as hashes of tokens.
+    """struct(n_tokens, k1, k2, shape, literals): a line's way through the tree, as hashes of its tokens.
 
-    k1 and k2 are two hashes of the whole line with fields as <*>; lead has a hash for each leading token,
-    parts one for each part of the rest; the other two count the literal tokens in each of them.
+    k1 and k2 are two hashes of the whole line with fields as <*>; shape has a hash for each of the `depth`
+    leading tokens (0 where the line is shorter) and for each part of the rest; literals counts the tokens
+    without a digit in each of these, null if no token has a digit.
     """
-    masked = F.transform(words(line), lambda w: F.when(w.rlike("[0-9]"), FIELD).otherwise(w))
 
     def path(m: Column) -> Column:
-        n, lead, rest = F.size(m), F.slice(m, 1, depth), F.slice(m, depth + 1, F.greatest(F.size(m), F.lit(1)))
+        n = F.size(m)
         r = F.greatest(n - depth, F.lit(0))
         p = F.least(r, F.lit(PARTS))
-        edge = lambda i: F.floor(i * r / p).cast("int")
-        part = F.transform(F.filter(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: i < p), lambda i: F.slice(rest, edge(i) + 1, edge(i + 1) - edge(i)))
-        literal = lambda x: F.size(F.filter(x, lambda t: t != FIELD))
-        return let(
-            part,
-            lambda q: F.struct(
-                n.alias("n_tokens"), F.xxhash64(m).alias("k1"), F.xxhash64(F.reverse(m), n).alias("k2"),
-                F.transform(lead, lambda t: F.xxhash64(t)).alias("lead"), F.transform(q, lambda x: F.xxhash64(x)).alias("parts"),
-                F.transform(lead, lambda t: (t != FIELD).cast("int")).alias("lead_literals"), F.transform(q, literal).alias("literals"),
-            ),
-        )
-
-    return let(masked, path)
-
-
-def total(counts: Column) -> Column:
-    return F.aggregate(counts, F.lit(0), lambda a, b: a + b)
-
-
-def leaf_groups() -> Column:
-    """Keys of a line's leaf with each group of parts: templates with two open parts agree with all their lines in one of them."""
-    own = lambda g: F.filter("parts", lambda x, i: F.floor(i * GROUPS / F.size("parts")) == g)
-    return F.array(*(F.xxhash64("n_tokens", "lead", F.lit(g), own(g)) for g in range(GROUPS)))
-
-
-def leaf_templates(similarity: int) -> Column:
-    """Keys of the templates with one or two open parts that a line has in its leaf."""
-    literals = total(F.col("literals")) + total(F.col("lead_literals"))
-
-    def one(i: int, j: int) -> Column:
-        is_open = lambda k: (k == i) | (k == j)
-        left = literals - F.get("literals", F.lit(i)) - (F.get("literals", F.lit(j)) if j > i else 0)
-        key = F.xxhash64("n_tokens", "lead", F.lit(i), F.lit(j), F.transform("parts", lambda x, k: F.when(is_open(k), F.lit(0).cast("long")).otherwise(x)))
-        return F.when((F.size("parts") > j) & (left * 100 >= F.col("n_tokens") * similarity), key)
-
-    return F.filter(F.array(*(one(i, j) for i, j in combinations_with_replacement(range(PARTS), 2))), lambda k: k.isNotNull())
-
-
-def wildcard_templates(depth: int, similarity: int) -> Column:
-    """Keys of the templates below the wildcard child of one level: that leading token is open, all else is fixed."""
-    literals = total(F.col("literals")) + total(F.col("lead_literals"))
-
-    def one(i: int) -> Column:
-        left = literals - F.get("lead_literals", F.lit(i))
-        key = F.xxhash64("n_tokens", F.transform("lead", lambda x, k: F.when(k == i, F.lit(0).cast("long")).otherwise(x)), F.lit(-1), F.lit(i), "parts")
-        return F.when((F.size("lead") > i) & (left * 100 >= F.col("n_tokens") * similarity), key)
-
-    return F.filter(F.array(*(one(i) for i in range(depth))), lambda k: k.isNotNull())
+        lead = [F.get(m, F.lit(i)) for i in range(depth)]
+
+        def parts(rest: Column) -> list[Column]:
+            edge = lambda i: F.floor(F.lit(i) * r / p).cast("int")
+            return [F.when(p > i, F.slice(rest, edge(i) + 1, edge(i + 1) - edge(i))) for i in range(PARTS)]
+
+        def shaped(q: Column) -> Column:
+            part = [F.get(q, F.lit(i)) for i in range(PARTS)]
+            literal = lambda x: F.coalesce(F.size(F.filter(x, lambda t: t != FIELD)), F.lit(0))
+            counts = F.array(*(F.coalesce((t != FIELD).cast("int"), F.lit(0)) for t in lead), *(literal(x) for x in part))
+            shape = F.array(*(F.hash(t) for t in lead), *(F.hash(F.array_join(x, " ")) for x in part))
+            return F.struct(
+                n.alias("n_tokens"), F.xxhash64(F.array_join(m, " ")).alias("k1"), F.xxhash64(F.array_join(F.reverse(m), " "), n).alias("k2"),
+                shape.alias("shape"), F.when(F.array_contains(m, FIELD), counts).alias("literals"),
+            )
+
+        rest = F.slice(m, depth + 1, F.greatest(n, F.lit(1)))
+        return let(let(rest, lambda x: F.array(*parts(x))), shaped)
+
+    masked = lambda w: F.transform(w, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
+    own = F.when(line.rlike("[0-9]"), masked(words(line))).otherwise(words(line))
+    return let(own, path)
+
+
+class Shape:
+    """Keys of the leaf groups and templates of a parsed line; the columns n_tokens, shape and literals are at hand."""
+
+    def __init__(self, depth: int, similarity: int):
+        self.depth, self.similarity = depth, similarity
+        self.n = F.col("n_tokens")
+        self.rest = F.greatest(self.n - depth, F.lit(0))
+        self.parts = F.least(self.rest, F.lit(PARTS))
+        self.lead = [F.get("shape", F.lit(i)) for i in range(depth)]
+        self.part = [F.get("shape", F.lit(depth + i)) for i in range(PARTS)]
+        self.all_literals = F.coalesce(F.aggregate("literals", F.lit(0), lambda a, b: a + b), self.n)
+
+    def literals(self, i: int) -> Column:
+        """Literal tokens of part i, or of a leading token (i below 0)."""
+        edge = lambda k: F.floor(F.lit(k) * self.rest / self.parts).cast("int")
+        plain = F.lit(1) if i < 0 else edge(i + 1) - edge(i)
+        return F.coalesce(F.get("literals", F.lit(self.depth + i)), plain)
+
+    def enough(self, left: Column) -> Column:
+        return left * 100 >= self.n * self.similarity
+
+    def wildcards(self) -> list[Column]:
+        """Templates below the wildcard child of one level: that leading token is open, all else is fixed."""
+        out = []
+        for i in range(self.depth):
+            key = F.xxhash64(self.n, F.lit(-1), F.lit(i), *(x for k, x in enumerate(self.lead) if k != i), *self.part)
+            out.append(F.when((self.n > i) & self.enough(self.all_literals - self.literals(i - self.depth)), key))
+        return out
+
+    def groups(self) -> list[Column]:
+        """Keys such that the lines of a template share one of them at least.
+
+        Of the groups into which the parts are cut, two open parts leave one as it is.
+        """
+        held = lambda g: (F.when((F.lit(i) < self.parts) & (F.floor(F.lit(i) * GROUPS / self.parts) == g), x) for i, x in enumerate(self.part))
+        return [*(F.xxhash64(self.n, F.lit(-2), F.lit(g), *self.lead, *held(g)) for g in range(GROUPS)), *self.wildcards()]
+
+    def templates(self) -> list[Column]:
+        """The wildcard templates, and those with one or two open parts that the line has in its leaf."""
+        out = self.wildcards()
+        for i, j in combinations_with_replacement(range(PARTS), 2):
+            left = self.all_literals - self.literals(i) - (self.literals(j) if j > i else 0)
+            key = F.xxhash64(self.n, F.lit(i), F.lit(j), *self.lead, *(x for k, x in enumerate(self.part) if k not in (i, j)))
+            out.append(F.when((self.parts > j) & self.enough(left), key))
+        return out
+
+
+def each(keys: list[Column], name: str) -> Column:
+    return F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())).alias(name)
 
 
 def drop_recurring_lines(docs: DataFrame, depth: int = 2, similarity: int = 70, variants: int = 3) -> DataFrame:
@@ -93,9 +118,9 @@ def drop_recurring_lines(docs: DataFrame, depth: int = 2, similarity: int = 70,
     Lines are the parts between line feeds; a line without a word has no template. A line's templates are
     the whole line with tokens that have digits as <*>, and those of its leaf (see the module) that keep
     `similarity` per cent of its tokens as literals. A template recurs if two documents or more have a
-    line of it and, if it has open parts, at least `variants` different lines (two that differ are no
-    evidence of a field). A line that has a recurring template and is not the first line of it (smallest
-    doc_id, then earliest) goes. Kept lines are joined by line feeds again. `depth` is 1 or more.
+    line of it and, if it has open parts, at least `variants` different lines (2 or more; two that differ
+    are no evidence of a field). A line that has a recurring template and is not the first line of it
+    (smallest doc_id, then earliest) goes. Kept lines are joined by line feeds again. `depth` is 1 or more.
 
     Null text stays null (no line). A null doc_id is no document to others: its lines are kept and make no
     template recur. Rows that share a doc_id count as one document; equal rows lose the same lines, and ties
@@ -104,30 +129,29 @@ def drop_recurring_lines(docs: DataFrame, depth: int = 2, similarity: int = 70,
     columns may have any name but one that begins with __line.
 
     A leaf, template or line may hold a third of all lines: groups are only counted, and the joins are one
-    to many between tables that were written, so Spark splits their hot keys. Equal lines are one row, with
-    their first and last document, before templates are made. 64-bit hashes of templates and 128-bit hashes
-    of whole lines stand for their tokens.
+    to many between tables that were written, so Spark splits their hot keys. Templates are made only of
+    lines that meet another line in a group of parts of their leaf, and equal lines are one row by then.
+    Whole lines are told apart by 128 bits of hashes, templates by 64 bits over 32-bit hashes of their parts.
     """
     docs = docs.drop("n_lines", "n_dropped")
     keyed = docs.withColumn("__line_text", F.xxhash64("text"))
     line = keyed.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "__line_text", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     # lines are parsed once: what follows reads the hashes that were written
     node = cut(line.select("doc_id", "__line_text", "n", parsed(F.col("line"), depth).alias("p")).select("doc_id", "__line_text", "n", "p.*").where("n_tokens > 0"))
-    shape = ["lead", "parts", "lead_literals", "literals"]
-    whole = node.groupBy(*KEY).agg(F.min(F.struct("doc_id", "n")).alias("first"), F.max("doc_id").alias("last"), F.first(F.struct(*shape)).alias("s"))
-    whole = cut(whole.select(*KEY, "first", "last", "s.*"))
-    # only lines that meet `variants` lines of their leaf in a group of parts can have a recurring template there
-    groups = whole.select(*KEY, F.explode(leaf_groups()).alias("g"))
-    shared = groups.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= variants).select("g")
-    met = groups.join(shared, "g", "left_semi").select(*KEY).distinct()
-    ends = [*KEY, "first", "last"]
-    inside = whole.join(met, KEY, "left_semi").select(*ends, F.explode(leaf_templates(similarity)).alias("t"))
-    templates = cut(inside.unionByName(whole.select(*ends, F.explode(wildcard_templates(depth, similarity)).alias("t"))))
+    shape = Shape(depth, similarity)
+    ends = [F.min(F.struct("doc_id", "n")).alias("first"), F.max("doc_id").alias("last")]
+    exact = node.groupBy(*KEY).agg(*ends).where(F.col("first.doc_id") < F.col("last")).select(*KEY, "first", F.lit(False).alias("all"))
+    # only lines that meet another one in a group can have a recurring template with open parts
+    groups = node.select(*KEY, each(shape.groups(), "g"))
+    shared = sized(groups.groupBy("g").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("g"))
+    met = sized(groups.join(shared, "g", "left_semi").select(*KEY).distinct())
+    some = node.join(met, KEY, "left_semi").groupBy(*KEY).agg(*ends, F.first(F.struct("shape", "literals")).alias("s")).select(*KEY, "first", "last", "s.*")
+    templates = cut(some.select(*KEY, "first", "last", each(shape.templates(), "t")))
     counted = templates.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("first").alias("t_first"), F.max("last").alias("t_last"))
-    recurring = cut(counted.where((F.col("c") >= variants) & (F.col("t_first.doc_id") < F.col("t_last"))).select("t", "t_first"))
-    all_go = templates.join(recurring, "t").where(F.col("first") != F.col("t_first")).select(*KEY).distinct().withColumn("all", F.lit(True))
-    judged = whole.select(*ends).join(all_go, KEY, "left").where((F.col("first.doc_id") < F.col("last")) | F.col("all"))
-    judged = cut(judged.select(*KEY, "first", F.coalesce("all", F.lit(False)).alias("all")))  # its own shuffle in the join, which lets Spark split hot keys
+    recurring = sized(counted.where((F.col("c") >= variants) & (F.col("t_first.doc_id") < F.col("t_last"))).select("t", "t_first"))
+    open_ones = templates.join(recurring, "t").where(F.col("first") != F.col("t_first")).select(*KEY, "first", F.lit(True).alias("all"))
+    # its own shuffle in the join, which lets Spark split hot keys
+    judged = cut(exact.unionByName(open_ones).groupBy(*KEY).agg(F.min("first").alias("first"), F.max("all").alias("all")))
     gone = node.select("doc_id", "__line_text", "n", *KEY).join(judged, KEY).where(F.col("all") | (F.struct("doc_id", "n") != F.col("first")))
     by_doc = gone.groupBy("doc_id", "__line_text").agg(F.collect_set("n").alias("__line_gone")).withColumnsRenamed({"doc_id": "__line_doc", "__line_text": "__line_hash"})
     return without(keyed, by_doc)

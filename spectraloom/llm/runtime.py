@@ -1,4 +1,4 @@
-"""Session helpers of the text operators: lineage cuts in the shared folder, input sizes, block counts."""
+"""Session helpers of the text operators: lineage cuts in the shared folder, checked broadcasts, block counts."""
 
 from __future__ import annotations
 
@@ -8,22 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 4 << 20  # text that one grouped task call holds at once
+BROADCAST_BYTES = 16 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` once in the folder named by spark.checkpoint.dir and return it without lineage.
 
-    Only where the session names no folder (tests, a laptop) is a temporary one set.
+    A session on this machine alone (tests, a laptop) may name no folder and gets a temporary one; a
+    cluster must name one that all its machines share.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spectraloom-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spectraloom-checkpoint-"))
     return df.checkpoint()
 
 
-def text_size(docs: DataFrame, column: str = "text") -> int:
-    """Bytes of text in all rows: one aggregate over the column."""
-    return int(docs.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0)
+def sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` materialised, with a broadcast hint if its rows, counted, take `limit` bytes at most; else Spark shuffles it.
+
+    For tables of numbers: a column counts as 16 bytes.
+    """
+    out = cut(df)
+    return F.broadcast(out) if out.count() * 16 * len(out.columns) <= limit else out
 
 
 def block_count(spark: SparkSession, size: int, block_bytes: int = BLOCK_BYTES) -> int:
