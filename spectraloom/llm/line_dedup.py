@@ -16,7 +16,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quality import let, words
+from .quality import INK, let, words
 from .runtime import cut, sized
 
 FIELD = "<*>"
@@ -25,40 +25,28 @@ GROUPS = 3  # two open parts leave one of so many groups of parts as it is
 KEY = ["n_tokens", "k1", "k2"]
 
 
-def parsed(line: Column, depth: int) -> Column:
-    """struct(n_tokens, k1, k2, shape, literals): a line's way through the tree, as hashes of its tokens.
+def parsed(lines: DataFrame, depth: int) -> DataFrame:
+    """`lines` with n_tokens, k1, k2, shape and literals in place of `line`; each line has a token.
 
     k1 and k2 are two hashes of the whole line with fields as <*>; shape has a hash for each of the `depth`
-    leading tokens (0 where the line is shorter) and for each part of the rest; literals counts the tokens
-    without a digit in each of these, null if no token has a digit.
+    leading tokens and for each part of the rest, whatever it is where there is none; literals counts the
+    tokens without a digit in each of these, null if no token has a digit. Each step is a projection of its
+    own, so that a line is split once and the rest is compiled.
     """
-
-    def path(m: Column) -> Column:
-        n = F.size(m)
-        r = F.greatest(n - depth, F.lit(0))
-        p = F.least(r, F.lit(PARTS))
-        lead = [F.get(m, F.lit(i)) for i in range(depth)]
-
-        def parts(rest: Column) -> list[Column]:
-            edge = lambda i: F.floor(F.lit(i) * r / p).cast("int")
-            return [F.when(p > i, F.slice(rest, edge(i) + 1, edge(i + 1) - edge(i))) for i in range(PARTS)]
-
-        def shaped(q: Column) -> Column:
-            part = [F.get(q, F.lit(i)) for i in range(PARTS)]
-            literal = lambda x: F.coalesce(F.size(F.filter(x, lambda t: t != FIELD)), F.lit(0))
-            counts = F.array(*(F.coalesce((t != FIELD).cast("int"), F.lit(0)) for t in lead), *(literal(x) for x in part))
-            shape = F.array(*(F.hash(t) for t in lead), *(F.hash(F.array_join(x, " ")) for x in part))
-            return F.struct(
-                n.alias("n_tokens"), F.xxhash64(F.array_join(m, " ")).alias("k1"), F.xxhash64(F.array_join(F.reverse(m), " "), n).alias("k2"),
-                shape.alias("shape"), F.when(F.array_contains(m, FIELD), counts).alias("literals"),
-            )
-
-        rest = F.slice(m, depth + 1, F.greatest(n, F.lit(1)))
-        return let(let(rest, lambda x: F.array(*parts(x))), shaped)
-
-    masked = lambda w: F.transform(w, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
-    own = F.when(line.rlike("[0-9]"), masked(words(line))).otherwise(words(line))
-    return let(own, path)
+    rest = [c for c in lines.columns if c != "line"]
+    split = lines.select(*rest, F.col("line").rlike("[0-9]").alias("has_digit"), words(F.col("line")).alias("w"))
+    masked = F.transform("w", lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
+    split = split.select(*rest, "has_digit", F.when(F.col("has_digit"), masked).otherwise(F.col("w")).alias("m"))
+    split = split.select(*rest, "has_digit", "m", F.size("m").alias("n_tokens"), F.array_join("m", " ").alias("whole"))
+    r = F.greatest(F.col("n_tokens") - depth, F.lit(0))
+    p = F.least(r, F.lit(PARTS))
+    lead = [F.get("m", F.lit(i)) for i in range(depth)]
+    edge = lambda i: F.floor(F.lit(i) * r / p).cast("int")
+    part = [F.when(p > i, F.slice("m", edge(i) + (depth + 1), edge(i + 1) - edge(i))) for i in range(PARTS)]
+    literal = lambda x: F.coalesce(F.size(F.filter(x, lambda t: t != FIELD)), F.lit(0))
+    counts = F.array(*(F.coalesce((t != FIELD).cast("int"), F.lit(0)) for t in lead), *(literal(x) for x in part))
+    shape = F.array(*(F.hash(t) for t in lead), *(F.hash(x) for x in part))
+    return split.select(*rest, "n_tokens", F.xxhash64("whole").alias("k1"), F.xxhash64(F.lit(1), "whole").alias("k2"), shape.alias("shape"), F.when(F.col("has_digit"), counts).alias("literals"))
 
 
 class Shape:
@@ -95,8 +83,7 @@ class Shape:
 
         Of the groups into which the parts are cut, two open parts leave one as it is.
         """
-        held = lambda g: (F.when((F.lit(i) < self.parts) & (F.floor(F.lit(i) * GROUPS / self.parts) == g), x) for i, x in enumerate(self.part))
-        return [*(F.xxhash64(self.n, F.lit(-2), F.lit(g), *self.lead, *held(g)) for g in range(GROUPS)), *self.wildcards()]
+        return [*(F.xxhash64(self.n, F.lit(-2), F.lit(g), *self.lead, *self.part[g::GROUPS]) for g in range(GROUPS)), *self.wildcards()]
 
     def templates(self) -> list[Column]:
         """The wildcard templates, and those with one or two open parts that the line has in its leaf."""
@@ -108,8 +95,9 @@ class Shape:
         return out
 
 
-def each(keys: list[Column], name: str) -> Column:
-    return F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())).alias(name)
+def each(df: DataFrame, columns: list[str], keys: list[Column], name: str) -> DataFrame:
+    """A row for each key that is not null."""
+    return df.select(*columns, F.explode(F.array(*keys)).alias(name)).where(F.col(name).isNotNull())
 
 
 def drop_recurring_lines(docs: DataFrame, depth: int = 2, similarity: int = 70, variants: int = 3) -> DataFrame:
@@ -135,18 +123,18 @@ def drop_recurring_lines(docs: DataFrame, depth: int = 2, similarity: int = 70,
     """
     docs = docs.drop("n_lines", "n_dropped")
     keyed = docs.withColumn("__line_text", F.xxhash64("text"))
-    line = keyed.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "__line_text", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    line = keyed.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "__line_text", F.posexplode(F.split("text", "\n")).alias("n", "line")).where(F.col("line").rlike(INK))
     # lines are parsed once: what follows reads the hashes that were written
-    node = cut(line.select("doc_id", "__line_text", "n", parsed(F.col("line"), depth).alias("p")).select("doc_id", "__line_text", "n", "p.*").where("n_tokens > 0"))
+    node = cut(parsed(line, depth))
     shape = Shape(depth, similarity)
     ends = [F.min(F.struct("doc_id", "n")).alias("first"), F.max("doc_id").alias("last")]
     exact = node.groupBy(*KEY).agg(*ends).where(F.col("first.doc_id") < F.col("last")).select(*KEY, "first", F.lit(False).alias("all"))
     # only lines that meet another one in a group can have a recurring template with open parts
-    groups = node.select(*KEY, each(shape.groups(), "g"))
+    groups = each(node, KEY, shape.groups(), "g")
     shared = sized(groups.groupBy("g").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("g"))
     met = sized(groups.join(shared, "g", "left_semi").select(*KEY).distinct())
     some = node.join(met, KEY, "left_semi").groupBy(*KEY).agg(*ends, F.first(F.struct("shape", "literals")).alias("s")).select(*KEY, "first", "last", "s.*")
-    templates = cut(some.select(*KEY, "first", "last", each(shape.templates(), "t")))
+    templates = cut(each(some, [*KEY, "first", "last"], shape.templates(), "t"))
     counted = templates.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("first").alias("t_first"), F.max("last").alias("t_last"))
     recurring = sized(counted.where((F.col("c") >= variants) & (F.col("t_first.doc_id") < F.col("t_last"))).select("t", "t_first"))
     open_ones = templates.join(recurring, "t").where(F.col("first") != F.col("t_first")).select(*KEY, "first", F.lit(True).alias("all"))
