@@ -136,13 +136,44 @@ def test_near_duplicates(spark):
     out = simhash.near_duplicates(table(spark, rows))
     got = out.select("doc_id", simhash.hex_digits(out["fp"]).alias("fp"), "component_id").collect()
     assert Counter((r["doc_id"], r["fp"], r["component_id"]) for r in got) == want
-    kept = simhash.drop_near_duplicates(table(spark, rows))
-    want = Counter((i, t) for (i, t), r in zip(rows, roots) if i == ids.get(r))
-    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == want
-    assert kept.columns == ["doc_id", "text", "block", "fp"]
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
+def brute_jaccard(a, b, size=5):
+    def bag(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))}
+
+    return len(bag(a) & bag(b)) / len(bag(a) | bag(b))
+
+
+def test_near_duplicates_are_dropped(spark):
+    rng = random.Random(12)
+    words = [f"{a}{b}" for a in "abcdefghijklm" for b in "nopqrstuvwxyz"]
+    base = [rng.choices(words, k=rng.randint(120, 400)) for _ in range(12)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    for k, w in enumerate(base):
+        for c in range(4):
+            edited = list(w)
+            for _ in range(1 + c):
+                edited[rng.randrange(len(w))] = f"edit{k}{c}"
+            rows.append((100 + 10 * k + c, " ".join(edited)))
+    far = [(400 + i, " ".join(rng.choices(words, k=200))) for i in range(20)]
+    rows += [*far, (500, rows[0][1].upper()), (501, rows[1][1]), (1, rows[1][1]), (None, rows[2][1]), (502, None), (503, ""), (504, " \n"), (None, "alone in its group"), (505, "a b"), (506, "a b"), (507, " ".join(words * 400))]
+    out = simhash.drop_near_duplicates(table(spark, rows))
+    kept = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert out.columns == ["doc_id", "text", "block", "fp"] and not kept - Counter(rows)
+    left = dict(x for x in kept if x[0] is not None)
+    for i, t in rows:
+        if (i, t) not in kept:  # what goes has a kept text with a smaller id that is similar enough
+            assert any(brute_jaccard(t, u) >= 0.8 and (i is None or j < i) for j, u in left.items())
+    assert kept[1, rows[1][1]] == 2 and set(range(12)) <= set(left) and {i for i, _ in far} <= set(left)
+    assert not {500, 501, 503, 504, 506} & set(left) and {502, 505, 507} <= set(left) and (None, rows[2][1]) not in kept and (None, "alone in its group") in kept
+    similar = [(i, t) for i, t in rows if i is not None and 100 <= i < 400 and brute_jaccard(t, rows[(i - 100) // 10][1]) >= 0.8]
+    assert len([1 for x in similar if x not in kept]) >= 0.7 * len(similar) and len(similar) > 20
+    assert simhash.drop_near_duplicates(table(spark, [])).count() == 0
+
+
 def test_every_pair_within_the_radius_meets_in_a_list():
     rng = np.random.default_rng(4)
     fps = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
@@ -153,11 +184,25 @@ def test_every_pair_within_the_radius_meets_in_a_list():
         assert any(all((fp ^ other) >> 8 * p & 255 == 0 for p in c) for c in simhash.INDEXED)
 
 
-def test_long_list_is_searched_like_a_short_one():
-    fps = np.unique(np.random.default_rng(1).integers(0, 1 << 14, 900).astype(np.uint64) << np.uint64(20))
-    a, b = simhash.pairs_in_lists(np.zeros(len(fps), dtype=int), fps)
-    c, d = simhash.pairs_in_long_list(fps)
-    assert len(a) and {frozenset(x) for x in zip(a.tolist(), b.tolist())} == {frozenset(x) for x in zip(c.tolist(), d.tolist())}
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_only_tallied_pairs_are_verified(radius, monkeypatch):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+    noise = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (300, 5)).astype(np.uint64), axis=1)
+    fps = np.unique(base[rng.integers(0, 6, 300)] ^ noise)
+    verified, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: verified.extend(x.tolist()) or count(x))
+    want = {frozenset((a, b)) for a, b in combinations(fps.tolist(), 2) if (a ^ b).bit_count() <= radius}
+    got = set()
+    for c in simhash.INDEXED:
+        mask = np.uint64(sum(0xFF << 8 * p for p in c))
+        _, lists = np.unique(fps & mask, return_inverse=True)
+        a, b = simhash.tallied_pairs(lists, np.full(len(fps), sum(1 << p for p in c), dtype=np.uint8), fps, radius)
+        pairs = [frozenset(x) for x in zip(a.tolist(), b.tolist())]
+        assert len(pairs) == len(set(pairs))  # each pair once in a list
+        got |= set(pairs)
+    shared = lambda x: sum((x >> 8 * p) & 255 == 0 for p in range(8))
+    assert want and got == want and all(shared(x) >= 8 - radius for x in verified)
 
 
 def test_components_of_a_chain_and_a_star(spark):
