@@ -188,7 +188,7 @@ def test_every_pair_within_the_radius_meets_in_a_list():
 def test_only_tallied_pairs_are_verified(radius, monkeypatch):
     rng = np.random.default_rng(radius)
     base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
-    noise = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (300, 5)).astype(np.uint64), axis=1)
+    noise = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (300, 2)).astype(np.uint64), axis=1)
     fps = np.unique(base[rng.integers(0, 6, 300)] ^ noise)
     verified, count = [], np.bitwise_count
     monkeypatch.setattr(np, "bitwise_count", lambda x: verified.extend(x.tolist()) or count(x))
