@@ -27,12 +27,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """`df` materialised, with a broadcast hint if its rows, counted, take `limit` bytes at most; else Spark shuffles it.
+    """`df` materialised, with a broadcast hint if it takes `limit` bytes at most by count; else Spark shuffles it.
 
-    For tables of numbers: a column counts as 16 bytes.
+    A column counts as 16 bytes a row, a string or array also as its own bytes (8 an element).
     """
     out = cut(df)
-    return F.broadcast(out) if out.count() * 16 * len(out.columns) <= limit else out
+    own = [F.octet_length(F.col(c)) if t == "string" else F.size(F.col(c)) * 8 for c, t in out.dtypes if t == "string" or t.startswith("array")]
+    rows, more = out.agg(F.count(F.lit(1)), F.sum(sum((F.coalesce(c, F.lit(0)).cast("long") for c in own), F.lit(0).cast("long")))).first()
+    return F.broadcast(out) if rows * 16 * len(out.columns) + (more or 0) <= limit else out
 
 
 def block_count(spark: SparkSession, size: int, block_bytes: int = BLOCK_BYTES) -> int:

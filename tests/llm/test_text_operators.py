@@ -179,7 +179,8 @@ def weights(tokens, a):
 @pytest.mark.parametrize("m", [mixing.Mixture(blocks=16), mixing.Mixture(entropy=None, repeats=2.0, blocks=16), mixing.Mixture(entropy=0.99, repeats=100.0, budget=3000, blocks=8), mixing.Mixture(entropy=None, cover=True, blocks=16), mixing.Mixture(entropy=0.5, budget=0, blocks=4)])
 def test_mixing(spark, m):
     rows = sources()
-    out = mixing.mix_sources(table(spark, rows).drop("block"), m)
+    out = mixing.mix_sources(table(spark, rows).withColumns({n: F.lit("own") for n in mixing.OUTPUTS}).withColumn("tokens", F.lit(1)), m)  # names that clash
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "m", "w", "tokens", *mixing.OUTPUTS]
     got = out.collect()
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((i, t) for i, t, *_ in rows)
     tokens = Counter()
@@ -221,7 +222,24 @@ def test_mixing(spark, m):
         assert sum(len(c) > 1 for c in flat) <= 1 and [max(c) for c in flat] == sorted((max(c) for c in flat), reverse=True)
     if m.cover:
         assert min(r["copies"] for r in got if r["source"] == max(tokens, key=tokens.get)) >= 1 and max(r["copies"] for r in got) <= m.repeats + 1
-    assert mixing.mix_sources(table(spark, []).drop("block"), m).count() == 0
+    assert mixing.mix_sources(table(spark, []), m).count() == 0
+
+
+def test_repetition_limit_is_met_or_an_error(spark):
+    rows = table(spark, sources())
+    with pytest.raises(ValueError, match="more than 2 times"):
+        mixing.mix_sources(rows, mixing.Mixture(entropy=None, repeats=2.0, budget=100_000))
+    with pytest.raises(ValueError):
+        mixing.mix_sources(rows, mixing.Mixture(entropy=None, repeats=0.5, cover=True))
+    total = rows.select(F.sum(F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), " "), "")))).first()[0]
+    got = mixing.mix_sources(rows, mixing.Mixture(entropy=None, repeats=3.0, budget=3 * total)).agg(F.sum(F.col("copies") * F.col("n_tokens")), F.max("copies")).first()
+    assert got[0] == 3 * total and got[1] == 3
+
+
+def test_mixing_of_rows_without_id_and_of_a_long_text(spark):
+    rows = [(None, f"w{i} " * 5, "en", "s") for i in range(200)] + [(1, "long " * 200_000, "en", "t"), (2, "x", "en", None)]
+    out = mixing.mix_sources(table(spark, rows), mixing.Mixture(blocks=64)).collect()
+    assert len(out) == 202 and len({r["block"] for r in out if r["doc_id"] is None}) > 20
 
 
 # --- decontamination
