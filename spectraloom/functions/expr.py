@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -185,16 +186,34 @@ def top_values(values: Column, m: int) -> Column:
     return F.slice(F.concat(F.sort_array(values, asc=False), F.array_repeat(F.lit(0.0), m)), 1, m)
 
 
+def peaks_between(mz: Column, intensity: Column, low: Column, high: Column) -> Column:
+    """array of struct(m, i): the peaks from low to high, both included."""
+    return F.filter(F.zip_with(mz, intensity, lambda m, i: F.struct(m.alias("m"), i.alias("i"))), lambda p: p["m"].between(low, high))
+
+
+def strongest(peaks: Column, target: Column, ppm: float) -> Column:
+    """Largest intensity of such peaks within ppm of target (both ends included), 0 without one."""
+    tolerance = ppm_tolerance(target, ppm)
+    hits = F.filter(peaks, lambda p: p["m"].between(target - tolerance, target + tolerance))
+    return F.coalesce(F.array_max(F.transform(hits, lambda p: p["i"])), F.lit(0.0)).cast("double")
+
+
 def peak_intensity(mz: Column, intensity: Column, target: Column, ppm: float = 20.0) -> Column:
     """Largest intensity among peaks within ppm of target (both ends included), 0 without one."""
     tolerance = ppm_tolerance(target, ppm)
-    hits = F.filter(F.zip_with(mz, intensity, lambda m, i: F.struct(m.alias("m"), i.alias("i"))), lambda p: p["m"].between(target - tolerance, target + tolerance))
-    return F.coalesce(F.array_max(F.transform(hits, lambda p: p["i"])), F.lit(0.0)).cast("double")
+    return strongest(peaks_between(mz, intensity, target - tolerance, target + tolerance), target, ppm)
 
 
 def isotope_peaks(mz: Column, intensity: Column, target: Column, charge: Column, ppm: float = 20.0) -> dict[str, Column]:
-    """Intensities of the peaks M-1, M and M+1."""
-    return {n: peak_intensity(mz, intensity, isotope_mz(target, charge, s), ppm) for n, s in (("M-1", -1), ("M", 0), ("M+1", 1))}
+    """Intensities of the peaks M-1, M and M+1. The spectrum is passed through once, for what lies around all three."""
+    low, high = isotope_mz(target, charge, -1), isotope_mz(target, charge, 1)
+    reach = ppm_tolerance(high, ppm)
+
+    def three(near: Column) -> Column:
+        return F.array(*(strongest(near, isotope_mz(target, charge, s), ppm) for s in (-1, 0, 1)))
+
+    found = F.element_at(F.transform(F.array(peaks_between(mz, intensity, low - reach, high + reach)), three), 1)
+    return {n: F.coalesce(F.get(found, F.lit(k)), F.lit(0.0)) for k, n in enumerate(("M-1", "M", "M+1"))}
 
 
 def mass_of(sequence: Column) -> Column:
@@ -206,4 +225,5 @@ def mass_of(sequence: Column) -> Column:
 @F.pandas_udf(T.DoubleType())
 def corr_pvalue(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-tailed p of a Pearson correlation r of n pairs, null where it has none."""
-    return pd.Series([pearson_pvalue(float(a), int(b)) if pd.notna(a) and pd.notna(b) else None for a, b in zip(r, n)], dtype="float64")
+    p = pearson_pvalue(r.to_numpy(float, na_value=np.nan), n.to_numpy(float, na_value=np.nan))
+    return pd.Series(p).where(~np.isnan(p))

@@ -1,4 +1,4 @@
-"""NumPy kernels for what SQL expresses badly: correlation matrices, non-negative Lasso, p-values."""
+"""NumPy kernels for what SQL expresses badly: non-negative Lasso, p-values."""
 
 from __future__ import annotations
 
@@ -7,47 +7,6 @@ import math
 import numpy as np
 
 
-def pearson_by_row(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
-    """Pearson of each row with a vector; 0 where either does not vary."""
-    a = matrix - matrix.mean(axis=1, keepdims=True)
-    b = vector - vector.mean()
-    norm = np.sqrt((a * a).sum(axis=1) * (b * b).sum())
-    return np.divide(a @ b, norm, out=np.zeros(len(matrix)), where=norm > 1e-12)
-
-
-def masked_correlation(matrix: np.ndarray, drop: str) -> tuple[np.ndarray, np.ndarray]:
-    """(correlations, pair counts) of all rows with all rows over the positions that count for the pair.
-
-    drop: "either_zero" leaves out positions where one of the two is 0, "both_zero" those where both are,
-    "none" nothing. NaN for fewer than two positions or no variation; 1 on the diagonal.
-    """
-    x = np.asarray(matrix, dtype=np.float64)
-    n = len(x)
-    out, counts = np.full((n, n), np.nan), np.zeros((n, n), dtype=np.int64)
-    for i in range(n):
-        keep = {"either_zero": (x != 0) & (x[i] != 0), "both_zero": (x != 0) | (x[i] != 0), "none": np.ones_like(x, dtype=bool)}[drop]
-        k = keep.sum(axis=1)
-        counts[i] = k
-        safe = np.maximum(k, 1)
-        a, b = np.where(keep, x, 0.0), np.where(keep, x[i], 0.0)
-        da = np.where(keep, x - (a.sum(axis=1) / safe)[:, None], 0.0)
-        db = np.where(keep, x[i] - (b.sum(axis=1) / safe)[:, None], 0.0)
-        norm = np.sqrt((da * da).sum(axis=1) * (db * db).sum(axis=1))
-        good = (k >= 2) & (norm > 1e-12)
-        out[i, good] = (da * db).sum(axis=1)[good] / norm[good]
-    np.fill_diagonal(out, 1.0)
-    return out, counts
-
-
-def squared_off_diagonal(matrix: np.ndarray) -> np.ndarray:
-    """Ascending squares of all correlations between different rows; rows that do not vary are left out."""
-    if len(matrix) < 2:
-        return np.empty(0)
-    c, _ = masked_correlation(matrix, "none")
-    v = c[~np.eye(len(c), dtype=bool)]
-    return np.sort(v[~np.isnan(v)] ** 2)
-
-
 def nn_lasso(x: np.ndarray, y: np.ndarray, alpha: float = 0.1, max_iter: int = 10_000, tol: float = 1e-10) -> tuple[np.ndarray, float]:
     """Coordinate descent for min 1/(2n) |y - xw - b|^2 + alpha |w|_1 with w >= 0. Returns (w, b)."""
     mean_x, mean_y = x.mean(axis=0), y.mean()
@@ -66,37 +25,42 @@ def nn_lasso(x: np.ndarray, y: np.ndarray, alpha: float = 0.1, max_iter: int = 1
     return w, float(mean_y - mean_x @ w)
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function, by Lentz."""
-    tiny, c = 1e-300, 1.0
-    d = 1.0 / max(1.0 - (a + b) * x / (a + 1.0), tiny)
-    out = d
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Continued fraction of the incomplete beta function, by Lentz, for arrays."""
+    tiny, c = 1e-300, np.ones_like(x)
+    guarded = lambda v: np.where(np.abs(v) > tiny, v, tiny)
+    d = 1.0 / guarded(1.0 - (a + b) * x / (a + 1.0))
+    out = d.copy()
     for m in range(1, 500):
         for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 + term * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + term / c
-            c = c if abs(c) > tiny else tiny
+            d = 1.0 / guarded(1.0 + term * d)
+            c = guarded(1.0 + term / c)
             out *= c * d
-        if abs(c * d - 1.0) < 1e-15:
+        if (np.abs(c * d - 1.0) < 1e-15).all():
             break
     return out
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function."""
-    if x <= 0 or x >= 1:
-        return 0.0 if x <= 0 else 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
 
+def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function of arrays with 0 < x < 1."""
+    front = np.exp(_lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(x) + b * np.log1p(-x))
+    low = x < (a + 1) / (a + b + 2)
+    p, q, y = np.where(low, a, b), np.where(low, b, a), np.where(low, x, 1 - x)
+    part = front * _beta_fraction(p, q, y) / p
+    return np.where(low, part, 1 - part)
 
-def pearson_pvalue(r: float, n: int) -> float:
-    """Two-tailed p of a Pearson correlation; NaN for n <= 2, 0 at r = 1 or -1."""
-    if n <= 2 or r != r:
-        return math.nan
-    if abs(r) >= 1:
-        return 0.0
-    df = n - 2
-    t2 = r * r * df / (1 - r * r)
-    return incomplete_beta(df / 2, 0.5, df / (df + t2))
+
+def pearson_pvalue(r: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Two-tailed p of Pearson correlations; NaN for n <= 2, 0 at r = 1 or -1."""
+    r, n = np.broadcast_arrays(np.asarray(r, dtype=float), np.asarray(n, dtype=float))
+    out = np.full(r.shape, np.nan)
+    out[(n > 2) & (np.abs(r) >= 1)] = 0.0
+    out[(n > 2) & (r == 0)] = 1.0
+    some = (n > 2) & (np.abs(r) < 1) & (r != 0)
+    df = n[some] - 2
+    if some.any():
+        out[some] = incomplete_beta(df / 2, np.full(len(df), 0.5), 1 - r[some] ** 2)
+    return out

@@ -1,7 +1,8 @@
 """Fragment-intensity features per peptidoform, in long form: apex scores, PSM-to-prediction correlations, correlation matrices.
 
-A long table has one row for each expected or observed fragment of a PSM: keys, psm_id, fragment_name,
-x (observed) and p (predicted). Nothing is pivoted, so peptidoforms may have any fragments.
+All scores come from one form, `matrices`: a row for each peptidoform with its PSMs' intensities, the
+prediction and the apex spectrum as arrays in the order of fragment names. Nothing is pivoted, so
+peptidoforms may have any fragments, and what a score does not need is pruned from the plan.
 """
 
 from __future__ import annotations
@@ -25,51 +26,6 @@ def normalised_predictions(predictions: DataFrame, keys: list[str] = KEYS) -> Da
     return predictions.withColumn("predicted", X.safe_divide(F.col("predicted"), F.max("predicted").over(W.partitionBy(*keys))))
 
 
-def aligned(fragments: DataFrame, predictions: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Long table of observed and predicted fragments of every PSM: (keys, psm_id, fragment_name, x, p).
-
-    x is the intensity over the PSM's maximum, 0 for fragments that the PSM lacks but another PSM of the
-    peptidoform or the prediction has; p is the normalised prediction, 0 without one. Peptidoforms without
-    any prediction go.
-    """
-    seen = best_peaks(fragments, keys)
-    p = normalised_predictions(predictions, keys)
-    names = seen.select(*keys, "fragment_name").unionByName(p.select(*keys, "fragment_name")).distinct()
-    known = names.join(p.select(*keys).distinct(), keys, "left_semi").join(p, [*keys, "fragment_name"], "left")
-    grid = seen.select(*keys, "psm_id").distinct().join(known, keys)
-    # dealt by peptidoform: the windows here and every aggregate that follows find their groups in place
-    rows = grid.join(seen, [*keys, "psm_id", "fragment_name"], "left").repartition(*keys)
-    x = F.coalesce("fragment_intensity", F.lit(0.0))
-    top = F.max(x).over(W.partitionBy(*keys, "psm_id"))
-    return rows.select(*keys, "psm_id", "fragment_name", X.safe_divide(x, top).alias("x"), F.coalesce("predicted", F.lit(0.0)).alias("p"), F.max(F.when(F.col("fragment_intensity").isNotNull(), 1).otherwise(0)).over(W.partitionBy(*keys, "fragment_name")).alias("observed"))
-
-
-def psm_scores(long: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Correlation with the prediction and number of observed fragments of each PSM."""
-    return long.groupBy(*keys, "psm_id").agg(X.safe_corr(F.col("x"), F.col("p")).alias("correlation"), F.count_if(F.col("x") != 0).alias("n_observed"))
-
-
-def deviation(long: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Mean absolute deviation sums: l1 over all fragments, l1_total with the unobserved predictions once more, and the sum of observed predictions."""
-    n = F.count_distinct("psm_id")
-    per = long.groupBy(*keys).agg(
-        F.sum(F.abs(F.col("x") - F.col("p"))).alias("d"),
-        n.alias("n"),
-        F.sum(F.when(F.col("observed") == 0, F.col("p")).otherwise(0.0)).alias("unseen"),
-        F.sum(F.when(F.col("observed") == 1, F.col("p")).otherwise(0.0)).alias("seen"),
-    )
-    return per.select(*keys, (F.col("d") / F.col("n")).alias("l1"), ((F.col("d") + F.col("unseen") / F.col("n")) / F.col("n")).alias("l1_total"), (F.col("seen") / F.col("n")).alias("sum_predicted"))
-
-
-def apex_scores(fragments: DataFrame, predictions: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Pearson and cosine of the apex spectrum's intensities with the predictions (rt is rt_max_peptide_sub, as doubles)."""
-    p = normalised_predictions(predictions, keys)
-    apex = fragments.where(F.col("rt").cast("double") == F.col("rt_max_peptide_sub").cast("double"))
-    rows = apex.join(p.select(*keys).distinct(), keys, "left_semi").join(p, [*keys, "fragment_name"], "left")
-    q = F.coalesce("predicted", F.lit(0.0))
-    return rows.groupBy(*keys).agg(X.safe_corr(q, F.col("fragment_intensity")).alias("apex_correlation"), X.cosine(q, F.col("fragment_intensity")).alias("apex_cosine"))
-
-
 def pair_correlations(long: DataFrame, entity: str, axis: str, keys: list[str] = KEYS, keep: str = "all") -> DataFrame:
     """Correlations of all pairs of an entity (PSMs or fragments) along the other axis: (keys, a, b, correlation, n), a < b.
 
@@ -100,7 +56,6 @@ def unit_vector(x: Column) -> Column:
 
 def squared_pairs(vectors: Column) -> Column:
     """Ascending squares of the products of all pairs of different unit vectors, each pair in both orders; null vectors are left out."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     known = F.filter(vectors, lambda v: v.isNotNull())
 
     def pairs(v: Column) -> Column:
@@ -112,39 +67,80 @@ def squared_pairs(vectors: Column) -> Column:
 
 
 def matrices(fragments: DataFrame, predictions: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """One row per peptidoform: psms (array of struct(psm_id, x)), p and observed, each in the order of fragment names.
+    """One row per peptidoform: psms (array of struct(psm_id, x)), p, observed and apex (array of struct(q, i)).
 
-    The same numbers as `aligned`, gathered as arrays: fragments are dealt by peptidoform once, and vectors
-    are filled up with zeros inside the row.
+    x is the intensity over the PSM's maximum, 0 for fragments that the PSM lacks but another PSM of the
+    peptidoform or the prediction has; p is the prediction over its maximum, 0 without one; observed is 1
+    where a PSM has the fragment. All are in the order of fragment names. apex has the prediction and the
+    intensity of each peak of the PSMs at the apex (rt is rt_max_peptide_sub, as doubles), and is empty if the
+    fragments lack these columns. Peptidoforms without any prediction go.
+
+    Both tables are dealt by peptidoform once; all groups that follow lie in place.
     """
-    seen = best_peaks(fragments.repartition(*keys), keys)
-    entries = F.sort_array(F.collect_list(F.struct("fragment_name", "fragment_intensity")))
+    at_apex = F.lit(False)
+    if {"rt", "rt_max_peptide_sub"} <= set(fragments.columns):
+        at_apex = F.coalesce(F.col("rt").cast("double") == F.col("rt_max_peptide_sub").cast("double"), F.lit(False))
+    seen = fragments.select(*keys, "psm_id", "fragment_name", "fragment_intensity", at_apex.alias("a")).repartition(*keys)
+    seen = seen.groupBy(*keys, "psm_id", "fragment_name").agg(F.max("fragment_intensity").alias("fragment_intensity"), F.collect_list(F.when(F.col("a"), F.col("fragment_intensity").cast("double"))).alias("peaks"))
+    entries = F.sort_array(F.collect_list(F.struct("fragment_name", "fragment_intensity", "peaks")))
     by_psm = seen.groupBy(*keys, "psm_id").agg(entries.alias("f"))
     rows = by_psm.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("psm_id", "f"))).alias("psms"))
-    p = predictions.groupBy(*keys, "fragment_name").agg(F.max("predicted").alias("predicted")).groupBy(*keys)
+    p = predictions.select(*keys, "fragment_name", "predicted").repartition(*keys)
+    p = p.groupBy(*keys, "fragment_name").agg(F.max("predicted").alias("predicted")).groupBy(*keys)
     p = p.agg(F.map_from_entries(F.collect_list(F.struct("fragment_name", "predicted"))).alias("__p"))
     out = rows.join(p, keys).withColumn("__seen", F.array_distinct(F.flatten(F.transform("psms", lambda r: F.transform(r["f"], lambda e: e["fragment_name"])))))
     out = out.withColumns({"__names": F.array_sort(F.array_union("__seen", F.map_keys("__p"))), "__top": F.array_max(F.map_values("__p"))})
 
     def vector(r: Column) -> Column:
-        filled = F.transform(F.array(F.map_from_entries(r["f"])), lambda m: F.transform("__names", lambda n: F.coalesce(m[n], F.lit(0.0))))
+        filled = F.transform(F.array(F.map_from_arrays(r["f"]["fragment_name"], r["f"]["fragment_intensity"])), lambda m: F.transform("__names", lambda n: F.coalesce(m[n], F.lit(0.0))))
         return F.element_at(F.transform(filled, lambda v: F.transform(F.array(F.array_max(v)), lambda top: F.transform(v, lambda e: X.safe_divide(e, top)))), 1)[0]
 
+    share = lambda n: X.safe_divide(F.coalesce(F.col("__p")[n], F.lit(0.0)), F.col("__top"))
     return out.select(
         *keys,
         F.transform("psms", lambda r: F.struct(r["psm_id"].alias("psm_id"), vector(r).alias("x"))).alias("psms"),
-        F.transform("__names", lambda n: X.safe_divide(F.coalesce(F.col("__p")[n], F.lit(0.0)), F.col("__top"))).alias("p"),
+        F.transform("__names", share).alias("p"),
         F.transform("__names", lambda n: F.array_contains(F.col("__seen"), n).cast("int")).alias("observed"),
+        F.flatten(F.flatten(F.transform("psms", lambda r: F.transform(r["f"], lambda e: F.transform(e["peaks"], lambda i: F.struct(share(e["fragment_name"]).alias("q"), i.alias("i"))))))).alias("apex"),
     )
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
+def added(x: Column | str) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+
+
+def psm_scores(m: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Correlation with the prediction and number of observed fragments of each PSM, from `matrices`."""
+    own = corr_features(m, keys).select(*keys, F.inline(F.arrays_zip(F.transform("psms", lambda r: r["psm_id"]).alias("psm_id"), F.col("c").alias("correlation"), F.col("n").alias("n"))))
+    return own.select(*keys, "psm_id", "correlation", F.col("n").cast("long").alias("n_observed"))
+
+
+def deviation(m: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Mean absolute deviation sums: l1 over all fragments, l1_total with the unobserved predictions once more, and the sum of observed predictions."""
+    gaps = F.transform("psms", lambda r: added(F.zip_with(r["x"], F.col("p"), lambda x, p: F.abs(x - p))))
+    of = lambda flag: added(F.zip_with("p", "observed", lambda p, o: F.when(o == flag, p).otherwise(0.0)))
+    rows = m.select(*keys, added(gaps).alias("d"), F.size("psms").alias("n"), of(0).alias("unseen"), of(1).alias("seen"))
+    return rows.select(*keys, (F.col("d") / F.col("n")).alias("l1"), ((F.col("d") + F.col("unseen")) / F.col("n")).alias("l1_total"), F.col("seen").alias("sum_predicted"))
+
+
+def apex_scores(m: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Pearson and cosine of the apex spectrum's intensities with the predictions; peptidoforms without an apex peak go."""
+    q, i = F.transform("apex", lambda e: e["q"]), F.transform("apex", lambda e: e["i"])
+    units = m.where(F.size("apex") > 0).select(*keys, q.alias("q"), i.alias("i"), unit_vector(q).alias("uq"), unit_vector(i).alias("ui"))
+    length = F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("i"), F.col("i")))
+    return units.select(*keys, F.coalesce(dot(F.col("uq"), F.col("ui")), F.lit(0.0)).alias("apex_correlation"), F.when(length > 0, dot(F.col("q"), F.col("i")) / length).otherwise(0.0).alias("apex_cosine"))
+
+
 def corr_features(m: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """The columns of `matrices`, and psm_matrix, fragment_matrix (ascending squared correlations between PSMs and between
     observed fragments), c and n (each PSM's correlation with the prediction and its number of observed fragments).
 
     Vectors are multiplied as arrays in the JVM: no pairs of rows, no Python. A peptidoform's row holds all its PSMs.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     columns = F.transform("observed", lambda o, i: F.when(o == 1, F.transform("psms", lambda r: F.get(r["x"], i))))
     out = m.withColumns({"__units": F.transform("psms", lambda r: unit_vector(r["x"])), "__columns": F.filter(columns, lambda c: c.isNotNull()), "__p": unit_vector(F.col("p"))})
     out = out.withColumns(
@@ -162,15 +158,15 @@ QUANTILES = (0, 25, 50, 75, 100)
 TOP = 10
 
 
-def correlation_row(m: DataFrame, apex: DataFrame, keys: list[str] = KEYS, positional: bool = False) -> DataFrame:
-    """53 features of a peptidoform: percentiles and top ten of three sets of correlations, apex scores and deviations, from `matrices`."""
-    add = lambda s, v: s + v
-    rows = corr_features(m, keys).join(apex, keys, "left")
-    gaps = F.transform("psms", lambda r: F.aggregate(F.zip_with(r["x"], F.col("p"), lambda x, p: F.abs(x - p)), F.lit(0.0), add))
-    unseen = F.aggregate(F.zip_with("p", "observed", lambda p, o: F.when(o == 0, p).otherwise(0.0)), F.lit(0.0), add)
-    rows = rows.withColumns({"__gap": F.aggregate(gaps, F.lit(0.0), add), "__unseen": unseen, "__n": F.size("psms")})
-    rows = rows.withColumns({"l1": F.col("__gap") / F.col("__n"), "l1_total": (F.col("__gap") + F.col("__unseen")) / F.col("__n")})
-    individual = X.percentiles_with_index(F.col("c"), F.col("n"), QUANTILES, positional)
+def correlation_row(m: DataFrame, keys: list[str] = KEYS, positional: bool = False) -> DataFrame:
+    """53 features of a peptidoform: percentiles and top ten of three sets of correlations, the apex score and deviations, from `matrices`."""
+    q, i = F.transform("apex", lambda e: e["q"]), F.transform("apex", lambda e: e["i"])
+    gaps = F.transform("psms", lambda r: added(F.zip_with(r["x"], F.col("p"), lambda x, p: F.abs(x - p))))
+    unseen = added(F.zip_with("p", "observed", lambda p, o: F.when(o == 0, p).otherwise(0.0)))
+    rows = corr_features(m, keys).withColumns({"__gap": added(gaps), "__unseen": unseen, "__n": F.size("psms"), "__uq": unit_vector(q), "__ui": unit_vector(i)})
+    rows = rows.withColumns({"l1": F.col("__gap") / F.col("__n"), "l1_total": (F.col("__gap") + F.col("__unseen")) / F.col("__n"), "apex_correlation": dot(F.col("__uq"), F.col("__ui"))})
+    # correlations that differ by float noise tie, and ties go by the number of observed fragments
+    individual = X.percentiles_with_index(F.transform("c", lambda c: F.round(c, 9)), F.col("n"), QUANTILES, positional)
     out = rows.withColumns({"__psm": X.percentiles(F.col("psm_matrix"), QUANTILES), "__frag": X.percentiles(F.col("fragment_matrix"), QUANTILES), "__ind": individual})
     out = out.withColumns({"__tp": X.top_values(F.col("psm_matrix"), TOP), "__tf": X.top_values(F.col("fragment_matrix"), TOP), "__ti": X.top_values(F.col("c"), TOP)})
     features = {}

@@ -66,10 +66,30 @@ def ms1_of_ms2(spectra: DataFrame) -> DataFrame:
     return carried.where("ms_level = 2 AND ms1_scan_id IS NOT NULL")
 
 
+def base_name(path: Column) -> Column:
+    """The last part of a path, without its scheme and folders."""
+    return F.element_at(F.split(path, "[/\\\\]"), -1)
+
+
+def of_file(scans: DataFrame, psms: DataFrame, scan: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both tables with __file, by which scans of equal ids in different files are told apart.
+
+    scans has `file`; psms are of the file that their `filename` names, folders apart. PSMs without that
+    column are taken to be of the first file, by name, that has their scan. Scans without `file` are of one file.
+    """
+    if "file" not in scans.columns:
+        return scans.withColumn("__file", F.lit("")), psms.withColumn("__file", F.lit(""))
+    if "filename" in psms.columns:
+        return scans.withColumn("__file", base_name(F.col("file"))), psms.withColumn("__file", base_name(F.col("filename")))
+    first = scans.groupBy(*scan).agg(F.min("file").alias("file"))
+    return scans.join(first, [*scan, "file"], "left_semi").withColumn("__file", F.lit("")), psms.withColumn("__file", F.lit(""))
+
+
 def running_offset(df: DataFrame, part: str, column: str = "psm_id") -> DataFrame:
     """Ids made unique over parts: each part starts after the greatest id of the parts before it.
 
-    One small aggregate and a window over the parts alone; the rows themselves are not put in order.
+    One small aggregate and a window over the parts alone, one row each, of which a run has some hundred at
+    most; the rows themselves are not put in order.
     """
     tops = df.groupBy(part).agg((F.max(column) + 1).alias("__size"))
     before = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)

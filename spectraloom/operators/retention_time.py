@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import RESIDUES
 from ..schemas import require_columns
-from .aggregates import top_by
+from .aggregates import exact_percentile, top_by
 
 
 def rt_features(psms: DataFrame, predictions: DataFrame, limit: float = 0.2, absolute: bool = True, relative: bool = True) -> DataFrame:
@@ -92,8 +92,7 @@ def training_rows(psms: DataFrame, q: float = 0.01) -> DataFrame:
 
 def below_percentile(df: DataFrame, column: str, q: float) -> DataFrame:
     """Rows strictly below the exact percentile of the column."""
-    top = df.agg(F.percentile(column, q / 100.0).alias("__cut"))
-    return df.crossJoin(F.broadcast(top)).where(F.col(column) < F.col("__cut")).drop("__cut")  # a table of one row
+    return df.where(F.col(column) < F.lit(exact_percentile(df, F.col(column), q)).cast("double"))
 
 
 def retrained(psms: DataFrame, provider: RtProvider | None = None, exclude: float = 95, q: float = 0.01) -> tuple[Callable, Callable, float]:
@@ -107,7 +106,7 @@ def retrained(psms: DataFrame, provider: RtProvider | None = None, exclude: floa
     first = provider.fit(rows)
     good = below_percentile(errors(rows, first), "error", exclude).select("peptide", "rt")
     second = provider.fit(good)
-    width = errors(good, second).agg(F.percentile("error", 0.95)).first()[0]
+    width = exact_percentile(errors(good, second), F.col("error"), 95)
     return first, second, 2.0 * (width or 0.0)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions import kernels as K
-from .joins import ppm_range_join, range_join
+from .joins import of_file, ppm_range_join, range_join
 
 
 def delogged(predictions: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,26 +40,43 @@ def predict_fragments(psms: DataFrame, provider: Callable[[pd.DataFrame], pd.Dat
     return delogged(asked.mapInPandas(run, "peptide string, charge int, b array<double>, y array<double>"), ["peptide", "charge"])
 
 
-def theoretical_ions(sequence: Column) -> Column:
-    """array of struct(fragment_name, mz): singly charged b and y ions of an unmodified sequence."""
+# Neutral losses in Da.
+LOSSES = {"": 0.0, "-H2O": 18.0105646837, "-NH3": 17.0265491015}
+
+
+def theoretical_ions(sequence: Column, max_charge: Column | None = None, losses: tuple[str, ...] = ("",)) -> Column:
+    """array of struct(fragment_name, mz): b and y ions of an unmodified sequence, of charges 1 to max_charge (1 if not given), with the named neutral losses."""
     n = F.length(sequence)
+    top = F.greatest(F.coalesce(max_charge.cast("int"), F.lit(1)), F.lit(1)) if max_charge is not None else F.lit(1)
+
+    def ions(kind: str, loss: str) -> Column:
+        def one(i: Column, z: Column, mass: Column) -> Column:
+            mz = (mass + F.lit((0.0 if kind == "y" else -X.WATER) - LOSSES[loss])) / z + F.lit(X.PROTON)
+            return F.struct(F.concat(F.lit(kind), i.cast("string"), F.lit(f"{loss}/"), z.cast("string")).alias("fragment_name"), mz.alias("mz"))
 
-    def ions(kind: str) -> Column:
-        def one(i: Column) -> Column:
+        def of_length(i: Column) -> Column:
             part = F.substr(sequence, F.lit(1), i) if kind == "b" else F.substr(sequence, n - i + 1, i)
-            mass = X.mass_of(part) + F.lit(X.PROTON - (X.WATER if kind == "b" else 0.0))
-            return F.struct(X.fragment_name(F.lit(kind), i, F.lit(1)).alias("fragment_name"), mass.alias("mz"))
+            mass = F.array(X.mass_of(part))
+            return F.flatten(F.transform(mass, lambda m: F.transform(F.sequence(F.lit(1), top), lambda z: one(i, z, m))))
 
-        return F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), one)).otherwise(F.array().cast("array<struct<fragment_name:string,mz:double>>"))
+        lengths = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), of_length)
+        return F.when(n > 1, F.flatten(lengths)).otherwise(F.array().cast("array<struct<fragment_name:string,mz:double>>"))
 
-    return F.concat(ions("b"), ions("y"))
+    return F.concat(*(ions(kind, loss) for loss in losses for kind in "by"))
 
 
-def annotate(psms: DataFrame, spectra: DataFrame, ppm: float = 20.0) -> DataFrame:
-    """(psm_id, peptide, charge, fragment_name, fragment_intensity): the strongest peak within ppm of each theoretical ion."""
-    ions = psms.select("psm_id", "scannr", "peptide", "charge", F.inline(theoretical_ions(X.base_sequence(F.col("peptide"))))).withColumnRenamed("mz", "target_mz").where("target_mz IS NOT NULL")
-    peaks = spectra.select(F.col("scan_id").alias("scannr"), F.explode(F.arrays_zip("mz", "intensity")).alias("p")).select("scannr", "p.mz", "p.intensity")
-    met = ppm_range_join(peaks, ions, ppm=ppm, on=["scannr"])
+def annotate(psms: DataFrame, spectra: DataFrame, ppm: float = 20.0, max_charge: int = 1, losses: tuple[str, ...] = ("",)) -> DataFrame:
+    """(psm_id, peptide, charge, fragment_name, fragment_intensity): the strongest peak within ppm of each theoretical ion.
+
+    Ions have charges up to max_charge, but below the precursor's where that is 2 or more. Scans are told
+    apart by file and scan id (see `of_file`).
+    """
+    scans, rows = of_file(spectra.withColumnRenamed("scan_id", "scannr"), psms, ["scannr"])
+    charges = F.least(F.lit(max_charge), F.greatest(F.col("charge").cast("int") - 1, F.lit(1)))
+    own = theoretical_ions(X.base_sequence(F.col("peptide")), charges, losses)
+    ions = rows.select("psm_id", "__file", "scannr", "peptide", "charge", F.inline(own)).withColumnRenamed("mz", "target_mz").where("target_mz IS NOT NULL")
+    peaks = scans.select("__file", "scannr", F.explode(F.arrays_zip("mz", "intensity")).alias("p")).select("__file", "scannr", "p.mz", "p.intensity")
+    met = ppm_range_join(peaks, ions, ppm=ppm, on=["__file", "scannr"])
     return met.groupBy("psm_id", "peptide", "charge", "fragment_name").agg(F.max("intensity").alias("fragment_intensity"))
 
 

@@ -58,6 +58,9 @@ def r(c: Column, places: int = 6) -> Column:
     return F.round(c, places) + F.lit(0.0)
 
 
+NUDGE = 1 + 1e-11  # halves, which sums in another order miss on either side, all round up
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -287,9 +290,9 @@ def _(spark, d):
     return out.withColumns({"spectrum_q_mean": r(F.col("spectrum_q_mean")), "rt_sum": r(F.col("rt_sum"), 2)})
 
 
-@query("rt_error_p95", "SELECT round(quantile_cont(abs(rt - rt_predictions), 0.95), 6) + 0.0 AS p95 FROM psm JOIN rtp USING (peptide)", PSM, RTP)
+@query("rt_error_p95", "SELECT round(quantile_cont(abs(rt - rt_predictions), 0.95), 5) + 0.0 AS p95 FROM psm JOIN rtp USING (peptide)", PSM, RTP)
 def _(spark, d):
-    return A.percentile(psm(spark, d).join(rtp(spark, d), "peptide"), F.abs(F.col("rt") - F.col("rt_predictions")), 95, "p95").select(r(F.col("p95")).alias("p95"))
+    return A.percentile(psm(spark, d).join(rtp(spark, d), "peptide"), F.abs(F.col("rt") - F.col("rt_predictions")), 95, "p95").select(r(F.col("p95"), 5).alias("p95"))
 
 
 @query(
@@ -344,8 +347,15 @@ def predictions(spark, d):
     return f.groupBy("peptide", "charge", "fragment_name").agg(F.round(F.avg("predicted"), 6).alias("predicted"))
 
 
-def long(spark, d):
-    return M.aligned(own(spark, d).drop("predicted"), predictions(spark, d))
+def with_rt_max(spark, d):
+    """Fragments with rt_max_peptide_sub, the rt of their peptide's most intense fragment."""
+    f = own(spark, d).select("psm_id", "fragment_name", "fragment_intensity", "predicted", "peptide", "charge", "rt")
+    tops = A.max_fragment_per_peptide(A.max_fragment_per_psm(f)).select("peptide", F.col("rt").alias("rt_max_peptide_sub"))
+    return f.drop("predicted").join(tops, "peptide", "left")
+
+
+def matrices(spark, d):
+    return M.matrices(own(spark, d).drop("predicted", "rt"), predictions(spark, d))
 
 
 @query("pred_normalise", "SELECT peptide, charge, fragment_name, round(p, 6) + 0.0 AS predicted FROM norm", PSM, FRAG, OWN, PRED, NORM)
@@ -365,17 +375,17 @@ def corr_sql(x: str, y: str, other: str) -> str:
 
 @query("psm_pred_corr", f"SELECT peptide, charge, psm_id, round({corr_sql('x', 'p', '0.0')}, 6) + 0.0 AS correlation, count(*) FILTER (x <> 0) AS n_observed FROM long GROUP BY ALL", PSM, FRAG, OWN, PRED, NORM, LONG)
 def _(spark, d):
-    return M.psm_scores(long(spark, d)).withColumn("correlation", r(F.col("correlation")))
+    return M.psm_scores(matrices(spark, d)).withColumn("correlation", r(F.col("correlation")))
 
 
 @query(
     "l1_pred_error",
-    """, s AS (SELECT peptide, charge, sum(abs(x - p)) AS dev, count(DISTINCT psm_id) AS n, sum(CASE WHEN observed = 0 THEN p ELSE 0 END) AS unseen, sum(CASE WHEN observed = 1 THEN p ELSE 0 END) AS seen FROM long GROUP BY ALL)
-SELECT peptide, charge, round(dev / n, 9) + 0.0 AS l1, round((dev + unseen / n) / n, 9) + 0.0 AS l1_total, round(seen / n, 9) + 0.0 AS sum_predicted FROM s""",
+    f""", s AS (SELECT peptide, charge, sum(abs(x - p)) AS dev, count(DISTINCT psm_id) AS n, sum(CASE WHEN observed = 0 THEN p ELSE 0 END) AS unseen, sum(CASE WHEN observed = 1 THEN p ELSE 0 END) AS seen FROM long GROUP BY ALL)
+SELECT peptide, charge, round(dev / n, 6) + 0.0 AS l1, round((dev + unseen / n) / n, 6) + 0.0 AS l1_total, round(seen / n * {NUDGE}, 6) + 0.0 AS sum_predicted FROM s""",
     PSM, FRAG, OWN, PRED, NORM, LONG,
 )
 def _(spark, d):
-    return M.deviation(long(spark, d)).select("peptide", "charge", *(r(F.col(c), 9).alias(c) for c in ("l1", "l1_total", "sum_predicted")))
+    return M.deviation(matrices(spark, d)).select("peptide", "charge", *(r(F.col(c)).alias(c) for c in ("l1", "l1_total")), r(F.col("sum_predicted") * NUDGE).alias("sum_predicted"))
 
 
 @query(
@@ -387,7 +397,7 @@ WHERE rt = rt_max AND (peptide, charge) IN (SELECT (peptide, charge) FROM norm)
     PSM, FRAG, OWN, APEX, PRED, NORM,
 )
 def _(spark, d):
-    out = M.apex_scores(near(spark, d).drop("predicted"), predictions(spark, d))
+    out = M.apex_scores(M.matrices(with_rt_max(spark, d), predictions(spark, d)))
     return out.withColumns({c: r(F.col(c)) for c in ("apex_correlation", "apex_cosine")})
 
 
@@ -420,7 +430,16 @@ def _(spark, d):
     return pairs(spark, d, "vec_id", "dim", "any")
 
 
-@query("corr_pvalue")
+@query(
+    "corr_pvalue",
+    f""", c AS (SELECT peptide, {corr_sql('rt', 'spectrum_q', 'NULL')} AS r, count(*) AS n FROM psm GROUP BY 1),
+t AS (SELECT peptide, r, n, n - 2 AS f, 1 - r * r AS k FROM c),
+-- the distribution of t with whole degrees of freedom is a finite sum of powers of 1 - r^2
+u AS (SELECT *, list_transform(range(0, CASE WHEN f % 2 = 0 THEN f // 2 ELSE (f - 1) // 2 END), lambda i: k ** i * list_product(list_transform(range(1, i + 1), lambda j: CASE WHEN f % 2 = 0 THEN (2 * j - 1) / (2 * j) ELSE 2 * j / (2 * j + 1) END)::DOUBLE[] || [1.0::DOUBLE])) AS terms FROM t WHERE n > 2)
+SELECT peptide, round(r, 6) + 0.0 AS r, n, round(CASE WHEN n <= 2 OR r IS NULL THEN NULL WHEN abs(r) >= 1 THEN 0
+  WHEN f % 2 = 0 THEN 1 - abs(r) * list_sum(terms) ELSE 1 - 2 / pi() * (asin(abs(r)) + abs(r) * sqrt(k) * coalesce(list_sum(terms), 0)) END, 6) + 0.0 AS p FROM t LEFT JOIN (SELECT peptide, terms FROM u) USING (peptide)""",
+    PSM,
+)
 def _(spark, d):
     p = psm(spark, d).groupBy("peptide").agg(X.safe_corr(F.col("rt"), F.col("spectrum_q"), None).alias("r"), F.count(F.lit(1)).alias("n"))
     return p.select("peptide", r(F.col("r")).alias("r"), "n", r(X.corr_pvalue(F.col("r"), F.col("n"))).alias("p"))
@@ -457,31 +476,45 @@ def _(spark, d):
     return scores(spark, d).select("peptide", X.top_values(F.col("v"), 5).alias("t")).select("peptide", *(F.get("t", F.lit(i)).alias(f"top{i + 1}") for i in range(5)))
 
 
-@query(
-    "correlation_feature_row",
-    f""", sc AS (SELECT peptide, charge, psm_id, {corr_sql('x', 'p', '0.0')} AS c, count(*) FILTER (x <> 0) AS n FROM long GROUP BY ALL),
+TEN = range(1, 11)
+
+
+def corr_columns() -> list[str]:
+    """SQL of the 53 columns, from the lists and quantiles of the CTEs below."""
+    out = []
+    for t, n in (("ps", "matrix_psm_ids"), ("fs", "matrix_frag_ids"), ("ss", "individual")):
+        out += [f"round(coalesce({t}.q[{k + 1}], 0), 6) + 0.0 AS distribution_correlation_{n}_{q}" for k, q in enumerate(QS)]
+        out += [f"round(coalesce({t}.v[{i}], 0), 6) + 0.0 AS top_correlation_{n}_{i}" for i in TEN]
+    out += [f"ss.w[1 + floor((len(ss.w) - 1) * {q / 100})::INT][2]::DOUBLE AS distribution_correlation_individual_{q}_index" for q in QS]
+    return [*out, "round(coalesce(ap.c, 0), 6) + 0.0 AS top_correlation_cos_1", "round(l1, 6) + 0.0 AS mse_avg_pred_intens_1", "round(l1_total, 6) + 0.0 AS mse_avg_pred_intens_total_1"]
+
+
+QUANTS = "[" + ", ".join(str(q / 100) for q in QS) + "]"
+#: Correlations are rounded before they are put in order, so that both sides tie alike.
+CORR = f"""
+sc AS (SELECT peptide, charge, psm_id, {corr_sql('x', 'p', '0.0')} AS c, count(*) FILTER (x <> 0) AS n FROM long GROUP BY ALL),
 pp AS (SELECT a.peptide, a.charge, {corr_sql('a.x', 'b.x', 'NULL')} AS c FROM long a JOIN long b ON a.peptide = b.peptide AND a.charge = b.charge AND a.fragment_name = b.fragment_name AND a.psm_id <> b.psm_id GROUP BY a.peptide, a.charge, a.psm_id, b.psm_id),
 fp AS (SELECT a.peptide, a.charge, {corr_sql('a.x', 'b.x', 'NULL')} AS c FROM long a JOIN long b ON a.peptide = b.peptide AND a.charge = b.charge AND a.psm_id = b.psm_id AND a.fragment_name <> b.fragment_name
   WHERE a.observed = 1 AND b.observed = 1 GROUP BY a.peptide, a.charge, a.fragment_name, b.fragment_name),
-ps AS (SELECT peptide, charge, list_sort(list(c * c) FILTER (c IS NOT NULL), 'DESC') AS v, quantile_cont(c * c, 0.5) AS m FROM pp GROUP BY ALL),
-fs AS (SELECT peptide, charge, list_sort(list(c * c) FILTER (c IS NOT NULL), 'DESC') AS v, quantile_cont(c * c, 0.5) AS m FROM fp GROUP BY ALL),
-ss AS (SELECT peptide, charge, list_sort(list(c), 'DESC') AS v, quantile_cont(c, 0.25) AS m FROM sc GROUP BY ALL),
-dv AS (SELECT peptide, charge, sum(abs(x - p)) / count(DISTINCT psm_id) AS l1 FROM long GROUP BY ALL),
+ps AS (SELECT peptide, charge, list_sort(list(c * c) FILTER (c IS NOT NULL), 'DESC') AS v, quantile_cont(c * c, {QUANTS}) AS q FROM pp GROUP BY ALL),
+fs AS (SELECT peptide, charge, list_sort(list(c * c) FILTER (c IS NOT NULL), 'DESC') AS v, quantile_cont(c * c, {QUANTS}) AS q FROM fp GROUP BY ALL),
+ss AS (SELECT peptide, charge, list_sort(list(c), 'DESC') AS v, quantile_cont(round(c, 9), {QUANTS}) AS q, list_sort(list((round(c, 9), n))) AS w FROM sc GROUP BY ALL),
+un AS (SELECT peptide, charge, sum(p) AS unseen FROM (SELECT DISTINCT peptide, charge, fragment_name, p FROM long WHERE observed = 0) GROUP BY ALL),
+dv AS (SELECT peptide, charge, sum(abs(x - p)) / count(DISTINCT psm_id) AS l1, (sum(abs(x - p)) + coalesce(any_value(unseen), 0)) / count(DISTINCT psm_id) AS l1_total FROM long LEFT JOIN un USING (peptide, charge) GROUP BY ALL),
 ap AS (SELECT peptide, charge, {corr_sql('coalesce(p, 0)', 'fragment_intensity', '0.0')} AS c FROM own JOIN apex USING (peptide) LEFT JOIN norm USING (peptide, charge, fragment_name)
-  WHERE rt = rt_max AND (peptide, charge) IN (SELECT (peptide, charge) FROM norm) GROUP BY ALL)
-SELECT peptide, charge, round(coalesce(ps.m, 0), 6) + 0.0 AS distribution_correlation_matrix_psm_ids_50, round(coalesce(fs.m, 0), 6) + 0.0 AS distribution_correlation_matrix_frag_ids_50,
-round(ss.m, 6) + 0.0 AS distribution_correlation_individual_25, round(coalesce(ps.v[1], 0), 6) + 0.0 AS top_correlation_matrix_psm_ids_1, round(coalesce(fs.v[2], 0), 6) + 0.0 AS top_correlation_matrix_frag_ids_2,
-round(coalesce(ss.v[3], 0), 6) + 0.0 AS top_correlation_individual_3, round(coalesce(ap.c, 0), 6) + 0.0 AS top_correlation_cos_1, round(l1, 6) + 0.0 AS mse_avg_pred_intens_1
-FROM dv JOIN ss USING (peptide, charge) LEFT JOIN ps USING (peptide, charge) LEFT JOIN fs USING (peptide, charge) LEFT JOIN ap USING (peptide, charge)""",
-    PSM, FRAG, OWN, APEX, PRED, NORM, LONG,
-)
+  WHERE rt = rt_max AND (peptide, charge) IN (SELECT (peptide, charge) FROM norm) GROUP BY ALL),
+cf AS (SELECT peptide, charge, {", ".join(corr_columns())}
+  FROM dv JOIN ss USING (peptide, charge) LEFT JOIN ps USING (peptide, charge) LEFT JOIN fs USING (peptide, charge) LEFT JOIN ap USING (peptide, charge))"""
+
+
+def corr_rows(spark, d):
+    out = M.correlation_row(M.matrices(with_rt_max(spark, d), predictions(spark, d)))
+    return out.select("peptide", "charge", *(r(F.col(n)).alias(n) for n in out.columns[2:]))
+
+
+@query("correlation_feature_row", "SELECT * FROM cf", PSM, FRAG, OWN, APEX, PRED, NORM, LONG, CORR)
 def _(spark, d):
-    out = M.correlation_row(M.matrices(own(spark, d).drop("predicted"), predictions(spark, d)), M.apex_scores(near(spark, d).drop("predicted"), predictions(spark, d)))
-    names = [
-        "distribution_correlation_matrix_psm_ids_50", "distribution_correlation_matrix_frag_ids_50", "distribution_correlation_individual_25", "top_correlation_matrix_psm_ids_1",
-        "top_correlation_matrix_frag_ids_2", "top_correlation_individual_3", "top_correlation_cos_1", "mse_avg_pred_intens_1",
-    ]
-    return out.select("peptide", "charge", *(r(F.col(n)).alias(n) for n in names))
+    return corr_rows(spark, d)
 
 
 def wide_psms(spark, d):
@@ -492,22 +525,44 @@ def wide_psms(spark, d):
     return p.withColumns({**have, **first})
 
 
-@query(
-    "peptidoform_feature_row",
-    """, f AS (SELECT DISTINCT ON (peptide, charge) * FROM psm ORDER BY peptide, charge, rt, psm_id),
-g AS (SELECT peptide, charge, max(hyperscore) AS hyperscore_max, min(rt) AS rt_min, round(avg(spectrum_q), 6) + 0.0 AS spectrum_q_mean, round(sum(hyperscore * 13), 4) + 0.0 AS s13 FROM psm GROUP BY ALL)
-SELECT peptide, charge, psm_id, CASE WHEN is_decoy THEN -1 ELSE 1 END AS is_decoy, psm_id || '|' || filename || '|' || scannr AS "SpecId", hyperscore_max, rt_min, spectrum_q_mean FROM f JOIN g USING (peptide, charge)""",
-    PSM,
-)
+def wide_sql() -> str:
+    have = sorted({*P.MAX_COLUMNS, *P.MIN_COLUMNS} - {"spectrum_q", "rt", "hyperscore"})
+    return ", ".join(f'hyperscore * {i + 1} AS "{c}"' for i, c in enumerate(have))
+
+
+def row_sql() -> str:
+    kinds = (("max", P.MAX_COLUMNS, "max"), ("min", P.MIN_COLUMNS, "min"), ("mean", P.MEAN_COLUMNS, "avg"), ("sum", P.SUM_COLUMNS, "sum"))
+    return ", ".join(f'round({f}("{c}") * {NUDGE}, 5) + 0.0 AS "{c}_{n}"' for n, cs, f in kinds for c in cs)
+
+
+WIDE = f"""
+wp AS (SELECT *, {wide_sql()}, 1 AS num_proteins, peptide AS proteins, calcmass AS expmass, length(peptide) AS peptide_len, 0 AS missed_cleavages FROM psm),
+f1 AS (SELECT DISTINCT ON (peptide, charge) peptide, charge, psm_id, filename, scannr, num_proteins, proteins, expmass, calcmass, CASE WHEN is_decoy THEN -1 ELSE 1 END AS is_decoy, peptide_len, missed_cleavages,
+  psm_id || '|' || filename || '|' || scannr AS "SpecId" FROM wp ORDER BY peptide, charge, rt, psm_id),
+pr AS (SELECT * FROM f1 JOIN (SELECT peptide, charge, {row_sql()} FROM wp GROUP BY ALL) USING (peptide, charge))"""
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Collapsed columns rounded as the SQL has them."""
+    return df.select(*((r(F.col(f"`{c}`") * NUDGE, 5) if c.endswith(("_max", "_min", "_mean", "_sum")) else F.col(f"`{c}`")).alias(c) for c in df.columns))
+
+
+@query("peptidoform_feature_row", "SELECT * FROM pr", PSM, WIDE)
 def _(spark, d):
-    out = P.peptidoform_row(wide_psms(spark, d))
-    return out.select("peptide", "charge", "psm_id", "is_decoy", "SpecId", "hyperscore_max", "rt_min", r(F.col("spectrum_q_mean")).alias("spectrum_q_mean"))
+    return rounded(P.peptidoform_row(wide_psms(spark, d)))
 
 
-@query("feature_table")
+@query(
+    "feature_table",
+    "SELECT "
+    + ", ".join(f'"{c}" AS "{P.PIN_NAMES[c]}"' for c in P.PIN_NAMES)
+    + " , pr.* EXCLUDE (scannr, "
+    + ", ".join(P.PIN_NAMES)
+    + "), cf.* EXCLUDE (peptide, charge) FROM pr JOIN cf USING (peptide, charge)",
+    PSM, FRAG, OWN, APEX, PRED, NORM, LONG, CORR, WIDE,
+)
 def _(spark, d):
-    rows = M.correlation_row(M.matrices(own(spark, d).drop("predicted"), predictions(spark, d)), M.apex_scores(near(spark, d).drop("predicted"), predictions(spark, d)))
-    return P.pin_table(wide_psms(spark, d), rows)
+    return rounded(P.pin_table(wide_psms(spark, d), corr_rows(spark, d)))
 
 
 # --- windows and order
@@ -555,9 +610,10 @@ def _(spark, d):
     return L.common(p.where("charge = 2"), p.where("charge = 4"), "peptide")
 
 
-@query("peptide_except", "SELECT peptide FROM rtp EXCEPT SELECT peptide FROM psm", PSM, RTP)
+@query("peptide_except", "SELECT peptide FROM psm WHERE charge = 2 EXCEPT SELECT peptide FROM psm WHERE charge = 4", PSM)
 def _(spark, d):
-    return L.only_first(rtp(spark, d), psm(spark, d), "peptide")
+    p = psm(spark, d)
+    return L.only_first(p.where("charge = 2"), p.where("charge = 4"), "peptide")
 
 
 @query("union_partitions", "SELECT psm_id, peptide, NULL::DOUBLE AS rt FROM psm WHERE charge = 2 UNION ALL SELECT psm_id, peptide, rt FROM psm WHERE charge <> 2", PSM)
@@ -750,18 +806,37 @@ def _(spark, d):
     return spectra(spark, d).where("ms_level = 1").select("scan_id", *(r(p[k]).alias(n) for k, n in (("M-1", "below"), ("M", "main"), ("M+1", "above"))))
 
 
+def precursor_sql() -> str:
+    mz = "(mass / charge + 1.007276466812::DOUBLE)"
+    out = []
+    for name, step in (("M-1", -1), ("M", 0), ("M+1", 1)):
+        t = f"({mz} + {step} * 1.0033548378::DOUBLE / charge)"
+        out.append(f'coalesce(max(v) FILTER (m BETWEEN {t} - {t} * 5000.0::DOUBLE * 1e-6 AND {t} + {t} * 5000.0::DOUBLE * 1e-6), 0.0) AS "precursor_intensity_{name}"')
+    return ", ".join(out)
+
+
 @query(
     "precursor_intensity",
-    """, c AS (SELECT event_id, event_type, max(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS m FROM sp),
-l AS (SELECT c.event_id, (SELECT e FROM sp WHERE sp.event_id = c.m) AS e FROM c WHERE event_type <> 'error' AND m IS NOT NULL),
-q AS (SELECT psm_id, charge, 100 * charge + rt / 20 AS mass FROM psm)
-SELECT psm_id, round(coalesce(w.v, 0), 6) + 0.0 AS main FROM q LEFT JOIN (SELECT q.psm_id, max(abs(l.e[j + 1]::DOUBLE)) AS v FROM q JOIN l ON l.event_id = q.psm_id, (SELECT unnest(range(64)) AS j)
-WHERE 100 + j * 0.5::DOUBLE BETWEEN (mass / charge + 1.007276466812::DOUBLE) - (mass / charge + 1.007276466812::DOUBLE) * 5000.0::DOUBLE * 1e-6 AND (mass / charge + 1.007276466812::DOUBLE) + (mass / charge + 1.007276466812::DOUBLE) * 5000.0::DOUBLE * 1e-6 GROUP BY 1) w USING (psm_id)""",
+    f""", c AS (SELECT user_id, event_id, event_type, max(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS m FROM sp),
+l AS (SELECT c.user_id % 3 AS file, c.event_id // 3 AS scan, max(c.m) AS ms1 FROM c WHERE event_type <> 'error' AND m IS NOT NULL AND user_id < 3 GROUP BY ALL HAVING count(*) = 1),
+q AS (SELECT psm_id, charge, psm_id % 3 AS file, psm_id // 3 AS scan, 100 * charge + rt / 20 AS mass FROM psm),
+w AS (SELECT q.psm_id, q.mass, q.charge, 100 + j * 0.5::DOUBLE AS m, round(abs(e[j + 1]::DOUBLE), 6) AS v FROM q JOIN l USING (file, scan) JOIN sp ON sp.event_id = l.ms1, (SELECT unnest(range(64)) AS j))
+SELECT q.psm_id, x.* EXCLUDE (psm_id) REPLACE ({", ".join(f'round(coalesce("precursor_intensity_{n}", 0), 6) + 0.0 AS "precursor_intensity_{n}"' for n in ("M-1", "M", "M+1"))})
+FROM q LEFT JOIN (SELECT psm_id, {precursor_sql()} FROM w GROUP BY psm_id, mass, charge) x USING (psm_id)""",
     PSM, SPECTRA,
 )
 def _(spark, d):
-    p = psm(spark, d).select("psm_id", "charge", F.col("psm_id").cast("string").alias("scannr"), (F.lit(100) * F.col("charge") + F.col("rt") / 20).alias("calcmass"))
-    return I.precursor_intensities(p, spectra(spark, d), 5000.0).select("psm_id", r(F.col("precursor_intensity_M")).alias("main"))
+    """Scan ids repeat: the events of three users are three files, and a PSM's file is its id modulo 3."""
+    s = spectra(spark, d).where("file in ('0', '1', '2')")
+    # only MS2 scans whose number is theirs alone in the file, as events are numbered over all users
+    number = F.floor(F.col("scan_index") / 3).cast("string")
+    twice = s.where("ms_level = 2").groupBy("file", number.alias("n")).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    named = s.withColumn("n", F.when(F.col("ms_level") == 2, number).otherwise(F.concat(F.lit("ms1-"), F.col("scan_id"))))
+    named = named.join(twice.drop("c"), ["file", "n"], "left_anti").withColumn("scan_id", F.col("n")).withColumn("file", F.concat(F.lit("file:/run/"), F.col("file")))
+    id_ = F.col("psm_id")
+    p = psm(spark, d).select("psm_id", "charge", (id_ % 3).cast("string").alias("filename"), F.floor(id_ / 3).cast("string").alias("scannr"), (F.lit(100) * F.col("charge") + F.col("rt") / 20).alias("calcmass"))
+    out = I.precursor_intensities(p, named, 5000.0)
+    return out.select("psm_id", *(r(F.col(f"`precursor_intensity_{n}`")).alias(f"precursor_intensity_{n}") for n in ("M-1", "M", "M+1")))
 
 
 # --- retention time
@@ -825,10 +900,28 @@ def _(spark, d):
     return Q.rescored(p, ["hyperscore", "rt", "z"]).select("psm_id", r(F.col("score"), 3).alias("score"), r(F.col("q_value"), 3).alias("q_value"))
 
 
-@query("fragment_annotation")
+def ion_sql(kind: str, losses: dict[str, float]) -> str:
+    part = "left(seq, i)" if kind == "b" else "right(seq, i)"
+    mass = f"list_sum(list_transform(string_split({part}, ''), lambda x: masses[x]))"
+    return " UNION ALL ".join(
+        f"SELECT psm_id, peptide, charge, '{kind}' || i || '{loss}/' || z AS fragment_name, ({mass} + {0.0 if kind == 'b' else X.WATER}::DOUBLE - {d}::DOUBLE) / z + {X.PROTON}::DOUBLE AS t FROM len_, m_ WHERE z <= least(2, greatest(charge - 1, 1))"
+        for loss, d in losses.items()
+    )
+
+
+@query(
+    "fragment_annotation",
+    f""", aq AS (SELECT psm_id, charge, translate(peptide, '0123456789', 'GASPVTCLNK') AS peptide FROM psm),
+len_ AS (SELECT psm_id, peptide, charge, peptide AS seq, i, z FROM aq, (SELECT unnest(range(1, 20)) AS i), (SELECT unnest([1, 2]) AS z) WHERE i < length(peptide)),
+m_ AS (SELECT MAP {{{", ".join(f"'{k}': {v}::DOUBLE" for k, v in X.RESIDUES.items())}}} AS masses),
+ions AS ({ion_sql('b', S.LOSSES)} UNION ALL {ion_sql('y', S.LOSSES)}),
+pk AS (SELECT event_id AS psm_id, 100 + j * 0.5::DOUBLE AS m, abs(e[j + 1]::DOUBLE) AS v FROM sp, (SELECT unnest(range(64)) AS j))
+SELECT ions.psm_id, peptide, charge, fragment_name, round(max(v), 6) + 0.0 AS fragment_intensity FROM ions JOIN pk USING (psm_id) WHERE m BETWEEN t - t * 5000.0::DOUBLE * 1e-6 AND t + t * 5000.0::DOUBLE * 1e-6 GROUP BY ALL""",
+    PSM, SPECTRA,
+)
 def _(spark, d):
     p = psm(spark, d).select("psm_id", F.col("psm_id").cast("string").alias("scannr"), F.translate("peptide", "0123456789", "GASPVTCLNK").alias("peptide"), "charge")
-    return S.annotate(p, spectra(spark, d), 5000.0).withColumn("fragment_intensity", r(F.col("fragment_intensity")))
+    return S.annotate(p, spectra(spark, d), 5000.0, 2, tuple(S.LOSSES)).withColumn("fragment_intensity", r(F.col("fragment_intensity")))
 
 
 @query(

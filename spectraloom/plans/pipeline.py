@@ -33,7 +33,7 @@ def with_apex(fragments: DataFrame, fragment_max_peptide: DataFrame, width: floa
 def correlation_features(fragments: DataFrame, fragment_max_peptide: DataFrame, predictions: DataFrame, width: float = 3.0) -> DataFrame:
     """The 53 correlation features of each peptidoform with predictions and fragments near its apex."""
     near = with_apex(fragments, fragment_max_peptide, width)
-    return M.correlation_row(M.matrices(near, predictions), M.apex_scores(near, predictions))
+    return M.correlation_row(M.matrices(near, predictions))
 
 
 def feature_table(results: search_results.SearchResults, spectra: DataFrame, config: EngineConfig = EngineConfig(), rt_predictions: DataFrame | None = None, fragment_predictions: DataFrame | None = None, provider: Callable = S.flat_provider) -> DataFrame:

@@ -76,21 +76,6 @@ def test_isotope_peaks(spark):
     assert one(spark, X.peak_intensity(F.array().cast("array<double>"), F.array().cast("array<double>"), F.lit(5.0))) == 0
 
 
-def test_masked_correlation():
-    x = np.array([[1.0, 2, 0, 4], [2.0, 4, 0, 8]])
-    c, n = K.masked_correlation(x, "both_zero")
-    assert c[0, 1] == pytest.approx(1) and n[0, 1] == 3
-    c, n = K.masked_correlation(np.array([[0.0, 0, 1], [0.0, 0, 2]]), "both_zero")
-    assert math.isnan(c[0, 1]) and n[0, 1] == 1
-    assert K.masked_correlation(np.array([[1.0, 2, 3]]), "none")[0].tolist() == [[1.0]]
-    c, n = K.masked_correlation(np.array([[1.0, 0, 3, 4], [2.0, 5, 6, 9]]), "either_zero")
-    assert n[0, 1] == 3 and c[0, 1] == pytest.approx(np.corrcoef([1, 3, 4], [2, 6, 9])[0, 1])
-    r = np.random.default_rng(0).random((4, 6))
-    assert np.allclose(K.masked_correlation(r, "none")[0], np.corrcoef(r))
-    assert np.allclose(K.pearson_by_row(r, r[0]), np.corrcoef(r)[0])
-    assert K.pearson_by_row(np.ones((1, 3)), np.arange(3.0)).tolist() == [0.0]
-
-
 def test_lasso_and_p_value():
     rng = np.random.default_rng(1)
     x = rng.random((60, 3))
@@ -99,4 +84,5 @@ def test_lasso_and_p_value():
     assert (K.nn_lasso(x, -x[:, 0], alpha=0.01)[0] >= 0).all()
     assert K.pearson_pvalue(0.5, 10) == pytest.approx(0.1411, abs=2e-4)
     assert K.pearson_pvalue(0.9, 5) == pytest.approx(0.0374, abs=2e-4)
-    assert K.pearson_pvalue(1.0, 5) == 0 and math.isnan(K.pearson_pvalue(0.5, 2))
+    assert K.pearson_pvalue(1.0, 5) == 0 and math.isnan(K.pearson_pvalue(0.5, 2)) and K.pearson_pvalue(0.0, 9) == 1
+    assert np.allclose(K.pearson_pvalue([0.5, -0.3, 0.9], [4, 4, 3]), [0.5, 0.7, 1 - 2 / math.pi * math.asin(0.9)])

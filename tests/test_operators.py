@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -130,20 +131,17 @@ def fragment_rows(spark):
 
 def test_fragment_features(spark):
     f, p = fragment_rows(spark)
-    long = M.aligned(f, p)
-    got = {(r["psm_id"], r["fragment_name"]): (r["x"], r["p"], r["observed"]) for r in long.collect()}
-    assert got == {(1, "b1/1"): (0.5, 0.5, 1), (1, "y1/1"): (1.0, 1.0, 1), (1, "b2/1"): (0.0, 0.0, 1), (1, "y9/1"): (0.0, 0.25, 0), (2, "b1/1"): (0.5, 0.5, 1), (2, "y1/1"): (0.0, 1.0, 1), (2, "b2/1"): (1.0, 0.0, 1), (2, "y9/1"): (0.0, 0.25, 0)}
-    d = M.deviation(long).first()
-    assert d["l1"] == pytest.approx((0.25 + 2.25) / 2) and d["sum_predicted"] == pytest.approx(1.5) and d["l1_total"] == pytest.approx((2.5 + 0.25) / 2)
-    apex = M.apex_scores(f, p)
-    assert rows(apex, "peptide") == [("PEP", 2, pytest.approx(1.0), pytest.approx(1.0))]
     m = M.matrices(f, p)
+    d = M.deviation(m).first()
+    assert d["l1"] == pytest.approx((0.25 + 2.25) / 2) and d["sum_predicted"] == pytest.approx(1.5) and d["l1_total"] == pytest.approx((2.5 + 0.25) / 2)
+    assert rows(M.apex_scores(m), "peptide") == [("PEP", 2, pytest.approx(1.0), pytest.approx(1.0))]
+    assert M.apex_scores(M.matrices(f.drop("rt"), p)).count() == 0
     assert tuple(m.select("p", "observed").first()) == ([0.5, 0.0, 1.0, 0.25], [1, 1, 1, 0])
     assert [tuple(r) for r in m.first()["psms"]] == [(1, [0.5, 0.0, 1.0, 0.0]), (2, [0.5, 1.0, 0.0, 0.0])]
-    row = M.correlation_row(m, apex)
+    row = M.correlation_row(m)
     assert row.first()["mse_avg_pred_intens_1"] == pytest.approx(d["l1"]) and row.first()["mse_avg_pred_intens_total_1"] == pytest.approx(d["l1_total"])
     assert len(row.columns) == 2 + 53 and row.count() == 1
-    scores = {r["psm_id"]: r for r in M.psm_scores(long).collect()}
+    scores = {r["psm_id"]: r for r in M.psm_scores(m).collect()}
     assert scores[1]["n_observed"] == 2 and row.first()["top_correlation_individual_1"] == pytest.approx(scores[1]["correlation"])
 
 
@@ -152,7 +150,7 @@ def test_feature_table_width(spark):
     own = {c: F.lit(1.0) for c in {*P.MAX_COLUMNS, *P.MIN_COLUMNS} - {"rt"}}
     psms = spark.createDataFrame([(1, "PEP", 2, 10.0, False), (2, "PEP", 2, 11.0, False), (3, "OTHER", 3, 5.0, True)], "psm_id long, peptide string, charge int, rt double, is_decoy boolean").withColumns({**own, "filename": F.lit("f"), "scannr": F.lit("s"), "num_proteins": F.lit(1), "proteins": F.lit("p"), "expmass": F.lit(1.0), "calcmass": F.lit(1.0), "peptide_len": F.lit(3), "missed_cleavages": F.lit(0)})
     assert len(P.peptidoform_row(psms).columns) == 59
-    pin = P.pin_table(psms, M.correlation_row(M.matrices(f, p), M.apex_scores(f, p)))
+    pin = P.pin_table(psms, M.correlation_row(M.matrices(f, p)))
     assert len(pin.columns) == 111 and len([c for c in pin.columns if c not in P.NOT_FEATURES]) == 103
     assert pin.first()["SpecId"] == "1|f|s" and pin.first()["Label"] == 1
 
@@ -164,6 +162,41 @@ def test_precursors(spark):
     assert got == [(1, 0.0, 9.0, 0.0), (2, 0.0, 0.0, 0.0)]
 
 
+def test_scan_ids_repeat_between_files(spark):
+    peaks = [("file:/data/a.mzML", 5.0), ("file:/data/b.mzML", 9.0)]
+    scans = [row for f, i in peaks for row in ((f, "scan=0", 0, 1, [501.007276466812], [i]), (f, "scan=1", 1, 2, [58.0287], [i]))]
+    spectra = spark.createDataFrame(scans, "file string, scan_id string, scan_index long, ms_level int, mz array<double>, intensity array<double>")
+    psms = spark.createDataFrame([(1, "b.mzML", "scan=1", 2, 1000.0, "GAG"), (2, "a.mzML", "scan=1", 2, 1000.0, "GAG"), (3, "c.mzML", "scan=1", 2, 1000.0, "GAG"), (4, None, "scan=1", 2, None, "GAG")], "psm_id long, filename string, scannr string, charge int, calcmass double, peptide string")
+    names = ["`precursor_intensity_M-1`", "precursor_intensity_M", "`precursor_intensity_M+1`"]
+    got = rows(I.precursor_intensities(psms, spectra).select("psm_id", *names), "psm_id")
+    assert got == [(1, 0.0, 9.0, 0.0), (2, 0.0, 5.0, 0.0), (3, 0.0, 0.0, 0.0), (4, 0.0, 0.0, 0.0)]
+    alone = rows(I.precursor_intensities(psms.drop("filename"), spectra).select("psm_id", *names), "psm_id")
+    assert alone == [(1, 0.0, 5.0, 0.0), (2, 0.0, 5.0, 0.0), (3, 0.0, 5.0, 0.0), (4, 0.0, 0.0, 0.0)]
+    assert rows(S.annotate(psms, spectra).select("psm_id", "fragment_name", "fragment_intensity"), "psm_id") == [(1, "b1/1", 9.0), (2, "b1/1", 5.0)]
+
+
+def test_top_row_is_never_a_null_one(spark):
+    df = spark.createDataFrame([("a", 1, None), ("a", 2, 5.0), ("a", 3, 5.0), ("b", 4, None)], "k string, id long, v double")
+    assert rows(A.top_by(df, ["k"], "v", "id"), "k") == [("a", 2, 5.0), ("b", 4, None)]
+
+
+def test_exact_percentile(spark):
+    values = [float(x * x % 997) for x in range(1000)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
+    for q in (0, 2.5, 50, 95, 100):
+        assert A.exact_percentile(df, F.col("v"), q, accuracy=50) == pytest.approx(np.percentile(values, q))
+    assert A.exact_percentile(df.where("v < 0"), F.col("v"), 50) is None
+    assert A.percentile(df.where("v < 0"), F.col("v"), 50, "p").first()["p"] is None
+    assert R.below_percentile(df.where("v < 0"), "v", 50).count() == 0
+
+
+def test_ions_of_higher_charge_and_with_losses(spark):
+    ions = {i["fragment_name"]: i["mz"] for i in spark.range(1).select(S.theoretical_ions(F.lit("GAG"), F.lit(2), tuple(S.LOSSES)).alias("x")).first()["x"]}
+    assert len(ions) == 2 * 2 * 2 * 3
+    assert ions["b1/2"] == pytest.approx((57.02146372 + 2 * 1.007276466812) / 2) and ions["y1-H2O/1"] == pytest.approx(57.02146372 + 1.007276466812)
+    assert ions["b2-NH3/1"] == pytest.approx(57.02146372 + 71.03711379 - 17.0265491015 + 1.007276466812)
+
+
 def test_rt_model_and_bounds(spark):
     weight = {r: i for i, r in enumerate("ACDEFGHIKLMNPQRSTVWY")}
     peptides = ["".join("ACDEFGHIKLMNPQRSTVWY"[(i * 7 + j * j) % 20] for j in range(5 + i % 9)) for i in range(200)]
