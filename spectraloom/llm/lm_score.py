@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .exchange import ask_rows, exchange, packed, unpacked
+from .exchange import FAN_OUT, Kind, ask_rows, exchange, levels, packed, unpacked
 from .runtime import block_count
 
 ORDER = 3
@@ -34,7 +34,7 @@ def corpus_size(docs: DataFrame) -> tuple[int, int]:
     return row[0] or 0, row[1] or 0
 
 
-def backoff_scores(docs: DataFrame, min_count: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def backoff_scores(docs: DataFrame, min_count: int = 2, block_bytes: int = BLOCK_BYTES, fan_out: int = FAN_OUT) -> DataFrame:
     """(doc_id, n_words, log10_score, n_trigram, n_bigram, n_unigram) for every row.
 
     Counts of all 1-, 2- and 3-grams come from all rows, windows never cross texts. The count tables keep
@@ -51,7 +51,8 @@ def backoff_scores(docs: DataFrame, min_count: int = 2, block_bytes: int = BLOCK
     spark = docs.sparkSession
     size, total = corpus_size(docs)
     blocks = block_count(spark, size, block_bytes)
-    buckets = max(blocks, spark.sparkContext.defaultParallelism)  # for each order
+    ranges = levels(max(blocks, spark.sparkContext.defaultParallelism), fan_out)  # for each order
+    buckets = ranges[0]
 
     def grams(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         return H.window_hashes(words, counts, n)
@@ -65,17 +66,6 @@ def backoff_scores(docs: DataFrame, min_count: int = 2, block_bytes: int = BLOCK
             asked += [((n - 1) * buckets + b, H.pack_sorted(distinct[s:e]), H.pack_counts(times[s:e])) for b, (s, e) in enumerate(zip(edges[:-1], edges[1:])) if e > s]
         return ask_rows(table["block"][0].as_py(), asked)
 
-    def answer(_: list[int], asked: list[bytes], extra: list[bytes]) -> list[bytes]:
-        parts = [H.unpack_sorted(x) for x in asked]
-        every, times = np.concatenate(parts), np.concatenate([H.unpack_counts(x) for x in extra])
-        order = np.argsort(every, kind="stable")
-        every = every[order]
-        first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
-        sums = np.add.reduceat(times[order], first)
-        out = np.empty(len(every), dtype=np.int64)
-        out[order] = np.repeat(sums, np.diff(np.r_[first, len(every)]))
-        return [H.pack_counts(x) for x in np.split(out, np.cumsum([len(p) for p in parts])[:-1])]
-
     def finish(table: pa.Table, got: dict[int, bytes]) -> pa.Table:
         words, counts = H.word_hashes(unpacked(table))
         count_at = []  # by order, at each window's first word
@@ -111,7 +101,27 @@ def backoff_scores(docs: DataFrame, min_count: int = 2, block_bytes: int = BLOCK
         )
 
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    return exchange(packed(dealt), ask, answer, finish, OUT)
+    return exchange(packed(dealt), ask, TOTALS, finish, OUT, ranges, fan_out)
+
+
+def _totals(place: np.ndarray, number: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, dtype=np.int64)
+    np.add.at(out, place, number)
+    return out
+
+
+def _answer(hashes: list[np.ndarray], numbers: list[np.ndarray]) -> list[np.ndarray]:
+    """The count table of a hash range, then every block's n-grams joined to it."""
+    every = np.concatenate(hashes)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+    table, count = every[first], np.add.reduceat(np.concatenate(numbers)[order], first)
+    return [count[np.searchsorted(table, h)] for h in hashes]
+
+
+#: Asks how often a hash occurs in all blocks.
+TOTALS = Kind(_answer, lambda hashes, place, told: np.split(told[place], np.cumsum([len(h) for h in hashes])[:-1]), _totals)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

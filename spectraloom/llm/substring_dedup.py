@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .exchange import ask_rows, exchange, packed, unpacked
+from .exchange import FAN_OUT, Kind, ask_rows, exchange, levels, packed, unpacked
 from .runtime import BLOCK_BYTES, block_count
 
 OUT = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string"
 
 
-def repeated_windows(docs: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES, fan_out: int = FAN_OUT) -> DataFrame:
     """Remove every word covered by a `window`-word sequence that also starts in a document with a smaller doc_id.
 
     Words are runs of [^\\x20\\x09-\\x0D]. Returns a row per input row: doc_id, n_words, n_removed, spans
@@ -35,7 +35,8 @@ def repeated_windows(docs: DataFrame, window: int = 13, block_bytes: int = BLOCK
     known = docs.where(F.col("doc_id").isNotNull())
     n_docs, size = known.agg(F.count(F.lit(1)), F.sum(F.octet_length("text").cast("long"))).first()
     blocks = min(block_count(spark, int(size or 0), block_bytes), max(1, n_docs))
-    buckets = max(blocks // 4, spark.sparkContext.defaultParallelism)
+    ranges = levels(max(blocks // 4, spark.sparkContext.defaultParallelism), fan_out)
+    buckets = ranges[0]
     cuts = [i / blocks for i in range(1, blocks)]
     bounds = np.array((known.agg(F.percentile_approx("doc_id", cuts, 20 * blocks)).first()[0] or []) if cuts else [], dtype=np.int64)
     shared = spark.sparkContext.broadcast(bounds)  # one long for each block
@@ -51,21 +52,13 @@ def repeated_windows(docs: DataFrame, window: int = 13, block_bytes: int = BLOCK
         edges = H.bucket_edges(distinct, buckets)
         return ask_rows(table["block"][0].as_py(), [(b, H.pack_sorted(distinct[s:e]), b"") for b, (s, e) in enumerate(zip(edges[:-1], edges[1:])) if e > s])
 
-    def answer(ids: list[int], asked: list[bytes], _: list[bytes]) -> list[bytes]:
-        parts = [H.unpack_sorted(x) for x in asked]
-        every = np.concatenate(parts)
-        order = np.argsort(every, kind="stable")  # equal hashes stay in the order of blocks
-        later = np.zeros(len(every), dtype=bool)
-        later[order[1:]] = every[order[1:]] == every[order[:-1]]
-        return [H.pack_bits(x) for x in np.split(later, np.cumsum([len(p) for p in parts])[:-1])]
-
     def finish(table: pa.Table, got: dict[int, bytes]) -> pa.Table:
         found, starts, owner, counts, texts = hashes(table)
         distinct, place = np.unique(found, return_inverse=True)
         edges = H.bucket_edges(distinct, buckets)
         before = np.zeros(len(distinct), dtype=bool)
         for b, bits in got.items():
-            before[edges[b] : edges[b + 1]] = H.unpack_bits(bits, edges[b + 1] - edges[b])
+            before[edges[b] : edges[b + 1]] = H.unpack_counts(bits) > 0
         first = np.full(len(distinct), np.iinfo(np.int64).max)
         np.minimum.at(first, place, owner[starts])
         hit = starts[before[place] | (owner[starts] > first[place])]
@@ -85,9 +78,28 @@ def repeated_windows(docs: DataFrame, window: int = 13, block_bytes: int = BLOCK
             yield pa.RecordBatch.from_pylist([_row(None, w, np.zeros(len(w), dtype=bool)) for w in words], schema=ARROW)
 
     dealt = packed(known, lambda ids: np.searchsorted(shared.value, ids, side="right"))
-    return exchange(dealt, ask, answer, finish, OUT).unionByName(docs.where(F.col("doc_id").isNull()).mapInArrow(alone, OUT))
+    return exchange(dealt, ask, EARLIER, finish, OUT, ranges, fan_out).unionByName(docs.where(F.col("doc_id").isNull()).mapInArrow(alone, OUT))
+
+
+def earlier(hashes: list[np.ndarray], place: np.ndarray) -> list[np.ndarray]:
+    """For each entry of the parts: whether a part before has the same hash."""
+    order = np.argsort(place, kind="stable")  # equal hashes stay in the order of blocks
+    later = np.zeros(len(place), dtype=bool)
+    later[order[1:]] = place[order[1:]] == place[order[:-1]]
+    return np.split(later, np.cumsum([len(h) for h in hashes])[:-1])
+
+
+def _answer(hashes: list[np.ndarray], _: list[np.ndarray]) -> list[np.ndarray]:
+    return earlier(hashes, np.concatenate(hashes))
+
+
+def _split(hashes: list[np.ndarray], place: np.ndarray, told: np.ndarray) -> list[np.ndarray]:
+    before = np.split(told[place] > 0, np.cumsum([len(h) for h in hashes])[:-1])
+    return [a | b for a, b in zip(before, earlier(hashes, place))]
 
 
+#: Asks whether a smaller block has a hash.
+EARLIER = Kind(_answer, _split, lambda place, number, n: np.ones(n, dtype=np.int64))
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string())])
 
 

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from spectraloom.llm import line_dedup, simhash, suffix_array, substring_dedup
+from spectraloom.llm import exchange, line_dedup, lm_score, simhash, suffix_array, substring_dedup
+from spectraloom.llm import hashing as H
 from spectraloom.llm.components import components
 
 SCHEMA = "doc_id long, text string, block string, fp int"  # with columns named like internal ones
@@ -48,14 +49,40 @@ def brute_windows(rows, size):
     return Counter(out)
 
 
-@pytest.mark.parametrize("size,block", [(4, 300), (13, 1 << 20)])
-def test_repeated_windows(spark, size, block):
+@pytest.mark.parametrize("size,block,fan_out", [(4, 300, 256), (13, 1 << 20, 256), (4, 100, 3)])
+def test_repeated_windows(spark, size, block, fan_out):
     rows = corpus()
-    got = substring_dedup.repeated_windows(table(spark, rows), window=size, block_bytes=block).collect()
+    got = substring_dedup.repeated_windows(table(spark, rows), window=size, block_bytes=block, fan_out=fan_out).collect()
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got) == brute_windows(rows, size)
     assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] for r in got)
 
 
+def test_exchange_rows_grow_with_the_blocks(spark):
+    rng = np.random.default_rng(2)
+
+    def rows_asked(blocks, fan_out=4):
+        """Rows of all levels for so many blocks of 64 hashes and as many ranges."""
+        cuts = exchange.levels(blocks, fan_out)
+        assert max(cuts) <= fan_out and np.prod(cuts) >= blocks
+        rows = []
+        for b in range(blocks):
+            h = np.unique(rng.integers(0, 1 << 64, 64, dtype=np.uint64))
+            edges = H.bucket_edges(h, cuts[0])
+            rows += [(b, k, H.pack_sorted(h[s:e]), b"") for k, (s, e) in enumerate(zip(edges[:-1], edges[1:])) if e > s]
+        asked = spark.createDataFrame(rows, exchange.ROWS).repartition(4).cache()
+        told = exchange.answered(asked, lm_score.TOTALS, cuts, fan_out)
+        assert told.count() == len(rows)
+        n, at = len(rows), cuts[0]
+        for finer in cuts[1:]:
+            asked = exchange.merged(asked, lm_score.TOTALS, at, finer, fan_out).cache()
+            n, at = n + asked.count(), at * finer
+        return n, len(cuts)
+
+    for blocks in (16, 32, 64):
+        n, depth = rows_asked(blocks)
+        assert n <= blocks * 4 * depth  # each level in proportion to the blocks, where blocks times ranges would be their square
+
+
 def test_repeated_windows_of_nothing(spark):
     assert substring_dedup.repeated_windows(table(spark, [])).count() == 0
     assert substring_dedup.repeated_windows(table(spark, [(None, "a")])).count() == 1

@@ -404,12 +404,12 @@ def brute_scores(rows, least=2):
     return Counter(out)
 
 
-@pytest.mark.parametrize("block", [200, 1 << 20])
-def test_backoff_scores(spark, block):
+@pytest.mark.parametrize("block,fan_out", [(200, 256), (1 << 20, 256), (60, 3)])
+def test_backoff_scores(spark, block, fan_out):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choices("the a cat dog sat ran on mat".split(), k=rng.randint(0, 40))), "en", "s") for i in range(40)]
     rows += [(100, None, None, None), (101, " ", None, None), (None, "the cat", None, None), (3, rows[3][1], "en", "s"), (102, "rare", "en", "s")]
-    got = lm_score.backoff_scores(table(spark, rows), block_bytes=block).collect()
+    got = lm_score.backoff_scores(table(spark, rows), block_bytes=block, fan_out=fan_out).collect()
     assert Counter((r["doc_id"], r["n_words"], round(r["log10_score"], 6) + 0.0, r["n_trigram"], r["n_bigram"], r["n_unigram"]) for r in got) == brute_scores(rows)
     assert lm_score.backoff_scores(table(spark, [])).count() == 0
 
