@@ -1,23 +1,28 @@
 """Suffix-array dedup by prefix-free parsing: rolling-hash triggers cut text into phrases; the suffix arrays of the dictionary and of the parse give the order of all suffixes.
 
-The corpus order is made where it can tell repeats, in three steps over the same blocks of documents:
-
-1. Every 200-byte string has an anchor, the k-gram of least rolling hash among its first ones, so equal
-   strings have equal anchors. Strings with the same anchor stand next to each other: a run. A run is asked
-   about by the hash of the bytes that all its strings share (the group) and of all its bytes (the class).
-   A class that occurs twice is repeated as a whole; a group with one class needs nothing more.
-2. Of groups with several classes, one member of each class goes to the task of its group, where prefix-free
-   parsing sorts the suffixes of all members; neighbours in that order with 200 equal bytes are repeats.
+The corpus is parsed into phrases that overlap by one byte less than a string: every 200-byte string has a
+trigger, the k-gram of least rolling hash among its first ones, and the strings with one trigger are a phrase.
+So each string lies in just one phrase, equal strings lie at the same distance from equal triggers, and the
+order of all strings is the order of the dictionary's suffixes, each as often as the parse has its phrase:
+
+1. The dictionary and the parse. Phrases are counted over all blocks, by a hash of the bytes that all strings
+   of a phrase share (the group) and of all its bytes (the phrase). The suffixes of a phrase that the parse has
+   twice or more stand next to their own copies; a phrase whose group has no other has no other neighbours.
+2. The suffix array. One copy of each phrase in a group of several goes to the task of its group, where the
+   suffixes of the group's phrases are put in order by parsing them again into short phrases; neighbours
+   with 200 equal bytes are repeats. Groups are ranges of that order: suffixes of two groups are never equal.
 3. The starts found in either way are joined to their documents and merged into removed intervals.
 
-A passage that a third of all documents hold makes a group with very many classes. Such groups are dealt
-out further: their strings go to tasks by a hash of all 200 bytes.
+A passage that a third of all documents hold makes a group with very many phrases. Such a hot group is dealt
+out further before step 2: its phrases are cut into pieces of PIECE starts, by the distance to the trigger, and
+pieces go to tasks by the bytes that all strings of a piece share. The same order then decides.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +33,8 @@ from .runtime import BLOCK_BYTES, block_count
 GRAM = 16  # bytes of an anchor
 REACH = 96  # an anchor lies among the first REACH positions of a string
 STEP = 1 << 19
-WIDE_GROUP = 256  # classes; a wider group is dealt out by whole strings
+WIDE_GROUP = 256  # phrases; a wider group is dealt out by pieces
+PIECE = 12  # starts of a piece
 OUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
@@ -42,11 +48,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(texts: list[memoryview], length: int) -> tuple[np.ndarray, ...]:
-    """Runs of strings of `length` bytes with one anchor: first start, number of starts, group and class hash.
+    """Runs of strings of `length` bytes with one anchor: first start, number of starts, group and class hash, bytes before the anchor.
 
     Starts count through the texts as if joined.
     """
-    out: list[list[np.ndarray]] = [[], [], [], []]
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
     batch: list[tuple[int, memoryview]] = []
     held, base = 0, 0
     shared = length - REACH + 1
@@ -72,6 +78,7 @@ def runs(texts: list[memoryview], length: int) -> tuple[np.ndarray, ...]:
         out[1].append(last - first + 1)
         out[2].append(H.span_hashes(prefix, at, at + shared, H.BYTE_BASE))
         out[3].append(H.span_hashes(prefix, first, last + length, H.BYTE_BASE))
+        out[4].append(at - first)
         batch, held = [], 0
 
     for text in texts:
@@ -82,7 +89,7 @@ def runs(texts: list[memoryview], length: int) -> tuple[np.ndarray, ...]:
                 flush()
         base += len(text)
     flush()
-    kinds = (np.int64, np.int64, np.uint64, np.uint64)
+    kinds = (np.int64, np.int64, np.uint64, np.uint64, np.int64)
     return tuple(np.concatenate(x) if x else np.empty(0, dtype=k) for x, k in zip(out, kinds))
 
 
@@ -195,7 +202,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
 
     Null text is empty. Repeated rows are repeats of each other like any equal texts. A null doc_id is
     carried through. Texts shorter than `length` are kept whole. An empty table gives an empty result.
-    Other columns are ignored. Groups and classes are told apart by 64-bit hashes.
+    Other columns are ignored. Groups and phrases are told apart by 64-bit hashes. Equal rows are one block's.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = int(docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
@@ -207,14 +214,14 @@ def repeated_bytes(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
         return table, unpacked(table)
 
     def classes(texts: list[memoryview]):
-        first, n, group, kind = runs(texts, length)
+        first, n, group, kind, lead = runs(texts, length)
         _, which, times = np.unique(kind, return_index=True, return_counts=True)
         by_group = np.argsort(group[which], kind="stable")
         which, times = which[by_group], times[by_group]
-        return first, n, group, kind, which, times, H.bucket_edges(group[which], buckets)
+        return first, n, group, kind, lead, which, times, H.bucket_edges(group[which], buckets)
 
     def ask(table: pa.Table) -> pa.Table:
-        _, _, group, kind, which, times, edges = classes(texts_of(table)[1])
+        _, _, group, kind, _, which, times, edges = classes(texts_of(table)[1])
         asked = [(b, H.pack_sorted(group[which[s:e]]), kind[which[s:e]].tobytes() + H.pack_bits(times[s:e] > 1)) for b, (s, e) in enumerate(zip(edges[:-1], edges[1:])) if e > s]
         return ask_rows(table["block"][0].as_py(), asked)
 
@@ -223,12 +230,12 @@ def repeated_bytes(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
         return pa.table({"block": table["block"], "bucket": table["bucket"], "answer": pa.array(judge(table["ask"].to_pylist(), table["extra"].to_pylist(), wide_group), pa.binary())})
 
     def ask_again(docs_: pa.Table, got: pa.Table) -> pa.Table:
-        """Step 2: members of groups with several classes by group; strings of wide groups by hash; to the block itself what it knows by now."""
+        """Step 2: members of groups with several phrases by group; those of wide groups by piece; to the block itself what it knows by now."""
         if not docs_.num_rows:
             return ask_rows(0, [])
         block = docs_["block"][0].as_py()
         texts = texts_of(docs_)[1]
-        first, n, group, kind, which, _, edges = classes(texts)
+        first, n, group, kind, lead, which, _, edges = classes(texts)
         code = np.zeros(len(which), dtype=np.uint8)
         for b, answer in zip(got["bucket"].to_pylist(), got["answer"].to_pylist()):
             code[edges[b] : edges[b + 1]] = np.frombuffer(H._UNZIP.decompress(answer), dtype=np.uint8)
@@ -250,16 +257,13 @@ def repeated_bytes(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
                 lengths_.append(n[sent])
                 hashed.append(np.full(len(sent), b))
         wide = which[code & (SEND | WIDE) == SEND | WIDE]
-        at = np.repeat(first[wide] - (np.cumsum(n[wide]) - n[wide]), n[wide]) + np.arange(n[wide].sum())
-        strings = string_hashes(joined, first[wide], n[wide], length)
-        order = np.argsort(strings, kind="stable")
-        distinct, times = np.unique(strings, return_counts=True)
-        w_edges = H.bucket_edges(distinct, buckets)
+        at, of, size, keys, pieces, twice = pieces_of(joined, first[wide], n[wide], lead[wide], length)
+        w_edges = H.bucket_edges(keys, buckets)
         for b, (s, e) in enumerate(zip(w_edges[:-1], w_edges[1:])):
             if e > s:
-                rows.append((buckets + b, H.pack_sorted(distinct[s:e]), H.pack_bits(times[s:e] > 1)))
+                rows.append((buckets + b, H._ZIP.compress(b"".join(pieces[s:e])), H.pack_counts(np.concatenate([size[s:e], twice[s:e]]))))
         empty = np.empty(0, dtype=np.int64)
-        own = [*known, *(np.concatenate(x) if x else empty for x in (hashed, starts_, lengths_)), at[order], np.repeat(np.arange(len(distinct)), times), w_edges]
+        own = [*known, *(np.concatenate(x) if x else empty for x in (hashed, starts_, lengths_)), at, of, size, w_edges]
         rows.append((-1 - block, b"", b"".join(len(p).to_bytes(8, "little") + p for p in map(H.pack_counts, own))))
         return ask_rows(block, rows)
 
@@ -269,20 +273,19 @@ def repeated_bytes(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
         asked, extra = table["ask"].to_pylist(), table["extra"].to_pylist()
         if bucket < 0:
             out = extra
-        elif bucket < buckets:
-            members, counts = [], [H.unpack_counts(x) for x in extra]
-            for x, n in zip(asked, counts):
+        else:
+            members, counts, twice = [], [H.unpack_counts(x) for x in extra], []
+            if bucket >= buckets:  # pieces: their starts, then whether their block has them twice
+                counts, flags = zip(*(np.split(x, 2) for x in counts))
+                twice = np.repeat(np.concatenate(flags), np.concatenate(counts)) > 0
+            for x, k in zip(asked, counts):
                 text, at = H._UNZIP.decompress(x), 0
-                for k in n.tolist():
-                    members.append(text[at : at + k + length - 1])
-                    at += k + length - 1
+                for c in k.tolist():
+                    members.append(text[at : at + c + length - 1])
+                    at += c + length - 1
             found = repeated_starts(members, length)
-            out = [H.pack_bits(x) for x in np.split(found, np.cumsum([n.sum() for n in counts])[:-1])]
-        else:
-            parts = [H.unpack_sorted(x) for x in asked]
-            _, place, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-            twice = np.concatenate([H.unpack_bits(x, len(p)) for x, p in zip(extra, parts)])
-            out = [H.pack_bits(x) for x in np.split((times[place] > 1) | twice, np.cumsum([len(p) for p in parts])[:-1])]
+            found = found | twice if bucket >= buckets else found
+            out = [H.pack_bits(x) for x in np.split(found, np.cumsum([k.sum() for k in counts])[:-1])]
         return pa.table({"block": table["block"], "bucket": table["bucket"], "answer": pa.array(out, pa.binary())})
 
     def finish(docs_: pa.Table, got: pa.Table) -> pa.Table:
@@ -296,7 +299,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         cover = np.zeros(int(sizes.sum()) + 1, dtype=np.int32)
         if own:
-            first, n, at_bucket, m_first, m_n, strings, which, w_edges = own
+            first, n, at_bucket, m_first, m_n, p_at, p_of, p_size, w_edges = own
             np.add.at(cover, first, 1)
             np.add.at(cover, first + n - 1 + length, -1)
             hits = []
@@ -304,11 +307,15 @@ def repeated_bytes(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
                 f, k = m_first[at_bucket == b], m_n[at_bucket == b]
                 at = np.repeat(f - (np.cumsum(k) - k), k) + np.arange(k.sum())
                 hits.append(at[H.unpack_bits(answers[b], len(at))])
-            flags = np.zeros(int(w_edges[-1]), dtype=bool)
+            begin = np.cumsum(p_size) - p_size
+            flags = np.zeros(int(p_size.sum()), dtype=bool)
             for b in range(buckets):
                 if w_edges[b + 1] > w_edges[b]:
-                    flags[w_edges[b] : w_edges[b + 1]] = H.unpack_bits(answers[buckets + b], int(w_edges[b + 1] - w_edges[b]))
-            hits.append(strings[flags[which]] if len(strings) else strings)
+                    s, e = int(begin[w_edges[b]]), int(begin[w_edges[b + 1] - 1] + p_size[w_edges[b + 1] - 1])
+                    flags[s:e] = H.unpack_bits(answers[buckets + b], e - s)
+            k = p_size[p_of]
+            each = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            hits.append((np.repeat(p_at, k) + each)[flags[np.repeat(begin[p_of], k) + each]])
             hit = np.concatenate(hits)
             np.add.at(cover, hit, 1)
             np.add.at(cover, hit + length, -1)
@@ -326,18 +333,30 @@ def repeated_bytes(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
     return dealt.groupBy("block").cogroup(two.groupBy("block")).applyInArrow(finish, OUT)
 
 
-def string_hashes(joined: bytes, first: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
-    """Hash of every string of `length` bytes that starts in the runs, in order."""
-    out = []
-    for part in np.array_split(np.arange(len(first)), max(1, int((n.sum() + len(n) * length) >> 20))):
-        if not len(part):
-            continue
-        data = np.frombuffer(b"".join(joined[s : s + k + length - 1] for s, k in zip(first[part].tolist(), n[part].tolist())), dtype=np.uint8)
-        wide = n[part] + length - 1
-        begin = np.cumsum(wide) - wide
-        at = np.repeat(begin - (np.cumsum(n[part]) - n[part]), n[part]) + np.arange(n[part].sum())
-        out.append(H.span_hashes(H.byte_prefix(data), at, at + length, H.BYTE_BASE))
-    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
+def pieces_of(joined: bytes, first: np.ndarray, n: np.ndarray, lead: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """Runs cut by distance to their anchor: each piece's start and number among the distinct ones; of those size, key, bytes and whether there are two.
+
+    The strings of a piece begin `PIECE * k` to `PIECE * k + PIECE - 1` bytes before the anchor. A key is a
+    hash of what all of them share; distinct pieces come in the order of keys.
+    """
+    seen: dict[tuple[int, bytes], int] = {}
+    at, of, times = [], [], []
+    for f, c, t in zip(first.tolist(), n.tolist(), lead.tolist()):
+        for k in range((t - c + 1) // PIECE, t // PIECE + 1):
+            high, low = min(t, PIECE * k + PIECE - 1), max(t - c + 1, PIECE * k)
+            start, shared = f + t - high, f + t - PIECE * k
+            key = xxhash.xxh3_64_intdigest(joined[shared : shared + length - PIECE + 1], seed=k)
+            number = seen.setdefault((key, joined[start : start + high - low + length]), len(times))
+            times += [0] * (number == len(times))
+            times[number] += 1
+            at.append(start)
+            of.append(number)
+    keys, pieces = np.array([k for k, _ in seen], dtype=np.uint64), [p for _, p in seen]
+    order = np.argsort(keys, kind="stable")
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    size = np.array([len(p) - length + 1 for p in pieces], dtype=np.int64)
+    return np.array(at, dtype=np.int64), rank[np.array(of, dtype=np.int64)], size[order], keys[order], [pieces[i] for i in order], np.array(times, dtype=np.int64)[order] > 1
 
 
 def _row(doc: int | None, text: memoryview, removed: np.ndarray) -> dict:

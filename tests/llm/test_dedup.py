@@ -109,6 +109,15 @@ def test_repeated_bytes(spark, wide):
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in got) == brute_bytes(rows, 120)
 
 
+def test_repeated_bytes_of_texts_longer_than_a_step(spark):
+    rng = random.Random(1)
+    long = "".join(rng.choices("abcdefghijklmnop \n", k=suffix_array.STEP + 40_000))
+    edge = long[suffix_array.STEP - 150 : suffix_array.STEP + 250]
+    rows = [(1, long), (2, "xy" + edge + "z"), (3, long[-130:] + "\u00e9")]
+    got = suffix_array.repeated_bytes(table(spark, rows), length=120).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in got) == brute_bytes(rows, 120)
+
+
 def test_repeated_bytes_of_nothing(spark):
     assert suffix_array.repeated_bytes(table(spark, [])).count() == 0
     assert suffix_array.repeated_bytes(table(spark, [(1, "short"), (1, None)])).count() == 2
