@@ -16,7 +16,13 @@ YES, NO = {"1", "true", "yes", "on", "y", "t"}, {"0", "false", "no", "off", "n",
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """Settings of a run. `search` holds the settings of an external search engine, passed through as they are."""
+    """Settings of a run. `search` holds the settings of an external search engine, passed through as they are.
+
+    search_mode: "results" takes the PSMs as they are, "windowed" searches the spectra again by retention-time
+    windows (fasta_file, rt_interval, min_len, max_len, missed_cleavages) with models fitted on those PSMs.
+    rt_predictor: "ends" or "composition". fragment_predictor: "fitted" or "flat". known_rt and known_fragments:
+    Parquet of predictions by peptide, or by peptide and charge, that are taken in place of new ones.
+    """
 
     mzml_path: str = "mzml_files"
     fasta_file: str = "fasta/proteins.fasta"
@@ -34,7 +40,13 @@ class EngineConfig:
     write_correlation_cache: bool = False
     transfer_learn: bool = True
     fdr_init_search: float = 0.05
+    search_mode: str = "results"
+    rt_predictor: str = "ends"
+    fragment_predictor: str = "fitted"
+    known_rt: str = ""
+    known_fragments: str = ""
     model_type: str = "linear"
+    rescoring_rounds: int = 2
     rt_limit: float = 0.15
     apex_width: float = 3.0
     min_count: int = 1
@@ -49,8 +61,12 @@ class EngineConfig:
         """self; ValueError that names the first bad setting."""
         if self.fdr_init_search < 0:
             raise ValueError("fdr_init_search must not be negative")
-        if self.model_type not in ("linear", "network"):
-            raise ValueError("model_type is linear or network")
+        choices = {"model_type": ("linear", "network"), "search_mode": ("results", "windowed"), "rt_predictor": ("ends", "composition"), "fragment_predictor": ("fitted", "flat")}
+        for name, known in choices.items():
+            if getattr(self, name) not in known:
+                raise ValueError(f"{name} is {' or '.join(known)}")
+        if self.rescoring_rounds < 0:
+            raise ValueError("rescoring_rounds must not be negative")
         if not 0 < self.min_len <= self.max_len or self.missed_cleavages < 0:
             raise ValueError("peptide lengths and missed cleavages are out of range")
         if min(self.rt_limit, self.apex_width, self.ppm, self.rt_interval) <= 0:

@@ -186,6 +186,25 @@ def top_values(values: Column, m: int) -> Column:
     return F.slice(F.concat(F.sort_array(values, asc=False), F.array_repeat(F.lit(0.0), m)), 1, m)
 
 
+def top_with_index(values: Column, index: Column, m: int) -> Column:
+    """Array of m struct(value, index): the largest values, falling, with their entries of `index`; filled up with zeros."""
+    pairs = F.sort_array(F.transform(F.arrays_zip(values.alias("v"), index.alias("i")), lambda p: F.struct(p["v"].cast("double").alias("value"), p["i"].cast("double").alias("index"))), asc=False)
+    return F.slice(F.concat(pairs, F.array_repeat(F.struct(F.lit(0.0).alias("value"), F.lit(0.0).alias("index")), m)), 1, m)
+
+
+def feature_columns(values: Column, name: str, labels: Sequence, method: str, index: Column | None = None) -> dict[str, Column]:
+    """Columns {name}_{label}, and {name}_{label}_idx with an index: "percentile" (labels are percentages) or "top" (as many as labels). 0 for an empty array; ValueError for another method."""
+    if method not in ("percentile", "top"):
+        raise ValueError(f"unknown method: {method}")
+    n = len(labels)
+    if index is None:
+        found = percentiles(values, labels) if method == "percentile" else top_values(values, n)
+        return {f"{name}_{v}": F.coalesce(F.get(found, F.lit(i)), F.lit(0.0)) for i, v in enumerate(labels)}
+    found = percentiles_with_index(values, index, labels) if method == "percentile" else top_with_index(values, index, n)
+    out = {f"{name}_{v}": F.coalesce(F.get(found, F.lit(i))["value"], F.lit(0.0)) for i, v in enumerate(labels)}
+    return out | {f"{name}_{v}_idx": F.coalesce(F.get(found, F.lit(i))["index"], F.lit(0.0)) for i, v in enumerate(labels)}
+
+
 def peaks_between(mz: Column, intensity: Column, low: Column, high: Column) -> Column:
     """array of struct(m, i): the peaks from low to high, both included."""
     return F.filter(F.zip_with(mz, intensity, lambda m, i: F.struct(m.alias("m"), i.alias("i"))), lambda p: p["m"].between(low, high))

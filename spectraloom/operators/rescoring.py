@@ -54,15 +54,38 @@ def linear_model(n_features: int):
     return LogisticRegression(maxIter=50, regParam=0.01, featuresCol="features", labelCol="target")
 
 
-def rescored(pin: DataFrame, features: list[str], key: str = "SpecId", model: Callable = linear_model, folds: int = FOLDS) -> DataFrame:
-    """pin with score and q_value: each fold is scored by a model that was fitted on the others, folds by a hash of the key."""
+def rescored(pin: DataFrame, features: list[str], key: str = "SpecId", model: Callable = linear_model, folds: int = FOLDS, rounds: int = 0, train_q: float = 0.01) -> DataFrame:
+    """pin with score and q_value: each fold is scored by a model that was fitted on the others, folds by a hash of the key.
+
+    The first model is fitted on all targets against the decoys. Each of `rounds` further ones takes as
+    positives only the targets whose q-value, by the model before, is `train_q` or less in its own training
+    folds; it stops where there is none. A fold whose training lacks targets or decoys has the score 0.5.
+    pin is read often, so it should be written.
+    """
     rows = pin.withColumns({"__fold": F.pmod(F.xxhash64(key), F.lit(folds)), "target": (F.col("Label") > 0).cast("double")})
     rows = VectorAssembler(inputCols=features, outputCol="__raw", handleInvalid="keep").transform(rows)
+    if rows.limit(1).count() == 0:
+        return pin.select("*", F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("q_value"))
     rows = StandardScaler(inputCol="__raw", outputCol="features", withMean=True).fit(rows).transform(rows)
+
+    def scored(fitted, df: DataFrame) -> DataFrame:
+        return fitted.transform(df).withColumn("score", F.get(vector_to_array("probability"), F.lit(1))).drop("rawPrediction", "probability", "prediction")
+
+    classes = {(r["__fold"], r["target"]) for r in rows.select("__fold", "target").distinct().collect()}  # two rows a fold at most
     out = None
     for k in range(folds):
-        fitted = model(len(features)).fit(rows.where(F.col("__fold") != k))
-        part = fitted.transform(rows.where(F.col("__fold") == k)).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
-        part = part.select(*pin.columns, "score")
+        training = rows.where(F.col("__fold") != k)
+        if len({t for f, t in classes if f != k}) < 2:  # nothing to tell apart
+            part = rows.where(F.col("__fold") == k).select(*pin.columns, F.lit(0.5).alias("score"))
+            out = part if out is None else out.unionByName(part)
+            continue
+        fitted = model(len(features)).fit(training)
+        for _ in range(rounds):
+            judged = tdc_qvalues(scored(fitted, training).withColumn("__decoy", F.col("Label") < 0), "score", "__decoy")
+            chosen = judged.where((F.col("Label") < 0) | (F.col("q_value") <= train_q)).drop("score", "q_value", "__decoy")
+            if chosen.where("Label > 0").limit(1).count() == 0:
+                break
+            fitted = model(len(features)).fit(chosen)
+        part = scored(fitted, rows.where(F.col("__fold") == k)).select(*pin.columns, "score")
         out = part if out is None else out.unionByName(part)
     return tdc_qvalues(out.withColumn("__decoy", F.col("Label") < 0), "score", "__decoy").drop("__decoy")

@@ -44,26 +44,31 @@ class RtProvider(Protocol):
     def fit(self, training: DataFrame) -> Callable[[pd.Series], pd.Series]: ...
 
 
-def composition(peptides: pd.Series) -> np.ndarray:
-    """Residue counts, length and a constant."""
+def composition(peptides: pd.Series, ends: int = 0) -> np.ndarray:
+    """Residue counts, length and a constant; with `ends`, also which residues stand at so many places from either end."""
     bare = peptides.fillna("").str.replace(r"\[.*?\]", "", regex=True)
-    return np.column_stack([*(bare.str.count(r) for r in RESIDUES), bare.str.len(), np.ones(len(bare))]).astype(float)
+    places = [bare.str.get(i) == r for i in (*range(ends), *range(-ends, 0)) for r in RESIDUES]
+    return np.column_stack([*(bare.str.count(r) for r in RESIDUES), bare.str.len(), *places, np.ones(len(bare))]).astype(float)
 
 
 @dataclass(frozen=True)
 class CompositionRt:
-    """Ridge regression of rt on residue counts. Its normal equations are summed over partitions, so any number of rows trains it."""
+    """Ridge regression of rt on residue counts, and on the residues at `ends` places from either end.
+
+    Its normal equations are summed over partitions, so any number of rows trains it.
+    """
 
     ridge: float = 1.0
+    ends: int = 0
 
     def fit(self, training: DataFrame) -> Callable[[pd.Series], pd.Series]:
-        n = len(RESIDUES) + 2
+        n, ends = len(RESIDUES) * (1 + 2 * self.ends) + 2, self.ends
 
         def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             a, b = np.zeros((n, n)), np.zeros(n)
             for pdf in batches:
                 pdf = pdf.dropna()
-                x = composition(pdf["peptide"])
+                x = composition(pdf["peptide"], ends)
                 a += x.T @ x
                 b += x.T @ pdf["rt"].to_numpy(float)
             yield pd.DataFrame({"k": range(n * n + n), "v": np.concatenate([a.ravel(), b])})
@@ -72,7 +77,7 @@ class CompositionRt:
         if not len(got):
             return lambda peptides: pd.Series(np.zeros(len(peptides)))
         w = np.linalg.solve(got[: n * n].reshape(n, n) + self.ridge * np.eye(n), got[n * n :])
-        return lambda peptides: pd.Series(composition(peptides) @ w)
+        return lambda peptides: pd.Series(composition(peptides, ends) @ w)
 
 
 def predict_rt(peptides: DataFrame, model: Callable[[pd.Series], pd.Series]) -> DataFrame:

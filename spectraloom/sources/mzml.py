@@ -1,15 +1,15 @@
-"""mzML as a table of spectra: Spark's XML reader splits files at <spectrum>, an Arrow function decodes the peak arrays."""
+"""mzML as a table of spectra: Spark's XML reader splits files at <spectrum>, an Arrow function decodes the peak arrays, and back."""
 
 from __future__ import annotations
 
 import base64
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.joins import rt_bin
 
@@ -26,20 +26,9 @@ SCHEMA = (
 OUT = "file string, scan_id string, scan_index long, ms_level int, rt double, mz array<double>, intensity array<double>, target_mz double, lower_offset double, upper_offset double"
 
 
-def _value(params, accession: str):
-    """Of a list of cvParam rows: value and unit of an accession, (None, None) without it."""
-    for p in params if params is not None else []:
-        if p["_accession"] == accession:
-            return p["_value"], p["_unitAccession"]
-    return None, None
-
-
-def _number(params, accession: str) -> float | None:
-    v, _ = _value(params, accession)
-    try:
-        return float(v) if v is not None else None
-    except ValueError:
-        return None
+def _value(params: Column, accession: str, field: str = "_value") -> Column:
+    """Of an array of cvParam: the value (or unit) of an accession, null without it."""
+    return F.get(F.filter(params, lambda p: p["_accession"] == accession), F.lit(0))[field]
 
 
 def decode(params, text: str | None) -> np.ndarray:
@@ -50,40 +39,73 @@ def decode(params, text: str | None) -> np.ndarray:
     return np.frombuffer(raw, dtype="<f4" if FLOAT32 in names else "<f8").astype(np.float64)
 
 
-def _spectrum(row: dict) -> tuple:
-    start, unit = _value(row["scan"], SCAN_START)
-    rt = float(start) * (60.0 if unit == MINUTE else 1.0) if start is not None else None
-    arrays = {MZ_ARRAY: np.empty(0), INTENSITY_ARRAY: np.empty(0)}
-    for a in row["arrays"] if row["arrays"] is not None else []:
-        for name in arrays:
-            if any(p["_accession"] == name for p in a["cvParam"]):
-                arrays[name] = decode(a["cvParam"], a["binary"])
-    mz, intensity = arrays.values()
-    order = np.argsort(mz, kind="stable")
-    level = _number(row["params"], MS_LEVEL)
-    window = (_number(row["window"], k) for k in (TARGET, LOWER, UPPER))
-    return row["file"], row["_id"], row["_index"], int(level) if level is not None else None, rt, mz[order].tolist(), intensity[order].tolist(), *window
+PEAKS = T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("mz", "intensity")])
 
 
-def read_mzml(spark: SparkSession, path: str) -> DataFrame:
-    """Spectra of one or many mzML files: see OUT for the columns; rt in seconds, peaks by rising m/z."""
+@F.pandas_udf(PEAKS)
+def _peaks(arrays: pd.Series) -> pd.DataFrame:
+    """Peaks by rising m/z from a spectrum's binary arrays."""
+    out = []
+    for own in arrays:
+        found = {MZ_ARRAY: np.empty(0), INTENSITY_ARRAY: np.empty(0)}
+        for a in own if own is not None else []:
+            for name in found:
+                if any(p["_accession"] == name for p in a["cvParam"]):
+                    found[name] = decode(a["cvParam"], a["binary"])
+        mz, intensity = found.values()
+        order = np.argsort(mz, kind="stable")
+        out.append((mz[order].tolist(), intensity[order].tolist()))
+    return pd.DataFrame(out, columns=["mz", "intensity"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in OUT.split(", ")]
-        for pdf in batches:
-            yield pd.DataFrame([_spectrum(r) for r in pdf.to_dict("records")], columns=names)
 
+def read_mzml(spark: SparkSession, path: str) -> DataFrame:
+    """Spectra of one or many mzML files: see OUT for the columns; rt in seconds, peaks by rising m/z.
+
+    Parameters are read as columns. Peak arrays are decoded in a column of their own, which a plan that
+    needs no peaks leaves out.
+    """
     rows = spark.read.format("xml").option("rowTag", "spectrum").option("attributePrefix", "_").schema(SCHEMA).load(path)
+    params, scan = F.col("cvParam"), F.get("scanList.scan", F.lit(0))["cvParam"]
+    window = F.get("precursorList.precursor", F.lit(0))["isolationWindow"]["cvParam"]
+    number = lambda p, a: _value(p, a).try_cast("double")
     flat = rows.select(
         F.input_file_name().alias("file"),
-        "_id",
-        "_index",
-        F.col("cvParam").alias("params"),
-        F.get("scanList.scan", F.lit(0))["cvParam"].alias("scan"),
-        F.get("precursorList.precursor", F.lit(0))["isolationWindow"]["cvParam"].alias("window"),
-        F.col("binaryDataArrayList.binaryDataArray").alias("arrays"),
+        F.col("_id").alias("scan_id"),
+        F.col("_index").alias("scan_index"),
+        number(params, MS_LEVEL).cast("int").alias("ms_level"),
+        (number(scan, SCAN_START) * F.when(_value(scan, SCAN_START, "_unitAccession") == MINUTE, 60.0).otherwise(1.0)).alias("rt"),
+        _peaks(F.col("binaryDataArrayList.binaryDataArray")).alias("peaks"),
+        *(number(window, a).alias(n) for a, n in ((TARGET, "target_mz"), (LOWER, "lower_offset"), (UPPER, "upper_offset"))),
+    )
+    return flat.select("file", "scan_id", "scan_index", "ms_level", "rt", "peaks.mz", "peaks.intensity", "target_mz", "lower_offset", "upper_offset")
+
+
+@F.pandas_udf(T.StringType())
+def _packed(values: pd.Series) -> pd.Series:
+    """Doubles as zlib-compressed base64; null and empty as an empty string."""
+    return values.map(lambda v: base64.b64encode(zlib.compress(np.asarray(v, dtype="<f8").tobytes())).decode() if v is not None and len(v) else "")
+
+
+def write_mzml(spectra: DataFrame, path: str, interval: float | None = None) -> None:
+    """Spectra as mzML files in a folder, a file for each task; with `interval` a folder for each retention-time bin, so that a search reads its bin alone.
+
+    Files hold what `read_mzml` reads (parameters, isolation window, peaks as zlib-compressed doubles), not
+    the instrument's description.
+    """
+    cv = lambda accession, value, unit=None: F.struct(F.lit(accession).alias("_accession"), (F.lit("") if value is None else value.cast("string")).alias("_value"), F.lit(unit).cast("string").alias("_unitAccession"))
+    array = lambda name, kind: F.struct(F.array(cv(FLOAT64, None), cv(ZLIB, None), cv(kind, None)).alias("cvParam"), _packed(F.col(name)).alias("binary"))
+    window = F.struct(F.struct(F.array(*(cv(a, F.col(n)) for a, n in ((TARGET, "target_mz"), (LOWER, "lower_offset"), (UPPER, "upper_offset")))).alias("cvParam")).alias("isolationWindow"))
+    rows = spectra.select(
+        F.col("scan_id").alias("_id"),
+        F.col("scan_index").alias("_index"),
+        F.array(cv(MS_LEVEL, F.col("ms_level"))).alias("cvParam"),
+        F.struct(F.array(F.struct(F.array(cv(SCAN_START, F.col("rt"), "UO:0000010")).alias("cvParam"))).alias("scan")).alias("scanList"),
+        F.when(F.col("target_mz").isNotNull(), F.struct(F.array(window).alias("precursor"))).alias("precursorList"),
+        F.struct(F.array(array("mz", MZ_ARRAY), array("intensity", INTENSITY_ARRAY)).alias("binaryDataArray")).alias("binaryDataArrayList"),
+        *([rt_bin(F.col("rt"), interval).alias("rt_part")] if interval else []),
     )
-    return flat.mapInPandas(run, OUT)
+    writer = rows.write.mode("overwrite").format("xml").option("rowTag", "spectrum").option("rootTag", "mzML").option("attributePrefix", "_")
+    (writer.partitionBy("rt_part") if interval else writer).save(path)
 
 
 def write_partitioned(spectra: DataFrame, path: str, interval: float = 120.0) -> None:

@@ -8,8 +8,6 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.filters import orphans
-
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(identifier, sequence): identifier is the whole header line without '>'. Entries split at line starts, so files split across tasks."""
@@ -33,17 +31,18 @@ def read_tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def write_tsv(df: DataFrame, path: str, one_file: bool = False) -> None:
-    """Arrays go as JSON. one_file is for exchange with tools that want a single file."""
+    """Arrays go as JSON. one_file is for exchange with tools that want a single file; only the writing is then one task."""
     flat = df.select(*(F.to_json(F.col(f"`{c}`")).alias(c) if t.startswith(("array", "struct", "map")) else F.col(f"`{c}`") for c, t in df.dtypes))
-    (flat.coalesce(1) if one_file else flat).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+    (flat.repartition(1) if one_file else flat).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_pin(pin: DataFrame, path: str) -> None:
-    write_tsv(pin, path, one_file=True)
+def write_pin(pin: DataFrame, path: str, one_file: bool = True) -> None:
+    """One file by default, as rescoring tools read it; else a folder of parts."""
+    write_tsv(pin, path, one_file)
 
 
 read_pin = read_tsv
@@ -65,7 +64,14 @@ class StageCache:
 
     def clear(self) -> None:
         """Removes everything under the root, for runs that keep no intermediate files."""
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        self._remove(self.root)
+
+    def drop(self, stage: str, settings: dict) -> None:
+        """Removes one result."""
+        self._remove(self.path(stage, settings))
+
+    def _remove(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def get(self, stage: str, settings: dict, make) -> DataFrame:
@@ -79,8 +85,10 @@ class StageCache:
         return self.spark.read.parquet(path)
 
 
-def cached_predictions(asked: DataFrame, known: DataFrame | None, key: str, predict) -> DataFrame:
+def cached_predictions(asked: DataFrame, known: DataFrame | None, key: str | list[str], predict) -> DataFrame:
     """Known predictions of the asked keys, and new ones for the keys that are not known."""
     if known is None:
         return predict(asked)
-    return known.join(asked.select(key).distinct(), key, "left_semi").unionByName(predict(orphans(asked, known, key)))
+    keys = [key] if isinstance(key, str) else key
+    new = asked.join(known.select(*keys).distinct(), keys, "left_anti")
+    return known.join(asked.select(*keys).distinct(), keys, "left_semi").unionByName(predict(new))

@@ -86,3 +86,15 @@ def test_lasso_and_p_value():
     assert K.pearson_pvalue(0.9, 5) == pytest.approx(0.0374, abs=2e-4)
     assert K.pearson_pvalue(1.0, 5) == 0 and math.isnan(K.pearson_pvalue(0.5, 2)) and K.pearson_pvalue(0.0, 9) == 1
     assert np.allclose(K.pearson_pvalue([0.5, -0.3, 0.9], [4, 4, 3]), [0.5, 0.7, 1 - 2 / math.pi * math.asin(0.9)])
+
+
+def test_feature_columns(spark):
+    v, i = F.lit([3.0, 1.0, 2.0]), F.lit([30.0, 10.0, 20.0])
+    got = lambda c: list(spark.range(1).select(*(x.alias(n) for n, x in c.items())).first())
+    assert got(X.feature_columns(v, "f", (0, 50, 100), "percentile")) == [1.0, 2.0, 3.0]
+    assert got(X.feature_columns(v, "f", (0, 50), "percentile", i)) == [1.0, 2.0, 10.0, 20.0]
+    assert list(X.feature_columns(v, "f", (1, 2, 3, 4), "top", i)) == ["f_1", "f_2", "f_3", "f_4", "f_1_idx", "f_2_idx", "f_3_idx", "f_4_idx"]
+    assert got(X.feature_columns(v, "f", (1, 2, 3, 4), "top", i)) == [3.0, 2.0, 1.0, 0.0, 30.0, 20.0, 10.0, 0.0]
+    assert got(X.feature_columns(F.array().cast("array<double>"), "f", (1, 2), "top")) == [0.0, 0.0]
+    with pytest.raises(ValueError, match="unknown method"):
+        X.feature_columns(v, "f", (1,), "mean")

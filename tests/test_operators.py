@@ -250,3 +250,28 @@ def test_windowed_results(spark):
     E.check_integrity(f, p)
     with pytest.raises(ValueError):
         E.check_integrity(f.where("peptide <> 'A'"), p)
+
+
+def test_fitted_fragment_provider(spark):
+    psms = spark.createDataFrame([(1, "PEPK", 0.001), (2, "AEPK", 0.001), (3, "GGGG", 0.5)], "psm_id long, peptide string, spectrum_q double")
+    fragments = spark.createDataFrame([(1, "b2/1", 100.0), (1, "y1/1", 50.0), (2, "b2/1", 25.0), (2, "y1/1", 100.0), (3, "b1/1", 9.0), (1, "b1-H2O/1", 9.0)], "psm_id long, fragment_name string, fragment_intensity double")
+    provider = S.fitted_provider(psms, fragments)
+    got = provider(pd.DataFrame({"peptide": ["VEPK", "[Acetyl]VEPK"], "charge": [2, 2]}))
+    assert got["b"][0][1] == pytest.approx((0.0 - 2.0) / 2) and got["y"][0][0] == pytest.approx((-1.0 + 0.0) / 2)  # the bond E-P, and P-K
+    assert got["b"][0] == got["b"][1] and len(got["y"][0]) == 3
+    assert S.fitted_provider(psms.where("psm_id = 3"), fragments) is S.flat_provider
+
+
+def test_rt_model_with_ends(spark):
+    peptides = ["".join("ACDEFGHIKLMNPQRSTVWY"[(i * 7 + j * j) % 20] for j in range(5 + i % 9)) for i in range(300)]
+    psms = spark.createDataFrame([(p, 10.0 * (p[0] == "A") + 3.0 * (p[-2] == "C") + len(p), float(i), i, 0.001) for i, p in enumerate(peptides)], "peptide string, rt double, fragment_intensity double, psm_id long, spectrum_q double")
+    error = lambda ends: R.predict_rt(psms, R.CompositionRt(1e-6, ends).fit(psms)).join(psms, "peptide").select(F.avg(F.abs(F.col("rt") - F.col("rt_predictions")))).first()[0]
+    assert error(2) < 1e-3 < error(0)
+
+
+def test_semi_supervised_rounds(spark):
+    pin = spark.createDataFrame([(f"{i}", 1 if i % 3 else -1, float(i % 7) + (5.0 if i % 3 == 1 else 0.0), float(i % 5)) for i in range(300)], "SpecId string, Label int, a double, b double")
+    got = Q.rescored(pin, ["a", "b"], rounds=2, train_q=0.2)
+    best = got.where("Label > 0").groupBy((F.col("SpecId").cast("int") % 3 == 1).alias("real")).agg(F.avg("score").alias("s")).collect()
+    by = {r["real"]: r["s"] for r in best}
+    assert got.count() == 300 and by[True] > by[False]

@@ -99,6 +99,12 @@ def test_run(spark, tmp_path):
     got = run(spark, config)
     assert got.count() == 6 and {"score", "q_value"} <= set(got.columns) and len(list((tmp_path / "out/cache").iterdir())) == 7
     assert run(spark, C.EngineConfig(**{**vars(config), "remove_intermediate_files": True})).count() == 6 and not (tmp_path / "out/cache").exists()
+    assert run(spark, C.EngineConfig(**{**vars(config), "result_dir": str(tmp_path / "other"), "write_search_cache": False, "write_rt_cache": False, "write_fragment_cache": False, "write_correlation_cache": False, "rt_predictor": "composition", "fragment_predictor": "flat", "rescoring_rounds": 0})).count() == 6
+    assert list((tmp_path / "other/cache").iterdir()) == []
+    known = spark.createDataFrame([(x, 1.0) for x, _ in peptides], "peptide string, rt_predictions double")
+    known.write.parquet(str(tmp_path / "known"))
+    far = run(spark, C.EngineConfig(**{**vars(config), "result_dir": str(tmp_path / "third"), "known_rt": str(tmp_path / "known"), "rt_limit": 0.61}))
+    assert {r["Peptide"] for r in far.select("Peptide").collect()} == {"PEPTIDEK"}  # nobody else elutes within 0.61 of the run from minute 1
     assert random_spectra(spark, 3).where(F.size("mz") == 50).count() == 3
 
 
@@ -141,3 +147,51 @@ def test_streamed_carry_forward(spark, tmp_path):
 def test_streamed_bins(spark, tmp_path):
     got = stream(spark, tmp_path, streaming.bin_counts, "complete")
     assert sorted(got[-1]) == [("f", 120.0, 1, 10.0), ("f", 240.0, 2, 140.0), ("f", 360.0, 2, 260.0), ("g", 120.0, 2, 2.0)]
+
+
+def test_mzml_round_trip(spark, tmp_path):
+    rows = [("f", "scan=1", 0, 1, 12.5, [100.0, 200.5], [1.0, 2.0], None, None, None), ("f", "scan=2", 1, 2, 130.0, [], [], 500.25, 10.0, 12.0), ("f", "scan=3", 2, 2, 131.0, [50.0], [7.5], 510.0, 1.0, 1.0)]
+    spectra = spark.createDataFrame(rows, mzml.OUT)
+    mzml.write_mzml(spectra, str(tmp_path / "one"))
+    mzml.write_mzml(spectra, str(tmp_path / "bins"), 120.0)
+    for path in (tmp_path / "one", tmp_path / "bins"):
+        got = mzml.read_mzml(spark, str(path)).drop("file", "rt_part").orderBy("scan_index").collect()
+        assert [tuple(r) for r in got] == [r[1:] for r in rows]
+    assert len(list((tmp_path / "bins").glob("rt_part=*"))) == 2
+    plan = mzml.read_mzml(spark, str(tmp_path / "one")).select("scan_id", "rt")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_peaks" not in plan  # no peaks are decoded for a plan that needs none
+
+
+def windowed_inputs(spark, tmp_path):
+    """Spectra with all singly charged ions of three peptides, first-search PSMs and a FASTA file that holds them."""
+    from spectraloom.functions import expr as X
+    from spectraloom.operators.spectra import theoretical_ions
+
+    own = [("PEPTIDEK", 600.0), ("ELVISLIVESK", 1200.0), ("SAMPLERSR", 1800.0)]
+    p = spark.createDataFrame([(f"scan={i}", i, x, rt) for i, (x, rt) in enumerate(own)], "scan_id string, scan_index long, peptide string, rt double")
+    ions = theoretical_ions(F.col("peptide"))
+    s = p.select(F.lit("file:/x/run.mzML").alias("file"), "scan_id", "scan_index", F.lit(2).alias("ms_level"), "rt", F.sort_array(F.transform(ions, lambda i: i["mz"])).alias("mz"), F.transform(ions, lambda i, k: k + 1.0).alias("intensity"), (X.mass_of(F.col("peptide")) / 2 + F.lit(X.PROTON)).alias("target_mz"), F.lit(5.0).alias("lower_offset"), F.lit(5.0).alias("upper_offset"))
+    (tmp_path / "p.fasta").write_text(">sp1\nPEPTIDEKELVISLIVESKSAMPLERSR\n")
+    first = [(i, x, rt / 60, 0.001, 5.0, i) for i, (x, rt) in enumerate([*own, *own])]
+    return s, spark.createDataFrame(first, "psm_id long, peptide string, rt double, spectrum_q double, fragment_intensity double, n int"), own
+
+
+def test_windowed_search(spark, tmp_path):
+    from spectraloom.operators.search import windowed_search
+    from spectraloom.plans import pipeline
+
+    s, first, own = windowed_inputs(spark, tmp_path)
+    peptides = spark.createDataFrame([(x, False, rt - 60, rt + 60) for x, rt in own] + [("KEDITPEP", True, 500.0, 700.0), ("PEPTIDEK", False, 5000.0, 6000.0)], "peptide string, is_decoy boolean, predictions_lower double, predictions_upper double")
+    psms, fragments = windowed_search(s, peptides, 120.0, 120.0)
+    got = {r["peptide"]: r for r in psms.collect()}
+    assert {x for x, _ in own} <= set(got) and all(got[x]["charge"] == 2 and got[x]["matched_peaks"] >= 2 * (len(x) - 1) - 2 for x, _ in own)
+    assert got["PEPTIDEK"]["scannr"] == "scan=0" and len({r["psm_id"] for r in got.values()}) == len(got)
+    assert fragments.join(psms, "psm_id").count() == fragments.count() > 30
+    if "KEDITPEP" in got:
+        assert got["KEDITPEP"]["hyperscore"] < got["PEPTIDEK"]["hyperscore"]
+    late = spark.createDataFrame([("PEPTIDEK", False, 5000.0, 6000.0)], peptides.schema)
+    assert windowed_search(s, late, 120.0, 120.0)[0].count() == 0  # not where it is predicted to elute
+    config = C.EngineConfig(fasta_file=str(tmp_path / "p.fasta"), rt_interval=120.0)
+    results = pipeline.searched(spark, s, first, config)
+    best = {r["peptide"] for r in results.psms.where("NOT is_decoy").collect()}
+    assert {x for x, _ in own} & best and "fragment_intensity" in results.psms.columns
