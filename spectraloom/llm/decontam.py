@@ -150,7 +150,6 @@ class Items:
                         if similarity >= self.threshold - 1e-12 and (key not in best or (similarity, -start) > (best[key][2], -best[key][0])):
                             best[key] = (start, size, similarity)
 
-
     def _compare(self, t: int, n: int, hashes: np.ndarray, hits: np.ndarray, best: dict) -> None:
         """Best windows of the items that fingerprints cannot settle: the bags' intersection with every window, in one pass over the item's hits.
 
@@ -245,9 +244,10 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float
         def run(batches):
             known = Items(shared.value, shingle, threshold, radius)
             for batch in batches:
-                words, counts = H.word_hashes([memoryview(normal(bytes(t))) for t in H.text_bytes(batch["text"])])
-                ids = batch["doc_id"].to_pylist()
-                out = [{"doc_id": ids[t], "item_id": item, "start": s, "n_words": n, "similarity": q} for t, item, s, n, q in known.found(words, counts)]
+                texts, ids, out = H.text_bytes(batch["text"]), batch["doc_id"].to_pylist(), []
+                for a, b in H.by_bytes(texts):
+                    words, counts = H.word_hashes([memoryview(normal(bytes(t))) for t in texts[a:b]])
+                    out += [{"doc_id": ids[a + t], "item_id": item, "start": s, "n_words": n, "similarity": q} for t, item, s, n, q in known.found(words, counts)]
                 yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())]))
 
         return texts.mapInArrow(run, schema)

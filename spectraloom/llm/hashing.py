@@ -79,6 +79,17 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[memoryview]:
     return out
 
 
+def by_bytes(texts: list[memoryview], limit: int = 16 << 20) -> list[tuple[int, int]]:
+    """The texts in runs (start, end) of `limit` bytes at most, or of one text."""
+    out, start, held = [], 0, 0
+    for i, t in enumerate(texts):
+        if i > start and held + len(t) > limit:
+            out.append((start, i))
+            start, held = i, 0
+        held += len(t)
+    return [*out, (start, len(texts))] if texts else []
+
+
 CHUNK = 3 << 18  # a batch fits the power tables of 2**20 entries
 
 

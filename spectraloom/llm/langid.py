@@ -19,7 +19,6 @@ ORDERS = (1, 2, 3, 4)
 LETTER = regex.compile(r"\p{L}")
 TRAIN_ROWS = 1200  # documents of each language that training may look at; a bound, not a share
 TRAIN_TOTAL = 20_000  # documents over all languages, 8 KB of features each on the driver
-MAX_LANGS = 400  # the most frequent ones are learned
 
 
 def features(text: bytes) -> np.ndarray:
@@ -40,17 +39,19 @@ def features(text: bytes) -> np.ndarray:
 
 def train_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 30, seed: int = 3) -> np.ndarray:
     """Weights (the last is the bias) of a linear SVM: hinge loss, stochastic subgradient, averaged over the second half."""
-    rng, x = np.random.default_rng(seed), np.hstack([x, np.ones((len(x), 1))])
-    w, kept, n_kept, step = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0, 0
+    rng = np.random.default_rng(seed)
+    w, kept, n_kept, step = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), 0, 0
     for r in range(rounds):
         order = rng.permutation(len(x))
         for part in np.array_split(order, max(1, len(x) // 16)):
             step += 1
             rate = 1.0 / (penalty * (step + 1000))
-            wrong = part[y[part] * (x[part] @ w) < 1]
+            own = x[part].astype(np.float64)  # only a part of the rows is ever widened
+            wrong = y[part] * (own @ w[:-1] + w[-1]) < 1
             w *= 1 - rate * penalty
-            if len(wrong):
-                w += rate / len(part) * (y[wrong] @ x[wrong])
+            if wrong.any():
+                w[:-1] += rate / len(part) * (y[part][wrong] @ own[wrong])
+                w[-1] += rate / len(part) * y[part][wrong].sum()
             if r >= rounds // 2:
                 kept += w
                 n_kept += 1
@@ -106,7 +107,7 @@ def squash(margin: np.ndarray) -> np.ndarray:
 
 
 def fit(x: np.ndarray, lang: np.ndarray, names: list[str]) -> Model:
-    means = np.stack([x[lang == i].mean(axis=0) for i in range(len(names))])
+    means = np.stack([x[lang == i].mean(axis=0, dtype=np.float64) for i in range(len(names))])
     groups = families(means, max(1, round(math.sqrt(len(names)))))
     group_of = np.zeros(len(names), dtype=np.int64)
     for g, members in enumerate(groups):
@@ -127,16 +128,23 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(labelled: DataFrame, rows_per_lang: int = TRAIN_ROWS) -> Model | None:
-    """A model from (doc_id, text, lang), from about `rows_per_lang` rows of each language at most, taken by a hash of id and text."""
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    """A model from (doc_id, text, lang), from about `rows_per_lang` rows of each language at most, taken by a hash of id and text.
+
+    Every language is learned; TRAIN_TOTAL bounds the rows over all of them, but for one row each. Rows with a
+    null lang are left out, a null text is an empty one, repeated rows are taken together or not at all; the
+    order of rows makes no difference. None if there is no labelled row.
+    """
+    labelled = labelled.where(F.col("lang").isNotNull())
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not counts:
         return None
-    names = sorted(counts)
-    rows_per_lang = min(rows_per_lang, TRAIN_TOTAL // len(names))
-    share = F.lit(0.0)
-    for name in names:
-        share = F.when(F.col("lang") == name, min(1.0, rows_per_lang / counts[name])).otherwise(share)
-    taken = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) < share * 1_000_003).select("lang", "text")
+    rows_per_lang = max(1, min(rows_per_lang, TRAIN_TOTAL // len(counts)))
+    share = F.element_at(F.create_map(*(F.lit(v) for name, n in sorted(counts.items()) for v in (name, min(1.0, rows_per_lang / n)))), F.col("lang"))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003))
+    # the first row in the order of hashes is taken in any case
+    first = labelled.groupBy("lang").agg(F.min(place).alias("first"))
+    taken = labelled.join(F.broadcast(first), "lang")  # a row for each language, as `counts` has
+    taken = taken.where((place < share * 1_000_003) | (place == F.col("first"))).select("lang", "text")
 
     def run(batches):
         for batch in batches:
@@ -144,10 +152,11 @@ def train(labelled: DataFrame, rows_per_lang: int = TRAIN_ROWS) -> Model | None:
             yield pa.RecordBatch.from_arrays([batch["lang"], pa.array(x, pa.binary())], names=["lang", "x"])
 
     rows = taken.mapInArrow(run, "lang string, x binary").toArrow()
-    if not rows.num_rows:
-        return None
-    x = np.stack([np.frombuffer(b, dtype=np.float32) for b in rows["x"].to_pylist()]).astype(np.float64)
     seen = rows["lang"].to_pylist()
+    x = np.empty((rows.num_rows, DIMS), dtype=np.float32)
+    for i, v in enumerate(rows["x"]):
+        x[i] = np.frombuffer(v.as_buffer(), dtype=np.float32)
+    del rows
     order = np.lexsort((np.array([hash_of(r) for r in x]), np.array(seen)))  # the same model whatever the order of rows
     names = sorted(set(seen))
     at = {n: i for i, n in enumerate(names)}
@@ -155,7 +164,7 @@ def train(labelled: DataFrame, rows_per_lang: int = TRAIN_ROWS) -> Model | None:
 
 
 def hash_of(row: np.ndarray) -> float:
-    return float(row @ np.arange(1, len(row) + 1))
+    return float(row.astype(np.float64) @ np.arange(1, len(row) + 1))
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -165,7 +174,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     back repeated, a null doc_id is carried through, an empty table gives an empty result; other columns
     are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGS languages by DIMS weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS weights for each pair of a family's languages
 
     def run(batches):
         for batch in batches:

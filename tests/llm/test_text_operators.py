@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spectraloom.llm import chat, decontam, langid, lm_score, mixing, quality, queries
+from spectraloom.llm import chat, decontam, hashing, langid, lm_score, mixing, quality, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block string, m int, w int"
@@ -370,6 +370,66 @@ def test_language_id(spark):
     assert langid.identify(table(spark, rows[:3]), None).select("lang_pred").distinct().first()["lang_pred"] == "und"
 
 
+def test_votes_by_hand():
+    """A slow reference for the two steps: the family by the greatest margin, then a duel of every pair in it."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    groups, dims = [[0, 3, 4], [1], [2, 5]], 6
+    pairs = {(a, b): rng.normal(size=dims + 1) for g in groups for i, a in enumerate(g) for b in g[i + 1 :]}
+    model = langid.Model(list("abcdef"), groups, rng.normal(size=(3, dims + 1)), pairs)
+    x = rng.normal(size=(200, dims))
+    got, score = model.predict(x)
+    for row, lang, s in zip(x, got.tolist(), score.tolist()):
+        margin = lambda w: float(row @ w[:-1] + w[-1])
+        g = max(range(3), key=lambda k: margin(model.family[k]))
+        votes = {a: 0 for a in groups[g]}
+        total = {a: 0.0 for a in groups[g]}
+        for (a, b), w in pairs.items():
+            if a in votes:
+                m = margin(w)
+                votes[a if m > 0 else b] += 1
+                total[a] += m
+                total[b] -= m
+        best = max(votes, key=lambda a: votes[a] + 1e-3 * math.tanh(total[a]))
+        assert lang == best and 0 <= s <= 1
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_TOTAL", 6)
+    rows = [(i, f"{c * 5} text {i}", lang, "s") for i, (c, lang) in enumerate([("a", "aa")] * 40 + [("b", "bb")] * 40 + [("c", "rare")] + [("d", f"l{k}") for k in range(6)])] + [(99, None, "void", "s"), (98, "x", None, "s")]
+    model = langid.train(table(spark, rows).select("doc_id", "text", "lang"))
+    assert set(model.langs) == {"aa", "bb", "rare", "void", *(f"l{k}" for k in range(6))}
+
+
+def test_very_long_texts(spark):
+    import numpy as np
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    long = " ".join(rng.choices(words, k=330_000))  # several chunks
+    assert len(long) > 2 * hashing.CHUNK
+    item = " ".join(rng.choices(words, k=30))
+    got = decontam.leaks(table(spark, [(1, long + " " + item, "en", "s"), (2, long, "en", "s")]), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["start"], r["similarity"]) for r in got] == [(1, 7, 330_000, 1.0)]
+    counts = np.zeros(langid.DIMS)
+    data = long.encode()
+    for n in langid.ORDERS:
+        code = np.zeros(len(data) - n + 1, dtype=np.uint64)
+        for k in range(n):
+            code = code * np.uint64(257) + np.frombuffer(data, dtype=np.uint8)[k : len(data) - n + 1 + k] + np.uint64(1)
+        counts += np.bincount((code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(53)).view(np.int64), minlength=langid.DIMS)
+    assert np.allclose(langid.features(data), np.sqrt(counts / counts.sum()))
+    rows = [(1, long, "en", "s"), (2, item, "en", "s")]
+    got = lm_score.backoff_scores(table(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["n_words"], round(r["log10_score"], 4) + 0.0, r["n_trigram"], r["n_bigram"], r["n_unigram"]) for r in got) == Counter({(i, n, round(x, 4) + 0.0, *more): c for (i, n, x, *more), c in brute_scores(rows).items()})
+
+
+def test_batches_by_bytes():
+    texts = [memoryview(b"x" * n) for n in (5, 3, 9, 0, 1, 20, 1)]
+    assert hashing.by_bytes(texts, 10) == [(0, 2), (2, 5), (5, 6), (6, 7)] and hashing.by_bytes([]) == []
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no test data")
 def test_op7_held_out_accuracy(spark):
     d = str(DATA.parent / "sf0.01")
