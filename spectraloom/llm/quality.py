@@ -65,7 +65,7 @@ def repeat_words(w: Column) -> Column:
         same = F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), lambda a, b: a["h"] == b["h"])
         return let(
             same,
-            lambda e: F.array_sort(
+            lambda e: F.sort_array(
                 F.filter(
                     F.zip_with(s, F.zip_with(F.concat(F.array(F.lit(False)), e), F.concat(e, F.array(F.lit(False))), lambda a, b: a | b), lambda x, hit: F.when(hit, x["i"])),
                     lambda i: i.isNotNull(),
@@ -74,7 +74,7 @@ def repeat_words(w: Column) -> Column:
         )
 
     def count(h3: Column) -> Column:
-        ordered = F.array_sort(F.transform(h3, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        ordered = F.sort_array(F.transform(h3, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(h3)) == F.size(h3), F.lit(0)).otherwise(let(ordered, lambda s: let(marked(s), covered)))
 
     return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: let(windows(h), count)).cast("long")
@@ -97,11 +97,18 @@ def letter_entropy(text: Column) -> Column:
     return let(let(F.lower(F.coalesce(text, F.lit(""))), counts), entropy)
 
 
-def top_word(w: Column) -> Column:
-    """How often the most frequent word occurs: the longest run among the sorted hashes of the words."""
-    step = lambda s, h: let(F.when(h == s["h"], s["run"] + 1).otherwise(1), lambda r: F.struct(h.alias("h"), r.alias("run"), F.greatest(s["best"], r).alias("best")))
-    first = F.struct(F.lit(None).cast("long").alias("h"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-    return F.aggregate(F.array_sort(F.transform(w, lambda x: F.xxhash64(x))), first, step, lambda s: s["best"].cast("long"))
+def top_word(w: Column, per_cent: int = 30) -> Column:
+    """How often the most frequent word occurs, exact if that is more than `per_cent` of the words; else the count of some word.
+
+    Among sorted hashes such a word covers one of every so many places, so that few candidates are counted.
+    """
+
+    def counted(h: Column) -> Column:
+        step = F.greatest(F.floor(F.size(h) * per_cent / 100).cast("int"), F.lit(1))
+        best = [F.size(h) - F.size(F.array_remove(h, F.get(h, step * k))) for k in range(100 // per_cent + 2)]
+        return F.greatest(*(F.coalesce(b, F.lit(0)) for b in best), F.lit(0)).cast("long")
+
+    return let(F.sort_array(F.transform(w, lambda x: F.xxhash64(x))), counted)
 
 
 def lines_like(x: Column, pattern: str) -> Column:

@@ -67,7 +67,9 @@ def test_measures(spark):
     own = rows.select("id", *(m[n].alias(n) for n in ("letter_entropy", "top_word", "n_ellipsis_lines", "n_bullet_lines"))).orderBy("id").collect()
     for r, t in zip(own, TEXTS):
         entropy, *rest = brute_own(t)
-        assert (r["letter_entropy"] is None) == (entropy is None) and (entropy is None or abs(r["letter_entropy"] - entropy) < 1e-9) and list(r[2:]) == rest
+        assert (r["letter_entropy"] is None) == (entropy is None) and (entropy is None or abs(r["letter_entropy"] - entropy) < 1e-9) and list(r[3:]) == rest[1:]
+        n, top = len(WORD.findall(t or "")), rest[0]
+        assert r["top_word"] == top if 100 * top > 30 * n else 100 * r["top_word"] <= 30 * n
 
 
 def brute_own(text):
