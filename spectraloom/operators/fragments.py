@@ -89,7 +89,7 @@ def matrices(fragments: DataFrame, predictions: DataFrame, keys: list[str] = KEY
     p = p.groupBy(*keys, "fragment_name").agg(F.max("predicted").alias("predicted")).groupBy(*keys)
     p = p.agg(F.map_from_entries(F.collect_list(F.struct("fragment_name", "predicted"))).alias("__p"))
     out = rows.join(p, keys).withColumn("__seen", F.array_distinct(F.flatten(F.transform("psms", lambda r: F.transform(r["f"], lambda e: e["fragment_name"])))))
-    out = out.withColumns({"__names": F.array_sort(F.array_union("__seen", F.map_keys("__p"))), "__top": F.array_max(F.map_values("__p"))})
+    out = out.withColumns({"__names": F.sort_array(F.array_union("__seen", F.map_keys("__p"))), "__top": F.array_max(F.map_values("__p"))})
 
     def vector(r: Column) -> Column:
         filled = F.transform(F.array(F.map_from_arrays(r["f"]["fragment_name"], r["f"]["fragment_intensity"])), lambda m: F.transform("__names", lambda n: F.coalesce(m[n], F.lit(0.0))))
