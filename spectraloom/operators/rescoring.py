@@ -21,17 +21,18 @@ def tdc_qvalues(psms: DataFrame, score: str = "score", decoy: str = "is_decoy",
     """psms with q_value: the least (decoys + 1) / targets over all thresholds at or below the row's score, at most 1.
 
     Rows with equal scores share a threshold; null scores are below all others. Scores are cut into `ranges`
-    ranges of about equal count: the running counts start from the totals of the ranges above, the running
+    ranges with about as many different scores: the running counts start from the totals of the ranges above, the running
     minimum is completed by those of the ranges below, so no task orders more than its own range.
     """
     rows = psms.withColumn("__score", F.col(score).cast("double"))
     d = F.coalesce(F.col(decoy), F.lit(False))
     steps = rows.groupBy("__score").agg(F.count_if(d).alias("__d"), F.count_if(~d).alias("__t"))
-    cuts = psms.agg(F.percentile_approx(F.col(score).cast("double"), [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []
-    cuts = F.lit(sorted(set(cuts))) if cuts else F.array().cast("array<double>")
+    # one row, from the same aggregate: the scored plan runs once for it and the steps
+    cuts = steps.agg(F.array_distinct(F.percentile_approx("__score", [i / ranges for i in range(1, ranges)], 20 * ranges)).alias("__cuts"))
+    steps = steps.crossJoin(F.broadcast(cuts))
     halves = F.array(*(F.lit(1 << k) for k in reversed(range(ranges.bit_length()))))  # binary search for the number of cuts up to the score
-    at = F.aggregate(halves, F.lit(0), lambda i, h: F.when(F.get(cuts, i + h - 1) <= F.col("__score"), i + h).otherwise(i))
-    steps = steps.withColumn("__range", F.when(F.col("__score").isNull(), -1).otherwise(at))
+    at = F.aggregate(halves, F.lit(0), lambda i, h: F.when(F.get("__cuts", i + h - 1) <= F.col("__score"), i + h).otherwise(i))
+    steps = steps.withColumn("__range", F.when(F.col("__score").isNull(), -1).otherwise(at)).drop("__cuts")
     above = W.orderBy(F.col("__range").desc()).rowsBetween(W.unboundedPreceding, -1)
     sums = steps.groupBy("__range").agg(F.sum("__d").alias("d"), F.sum("__t").alias("t"))  # at most `ranges` rows
     start = sums.select("__range", F.coalesce(F.sum("d").over(above), F.lit(0)).alias("__d0"), F.coalesce(F.sum("t").over(above), F.lit(0)).alias("__t0"))
