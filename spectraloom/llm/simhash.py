@@ -74,6 +74,8 @@ def tallied_pairs(lists: np.ndarray, positions: np.ndarray, fps: np.ndarray, rad
     for p in range(BYTES):
         own = np.flatnonzero(positions >> np.uint8(p) & 1 == 0)
         own = own[np.lexsort((octets[own, p], lists[own]))]
+        place_of = np.empty(len(fps), dtype=np.int64)
+        place_of[own] = np.arange(len(own))
         a, b = own[:-1], own[1:]
         while len(a):  # neighbours in a posting, then those two apart, and so on
             met = (lists[a] == lists[b]) & (octets[a, p] == octets[b, p])
@@ -85,10 +87,7 @@ def tallied_pairs(lists: np.ndarray, positions: np.ndarray, fps: np.ndarray, rad
             near = np.bitwise_count(x ^ y) <= radius
             left.append(x[near])
             right.append(y[near])
-            # the next member of the posting, if there is one
-            place_of = np.empty(len(fps), dtype=np.int64)
-            place_of[own] = np.arange(len(own))
-            after = place_of[b] + 1
+            after = place_of[b] + 1  # the next member of the posting, if there is one
             a, b = a[after < len(own)], own[after[after < len(own)]]
     return (np.concatenate(left), np.concatenate(right)) if left else (fps[:0], fps[:0])
 
