@@ -58,7 +58,7 @@ TEXTS = [None, "", " \n\t", "a", "a b", "a b c a b c", "x y x y x y", "#*$% &|<>
 
 def test_measures(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id int, text string")
-    m = quality.measures(quality.words(F.col("text")), F.col("text"))
+    m = quality.Measures(quality.words(F.col("text")), F.col("text"))
     names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
     got = rows.select("id", *(m[n].alias(n) for n in names)).orderBy("id").collect()
     assert [tuple(r)[1:] for r in got] == [brute_measures(t) for t in TEXTS]
