@@ -7,10 +7,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import expr as X
 from ..functions import kernels as K
-from .joins import of_file, ppm_range_join, range_join
+from .joins import of_file, range_join
 
 
 def delogged(predictions: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,15 +98,80 @@ def annotate(psms: DataFrame, spectra: DataFrame, ppm: float = 20.0, max_charge:
     """(psm_id, peptide, charge, fragment_name, fragment_intensity): the strongest peak within ppm of each theoretical ion.
 
     Ions have charges up to max_charge, but below the precursor's where that is 2 or more. Scans are told
-    apart by file and scan id (see `of_file`).
+    apart by file and scan id (see `of_file`). PSMs meet whole scans; ions and peaks are matched in Arrow batches
+    by binary search, so neither is ever a row of a shuffle, and the tolerance does not multiply rows.
     """
     scans, rows = of_file(spectra.withColumnRenamed("scan_id", "scannr"), psms, ["scannr"])
-    charges = F.least(F.lit(max_charge), F.greatest(F.col("charge").cast("int") - 1, F.lit(1)))
-    own = theoretical_ions(X.base_sequence(F.col("peptide")), charges, losses)
-    ions = rows.select("psm_id", "__file", "scannr", "peptide", "charge", F.inline(own)).withColumnRenamed("mz", "target_mz").where("target_mz IS NOT NULL")
-    peaks = scans.select("__file", "scannr", F.explode(F.arrays_zip("mz", "intensity")).alias("p")).select("__file", "scannr", "p.mz", "p.intensity")
-    met = ppm_range_join(peaks, ions, ppm=ppm, on=["__file", "scannr"])
-    return met.groupBy("psm_id", "peptide", "charge", "fragment_name").agg(F.max("intensity").alias("fragment_intensity"))
+    charges = F.greatest(F.least(F.lit(max_charge), F.greatest(F.col("charge").cast("int") - 1, F.lit(1))), F.lit(1))
+    rows = rows.select("psm_id", "__file", "scannr", "peptide", "charge", X.base_sequence(F.col("peptide")).alias("__seq"), charges.alias("__top")).where("length(__seq) > 1")
+    met = rows.join(scans.select("__file", "scannr", "mz", "intensity"), ["__file", "scannr"]).drop("__file", "scannr")
+    kept = [f for f in met.schema.fields if f.name in ("psm_id", "peptide", "charge")]
+    schema = T.StructType([*kept, T.StructField("fragment_name", T.StringType()), T.StructField("fragment_intensity", T.DoubleType())])
+    shifts = [(loss, LOSSES[loss]) for loss in losses]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, names, values = matched_ions(batch, shifts, ppm)
+            own = [batch.column(f.name).take(pa.array(at, pa.int64())) for f in kept]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array(values, pa.float64(), mask=np.isneginf(values))], names=schema.names)
+
+    found = met.mapInArrow(run, schema).groupBy("psm_id", "peptide", "charge", "fragment_name").agg(F.max("fragment_intensity").alias("fragment_intensity"))
+    return found.withColumn("fragment_intensity", F.col("fragment_intensity").cast(spectra.schema["intensity"].dataType.elementType))
+
+
+def matched_ions(batch: pa.RecordBatch, shifts: list[tuple[str, float]], ppm: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, fragment_name, intensity) of the ions of each row's __seq that meet one of its peaks; -inf if no such peak has an intensity.
+
+    Sequences of a length are taken together. Masses are added in the order in which `theoretical_ions` adds them.
+    """
+
+    def lists(name: str) -> tuple[np.ndarray, np.ndarray]:
+        column = batch.column(name)
+        sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = column.flatten()
+        values = np.array(flat.cast(pa.float64()).to_numpy(zero_copy_only=False), dtype=float)
+        return np.where(flat.is_null().to_numpy(zero_copy_only=False), np.nan if name == "mz" else -np.inf, values), np.concatenate([[0], np.cumsum(sizes)])
+
+    (mz, place), (own, own_place) = lists("mz"), lists("intensity")
+    if len(place) != len(own_place) or (place != own_place).any():  # as arrays_zip has it: what one side lacks is null
+        both = [(mz[a:b], own[c:d]) for a, b, c, d in zip(place, place[1:], own_place, own_place[1:])]
+        own = np.concatenate([np.zeros(0), *(np.append(v[: len(m)], np.full(max(0, len(m) - len(v)), -np.inf)) for m, v in both)])
+    inside = np.ones(max(len(mz) - 1, 0), dtype=bool)
+    inside[place[1:-1][(place[1:-1] > 0) & (place[1:-1] < len(mz))] - 1] = False
+    for k in np.unique(place.searchsorted(np.flatnonzero(inside & ~(mz[1:] >= mz[:-1])), "right") - 1):  # spectra out of order; null and NaN come last
+        order = place[k] + np.argsort(mz[place[k] : place[k + 1]])
+        mz[place[k] : place[k + 1]], own[place[k] : place[k + 1]] = mz[order], own[order]
+    own = np.append(own, -np.inf)  # one more, so that every place is one
+
+    groups: dict[tuple[int, int], list[int]] = {}
+    sequences = batch.column("__seq").to_pylist()
+    for k, (seq, top) in enumerate(zip(sequences, batch.column("__top").to_pylist())):
+        groups.setdefault((len(seq), top), []).append(k)
+    rows, names, values = [np.zeros(0, int)], [np.zeros(0, object)], [np.zeros(0)]
+    for (n, top), members in groups.items():
+        m = np.array([[X.RESIDUES.get(c, np.nan) for c in sequences[k]] for k in members])
+        b = np.cumsum(np.column_stack([np.full(len(m), X.WATER), m]), axis=1)[:, 1:n]
+        y = np.full(m.shape, X.WATER)
+        for i in range(n):
+            y[:, : i + 1] += m[:, i : i + 1]  # the suffixes from each place, up to i
+        charge = np.arange(1, top + 1)
+        base = np.stack([b, y[:, :0:-1]], axis=1)[:, None, :, :]
+        change = np.array([[-X.WATER - mass, 0.0 - mass] for _, mass in shifts])[None, :, :, None]
+        target = ((base + change)[..., None] / charge + X.PROTON).reshape(len(m), -1)
+        named = np.array([f"{kind}{i}{loss}/{z}" for loss, _ in shifts for kind in "by" for i in range(1, n) for z in charge], dtype=object)
+        tolerance = target * ppm * 1e-6
+        low, high = target - tolerance, target + tolerance
+        met = np.zeros((2, *target.shape), dtype=int)
+        for j, k in enumerate(members):
+            at = mz[place[k] : place[k + 1]]
+            met[0, j], met[1, j] = at.searchsorted(low[j], "left"), at.searchsorted(high[j], "right")
+        j, i = np.nonzero((met[0] < met[1]) & ~np.isnan(target))
+        if len(j):
+            k = np.array(members)[j]
+            rows.append(k)
+            names.append(named[i])
+            values.append(np.maximum.reduceat(own, (met[:, j, i] + place[k]).T.ravel())[::2])
+    return np.concatenate(rows), np.concatenate(names), np.concatenate(values)
 
 
 def deconvolved(fragments: DataFrame, predictions: DataFrame, alpha: float = 0.1, least: float = 1e-10) -> DataFrame:
