@@ -16,16 +16,17 @@ def maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def range_join(points: DataFrame, ranges: DataFrame, at: Column, low: Column, high: Column, width: float, on: list[str] = [], how: str = "inner") -> DataFrame:
+def range_join(points: DataFrame, ranges: DataFrame, at: Column, low: Column, high: Column, width: float, on: list[str] = [], how: str = "inner", small: bool = True) -> DataFrame:
     """Rows of both sides with low <= at <= high (and equal `on` columns).
 
     Ranges are dealt to every bucket of `width` that they touch and points to their own, so the join has an
-    equality that hashes; each pair comes once. Choose a width near the usual length of a range.
+    equality that hashes; each pair comes once. Choose a width near the usual length of a range. small=False never
+    broadcasts the ranges: where they are as many as the points, the estimate of compressed files says too little.
     """
     p = points.withColumn("__bucket", F.floor(at / width).cast("long")).withColumn("__at", at)
     r = ranges.withColumns({"__low": low, "__high": high}).where("__low <= __high")
     r = r.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("__low") / width).cast("long"), F.floor(F.col("__high") / width).cast("long"))))
-    pairs = p.join(maybe_broadcast(r), [*on, "__bucket"], "inner").where("__at between __low and __high")
+    pairs = p.join(maybe_broadcast(r) if small else r.hint("merge"), [*on, "__bucket"], "inner").where("__at between __low and __high")
     if how == "left_semi":
         return pairs.select(*points.columns).distinct()
     return pairs.drop("__bucket", "__at", "__low", "__high")

@@ -197,17 +197,18 @@ def deconvolved(fragments: DataFrame, predictions: DataFrame, alpha: float = 0.1
 def mass_differences(peaks: DataFrame, keys: list[str], mz: str = "mz", tolerance: float = 0.5, residues: dict[str, float] | None = None) -> DataFrame:
     """(keys, low, high, residue, delta): pairs of peaks whose distance is closest to a residue's mass, within `tolerance`.
 
-    Residue by residue a range join, so peaks that are no residue apart never meet.
+    One range join over the distances from the lightest to the heaviest residue, so a peak is a row of three at most on
+    either side together, whatever the number of residues and the tolerance; the residue is told from the pair.
     """
     table = X.RESIDUES if residues is None else residues
-    spark = peaks.sparkSession
-    masses = spark.createDataFrame(list(table.items()), "residue string, mass double")
-    low = peaks.select(*keys, F.col(mz).alias("low")).crossJoin(F.broadcast(masses))  # twenty rows
-    reach = low.withColumns({"__from": F.col("low") + F.col("mass") - tolerance, "__to": F.col("low") + F.col("mass") + tolerance})
-    pairs = range_join(peaks.select(*keys, F.col(mz).alias("high")), reach, F.col("high"), F.col("__from"), F.col("__to"), 2 * tolerance, keys)
-    pairs = pairs.withColumn("delta", F.abs(F.col("high") - F.col("low") - F.col("mass"))).where(F.col("delta") < tolerance)
-    best = F.min_by(F.struct("residue", "delta"), F.struct("delta", "residue"))
-    return pairs.groupBy(*keys, "low", "high").agg(best.alias("b")).select(*keys, "low", "high", "b.residue", "b.delta")
+    least, most = min(table.values(), default=0.0) - tolerance, max(table.values(), default=0.0) + tolerance
+    slack = 1e-9 * (1 + F.abs(F.col("low")))  # what is near an end is judged by delta alone
+    reach, points = peaks.select(*keys, F.col(mz).alias("low")), peaks.select(*keys, F.col(mz).alias("high"))
+    pairs = range_join(points, reach, F.col("high"), F.col("low") + least - slack, F.col("low") + most + slack, max(most - least, 1e-6), keys, small=False)
+    each = [(F.abs(F.col("high") - F.col("low") - F.lit(mass)), residue) for residue, mass in table.items()] or [(F.lit(float("inf")), "")]
+    pairs = pairs.where(F.array_min(F.array(*(d for d, _ in each))) < tolerance)
+    best = F.array_min(F.array(*(F.struct(d.alias("delta"), F.lit(residue).alias("residue")) for d, residue in each)))
+    return pairs.withColumn("__best", best).select(*keys, "low", "high", "__best.residue", "__best.delta").distinct()
 
 
 def random_spectra(spark: SparkSession, n: int, peaks: int = 50, seed: int = 1) -> DataFrame:

@@ -1,7 +1,13 @@
 """Rows that operators make and put through a shuffle on the way to their result, and the same results by plainer means."""
 
+import numpy as np
+import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spectraloom.functions import expr as X
+from spectraloom.operators import aggregates as A
+from spectraloom.operators import fragments as M
 from spectraloom.operators import spectra as S
 
 
@@ -21,3 +27,15 @@ def test_annotation_does_not_multiply_rows_by_the_tolerance(spark):
     want = ions.join(rows, "scannr").where("mz BETWEEN t - t * 0.02D AND t + t * 0.02D").groupBy("psm_id", "fragment_name").agg(F.max("intensity").alias("i"))
     want = sorted(map(tuple, want.collect()), key=lambda r: r[:2])
     assert len(want) > 100 and sorted(map(tuple, got.select("psm_id", "fragment_name", "fragment_intensity").collect()), key=lambda r: r[:2]) == want
+
+
+def test_mass_differences_make_three_rows_of_a_peak_at_most(spark):
+    peaks = spark.createDataFrame([(s, 100.0 + (k * k * 37 + s) % 400 + k % 7 * 0.02) for s in range(3) for k in range(60)] * 2, "scan int, mz double")
+    got = S.mass_differences(peaks, ["scan"])
+    assert "residue" not in "".join(line for line in plan(got).splitlines() if "LocalRelation" in line or "LogicalRDD" in line)  # no row for each residue
+    masses = spark.createDataFrame(list(X.RESIDUES.items()), "residue string, mass double")
+    pairs = peaks.distinct().withColumnRenamed("mz", "low").join(peaks.distinct().withColumnRenamed("mz", "high"), "scan").crossJoin(masses).withColumn("delta", F.abs(F.col("high") - F.col("low") - F.col("mass"))).where("delta < 0.5")
+    want = pairs.groupBy("scan", "low", "high").agg(F.min(F.struct("delta", "residue")).alias("b")).select("scan", "low", "high", "b.residue", "b.delta")
+    want = sorted(map(tuple, want.collect()))
+    assert len(want) > 100 and sorted(map(tuple, got.collect())) == want
+    assert S.mass_differences(peaks, ["scan"], residues={}).count() == 0
