@@ -25,6 +25,63 @@ def nn_lasso(x: np.ndarray, y: np.ndarray, alpha: float = 0.1, max_iter: int = 1
     return w, float(mean_y - mean_x @ w)
 
 
+def pair_correlations(e: np.ndarray, t: np.ndarray, x: np.ndarray, missing: np.ndarray, piece: np.ndarray | None = None, keep: str = "all") -> tuple[np.ndarray, ...]:
+    """(a, b, r, n) of pairs of members a < b: entry k is x[k] of member e[k] at place t[k], or missing.
+
+    n is the number of places that both have and `keep` takes, negative where r is undefined; pairs without one go. An
+    entry that comes several times meets each of the other's. With `piece`, only members of different pieces meet.
+    """
+    size, width = int(e.max()) + 1, int(t.max()) + 1
+    order = np.lexsort((t, e))
+    spot = e[order] * width + t[order]
+    first = np.flatnonzero(np.append(True, spot[1:] != spot[:-1]))
+    copy = np.empty(len(e), dtype=int)
+    copy[order] = np.arange(len(e)) - np.repeat(first, np.diff(np.append(first, len(e))))
+    copies = int(copy.max()) + 1
+    v, there, known = np.zeros((size, width, copies)), np.zeros((size, width, copies), dtype=bool), np.zeros((size, width, copies), dtype=bool)
+    v[e, t, copy], there[e, t, copy], known[e, t, copy] = x, True, ~missing
+
+    def left(m: np.ndarray) -> np.ndarray:
+        return np.repeat(m, copies, axis=2).reshape(size, -1)
+
+    def right(m: np.ndarray) -> np.ndarray:
+        return np.tile(m, (1, 1, copies)).reshape(size, -1)
+
+    if keep == "all" and copies == 1 and known.all() and np.isfinite(v).all():
+        v = v[:, :, 0]
+        mean = v.mean(axis=1)
+        centred = v - mean[:, None]
+        std = np.sqrt((centred * centred).mean(axis=1))
+        flat = std <= 1e-9 * (1.0 + np.abs(mean))
+        unit = centred / np.where(flat, 1.0, std * np.sqrt(width))[:, None]
+        a, b = np.triu_indices(size, 1)
+        if piece is not None:
+            met = piece[a] != piece[b]
+            a, b = a[met], b[met]
+        return a, b, (unit @ unit.T)[a, b], np.where(flat[a] | flat[b], -width, width)
+    va, vb, ta, tb, ka, kb = left(v), right(v), left(there), right(there), left(known), right(known)
+    na, nb = ka & (va != 0), kb & (vb != 0)
+    found = []
+    for i in range(size - 1):
+        j = np.arange(i + 1, size) if piece is None else i + 1 + np.flatnonzero(piece[i + 1 :] != piece[i])
+        met = ta[i] & tb[j]
+        met &= {"all": True, "both": na[i] & nb[j], "any": na[i] | nb[j]}[keep]
+        n = met.sum(axis=1)
+        both = met & ka[i] & kb[j]
+        count = np.maximum(both.sum(axis=1), 1)[:, None]
+        p, q = np.where(both, va[i], 0.0), np.where(both, vb[j], 0.0)
+        mp, mq = p.sum(axis=1, keepdims=True) / count, q.sum(axis=1, keepdims=True) / count
+        p, q = np.where(both, p - mp, 0.0), np.where(both, q - mq, 0.0)
+        sp, sq = np.sqrt((p * p).sum(axis=1) / count[:, 0]), np.sqrt((q * q).sum(axis=1) / count[:, 0])
+        flat = (sp <= 1e-9 * (1.0 + np.abs(mp[:, 0]))) | (sq <= 1e-9 * (1.0 + np.abs(mq[:, 0]))) | ~both.any(axis=1)
+        r = (p * q).sum(axis=1) / count[:, 0] / np.where(flat, 1.0, sp * sq)
+        some = n > 0
+        found.append((np.full(some.sum(), i), j[some], r[some], np.where(flat, -n, n)[some]))
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, int)
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Continued fraction of the incomplete beta function, by Lentz, for arrays."""
     tiny, c = 1e-300, np.ones_like(x)

@@ -7,11 +7,16 @@ peptidoforms may have any fragments, and what a score does not need is pruned fr
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import expr as X
+from ..functions import kernels as K
 
 KEYS = ["peptide", "charge"]
 
@@ -26,18 +31,45 @@ def normalised_predictions(predictions: DataFrame, keys: list[str] = KEYS) -> Da
     return predictions.withColumn("predicted", X.safe_divide(F.col("predicted"), F.max("predicted").over(W.partitionBy(*keys))))
 
 
-def pair_correlations(long: DataFrame, entity: str, axis: str, keys: list[str] = KEYS, keep: str = "all") -> DataFrame:
+#: A key's members are cut into pieces of about so many, and of so many rows; tasks take two pieces at a time.
+PIECE_MEMBERS, PIECE_ROWS = 1000, 1_000_000
+
+
+def pair_correlations(long: DataFrame, entity: str, axis: str, keys: list[str] = KEYS, keep: str = "all", piece_members: int = PIECE_MEMBERS, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Correlations of all pairs of an entity (PSMs or fragments) along the other axis: (keys, a, b, correlation, n), a < b.
 
     keep: "all" positions, "both" where both differ from 0, "any" where one does. Null where fewer than two
     positions are left or one side does not vary. The output has a row for each pair by its nature; for
     peptidoforms with very many members use `corr_features`, which keeps only what features need.
+
+    Entries are shuffled once, by key, and pairs are made from arrays in the task, so no pair of entries is a row. The
+    members of a large key are dealt to pieces, and each two pieces are a group of their own: that repeats the entries
+    of such keys, but bounds a task's memory and lets many tasks share a key.
     """
-    left = long.select(*keys, axis, F.col(entity).alias("a"), F.col("x").alias("xa"))
-    right = long.select(*keys, axis, F.col(entity).alias("b"), F.col("x").alias("xb"))
-    pairs = left.join(right, [*keys, axis]).where("a < b")
-    pairs = {"all": pairs, "both": pairs.where("xa <> 0 AND xb <> 0"), "any": pairs.where("xa <> 0 OR xb <> 0")}[keep]
-    return pairs.groupBy(*keys, "a", "b").agg(X.safe_corr(F.col("xa"), F.col("xb"), None).alias("correlation"), F.count(F.lit(1)).alias("n"))
+    rows = long.select(*keys, F.col(entity).alias("__e"), F.col(axis).alias("__axis"), F.col("x").cast("double").alias("__x")).dropna(subset=[*keys, "__e", "__axis"])
+    pieces = F.ceil(F.greatest(F.approx_count_distinct("__e") / piece_members, F.count(F.lit(1)) / piece_rows)).cast("int")
+    large = rows.groupBy(*keys).agg(pieces.alias("__pieces")).where("__pieces > 1")  # at most a row for each so many members or rows of the table
+    rows = rows.join(F.broadcast(large), keys, "left").withColumn("__pieces", F.coalesce("__pieces", F.lit(1)))
+    rows = rows.withColumn("__own", F.pmod(F.xxhash64("__e"), F.col("__pieces")).cast("int"))
+    rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__pieces") - 1))).drop("__pieces")
+    rows = rows.withColumns({"__first": F.least("__own", "__other"), "__second": F.greatest("__own", "__other")}).drop("__other")
+    fields = {f.name: f for f in rows.schema.fields}
+    member = fields["__e"].dataType
+    schema = T.StructType([*(fields[k] for k in keys), *(T.StructField(n, t) for n, t in (("a", member), ("b", member), ("correlation", T.DoubleType()), ("n", T.LongType())))])
+
+    def run(table: pa.Table) -> pa.Table:
+        members = pc.unique(table["__e"].combine_chunks())
+        members = members.take(pc.sort_indices(members))
+        e = pc.index_in(table["__e"].combine_chunks(), members).to_numpy()
+        t = table["__axis"].combine_chunks().dictionary_encode().indices.to_numpy()
+        piece = np.zeros(len(members), dtype=int)
+        piece[e] = table["__own"].to_numpy()
+        missing = table["__x"].combine_chunks().is_null().to_numpy(zero_copy_only=False)
+        a, b, r, n = K.pair_correlations(e, t, np.where(missing, 0.0, table["__x"].to_numpy()), missing, piece if table["__first"][0] != table["__second"][0] else None, keep)
+        own = [pa.repeat(table[k][0], len(a)).cast(table.schema.field(k).type) for k in keys]
+        return pa.table([*own, members.take(pa.array(a)), members.take(pa.array(b)), pa.array(r, mask=n < 0), pa.array(np.abs(n))], names=schema.names)
+
+    return rows.groupBy(*keys, "__first", "__second").applyInArrow(run, schema)
 
 
 def unit_vector(x: Column) -> Column:

@@ -39,3 +39,25 @@ def test_mass_differences_make_three_rows_of_a_peak_at_most(spark):
     want = sorted(map(tuple, want.collect()))
     assert len(want) > 100 and sorted(map(tuple, got.collect())) == want
     assert S.mass_differences(peaks, ["scan"], residues={}).count() == 0
+
+
+@pytest.mark.parametrize("keep", ["all", "both", "any"])
+def test_pair_correlations_shuffle_entries_and_cut_large_keys(spark, keep):
+    draw = np.random.default_rng(1)
+    rows = [(g, f"m{e}", t, None if u < 0.1 else float(round(8 * w) / 4 * (u > 0.3))) for g, size in (("a", 12), ("b", 3), (None, 3)) for e in range(size) for t in range(9) for u, w in [draw.random(2)] if u < 0.9]
+    rows += [("a", "m3", 2, 5.0), ("a", "m4", 2, 1.5), ("a", None, 2, 1.0), ("a", "m1", None, 1.0), *(("b", "flat", t, 0.1) for t in range(9))]
+    long = spark.createDataFrame(rows, "g string, e string, t int, x double")
+    left, right = (long.select("g", "t", F.col("e").alias(n), F.col("x").alias(f"x{n}")) for n in "ab")
+    kept = {"all": "true", "both": "xa <> 0 AND xb <> 0", "any": "xa <> 0 OR xb <> 0"}[keep]
+    want = left.join(right, ["g", "t"]).where("a < b").where(kept).groupBy("g", "a", "b").agg(X.safe_corr(F.col("xa"), F.col("xb"), None).alias("c"), F.count(F.lit(1)).alias("n"))
+    want = sorted((r["g"], r["a"], r["b"], r["n"], r["c"]) for r in want.collect())
+    for pieces in ({}, {"piece_members": 4}, {"piece_rows": 20}):
+        out = M.pair_correlations(long, "e", "t", ["g"], keep, **pieces)
+        got = sorted((r["g"], r["a"], r["b"], r["n"], r["correlation"]) for r in out.collect())
+        assert [r[:4] for r in got] == [r[:4] for r in want] and len(want) > 60
+        assert [r[4] for r in got] == [pytest.approx(r[4], abs=1e-9) if r[4] is not None else None for r in want]
+    full = spark.range(800).select((F.col("id") % 2).alias("g"), F.floor(F.col("id") / 2 % 20).alias("e"), F.floor(F.col("id") / 40).alias("t"), F.sin(F.col("id") * F.col("id")).alias("x"))
+    left, right = (full.select("g", "t", F.col("e").alias(n), F.col("x").alias(f"x{n}")) for n in "ab")
+    want = left.join(right, ["g", "t"]).where("a < b").groupBy("g", "a", "b").agg(F.corr("xa", "xb").alias("c"))
+    want = {tuple(r[:3]): r[3] for r in want.collect()}
+    assert {tuple(r[:3]): r["correlation"] for r in M.pair_correlations(full, "e", "t", ["g"], piece_members=7).collect()} == pytest.approx(want, abs=1e-9) and len(want) == 380
