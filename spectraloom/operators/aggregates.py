@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def top_by(df: DataFrame, keys: list[str], value: str, *ties: str) -> DataFrame:
@@ -136,10 +137,35 @@ def ranks(df: DataFrame, partition: list[str], *order: str) -> DataFrame:
     return df.withColumn("rank", (F.row_number().over(W.partitionBy(*partition).orderBy(*order)) - 1).cast("long"))
 
 
-def average_ranks(df: DataFrame, partition: list[str], value: str, name: str) -> DataFrame:
-    """1-based ranks; tied values share the mean of their places."""
-    w = W.partitionBy(*partition).orderBy(value)
-    return df.withColumn(name, F.rank().over(w) + (F.count(F.lit(1)).over(W.partitionBy(*partition, value)) - 1) / 2)
+def average_ranks(df: DataFrame, partition: list[str], value: str, name: str, ranges: int = 256) -> DataFrame:
+    """1-based ranks; tied values share the mean of their places. Null is below all values.
+
+    Values are counted first and cut into `ranges` ranges; a range's running counts start from the totals of those below,
+    so no task orders a partition, however few there are. (Values that are no numbers are counted, but stay in one range.)
+    """
+    n, v = len(partition), F.col(value)
+    steps = df.groupBy(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(partition)), v.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    keys = [f"__k{i}" for i in range(n)]
+    at = F.lit(0)
+    if isinstance(df.schema[value].dataType, T.NumericType):
+        cuts = steps.agg(F.array_distinct(F.percentile_approx(F.col("__v").cast("double"), [i / ranges for i in range(1, ranges)], 20 * ranges)).alias("__cuts"))
+        steps = steps.crossJoin(F.broadcast(cuts))  # one row
+        halves = F.array(*(F.lit(1 << k) for k in reversed(range(ranges.bit_length()))))  # binary search for the number of cuts up to the value
+        at = F.aggregate(halves, F.lit(0), lambda i, h: F.when(F.get("__cuts", i + h - 1) <= F.col("__v").cast("double"), i + h).otherwise(i))
+    steps = steps.withColumn("__range", F.when(F.col("__v").isNull(), -1).otherwise(at)).select(*keys, "__v", "__n", "__range")
+    lower = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    sums = steps.groupBy(*keys, "__range").agg(F.sum("__n").alias("__t"))  # at most `ranges` rows a partition
+    starts = sums.select(*(F.col(k).alias(f"{k}s") for k in keys), F.col("__range").alias("__s"), F.coalesce(F.sum("__t").over(lower), F.lit(0)).alias("__start"))
+    met = F.col("__range") == F.col("__s")
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"{k}s"))
+    within = W.partitionBy(*keys, "__range").orderBy("__v").rowsBetween(W.unboundedPreceding, -1)
+    before = F.col("__start") + F.coalesce(F.sum("__n").over(within), F.lit(0))
+    out = steps.join(starts, met).select(*keys, "__v", (before + 1 + (F.col("__n") - 1) / 2).alias(name))
+    met = v.eqNullSafe(F.col("__v"))
+    for k, c in zip(keys, partition):
+        met = met & F.col(c).eqNullSafe(F.col(k))
+    return df.join(out, met).drop(*keys, "__v")
 
 
 def relative_intensity(df: DataFrame, keys: list[str], value: str, least: float = 0.05) -> DataFrame:

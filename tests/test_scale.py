@@ -61,3 +61,18 @@ def test_pair_correlations_shuffle_entries_and_cut_large_keys(spark, keep):
     want = left.join(right, ["g", "t"]).where("a < b").groupBy("g", "a", "b").agg(F.corr("xa", "xb").alias("c"))
     want = {tuple(r[:3]): r[3] for r in want.collect()}
     assert {tuple(r[:3]): r["correlation"] for r in M.pair_correlations(full, "e", "t", ["g"], piece_members=7).collect()} == pytest.approx(want, abs=1e-9) and len(want) == 380
+
+
+def test_average_ranks_order_no_partition_in_one_task(spark):
+    nan = float("nan")
+    rows = [(k, (k * k * 31 % 97) / 3.0 if k % 11 else None, "ab"[k % 2] if k % 5 else None) for k in range(300)] + [(300, nan, "a"), (301, nan, "a"), (302, -0.0, "a"), (303, 0.0, "a")]
+    df = spark.createDataFrame(rows, "id int, v double, g string")
+    w = W.partitionBy("g").orderBy("v")
+    want = df.withColumn("r", F.rank().over(w) + (F.count(F.lit(1)).over(W.partitionBy("g", "v")) - 1) / 2)
+    got = A.average_ranks(df, ["g"], "v", "r", ranges=8)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    text = df.withColumn("v", F.col("v").cast("string"))
+    want = text.withColumn("r", F.rank().over(w) + (F.count(F.lit(1)).over(W.partitionBy("g", "v")) - 1) / 2)
+    assert sorted(map(str, A.average_ranks(text, ["g"], "v", "r").collect())) == sorted(map(str, want.collect()))
+    windows = [line for line in plan(A.average_ranks(df, ["g"], "v", "r")).splitlines() if "Window" in line]
+    assert windows and all("__range" in line for line in windows)
