@@ -25,6 +25,38 @@ def nn_lasso(x: np.ndarray, y: np.ndarray, alpha: float = 0.1, max_iter: int = 1
     return w, float(mean_y - mean_x @ w)
 
 
+def nn_lassos(a: np.ndarray, r: np.ndarray, n: np.ndarray, alpha: float = 0.1, max_iter: int = 10_000, tol: float = 1e-10) -> np.ndarray:
+    """w (columns, problems) of `nn_lasso` for many problems: a (columns, rows, problems) and r (rows, problems) are centred and filled up with zeros, n is the number of rows. Each stops by its own steps."""
+    w, scale = np.zeros((a.shape[0], a.shape[2])), (a * a).sum(axis=1)
+    out, left, going = np.zeros_like(w), np.arange(a.shape[2]), np.ones(a.shape[2], dtype=bool)
+    r, limit = r.copy(), n * alpha
+    over = np.where(scale > 0, 1.0 / np.where(scale > 0, scale, 1.0), 0.0)
+    for _ in range(max_iter):
+        moved = np.zeros(len(left))
+        for j in range(len(a)):
+            step = (a[j] * r).sum(axis=0)
+            step += w[j] * scale[j]
+            step -= limit
+            step *= over[j]
+            np.maximum(step, 0.0, out=step)
+            step -= w[j]
+            if step.any():
+                r -= a[j] * step
+                w[j] += step
+                np.maximum(moved, np.abs(step, out=step), out=moved)
+        ended = going & (moved <= tol)
+        if ended.any():
+            out[:, left[ended]] = w[:, ended]
+            going &= ~ended
+            if not going.any():
+                return out
+            if going.sum() < 0.7 * len(going):  # the others are left behind
+                a, r, w, scale, over, limit, left = np.ascontiguousarray(a[:, :, going]), r[:, going].copy(), w[:, going].copy(), scale[:, going].copy(), over[:, going].copy(), limit[going], left[going]
+                going = np.ones(len(left), dtype=bool)
+    out[:, left[going]] = w[:, going]
+    return out
+
+
 def pair_correlations(e: np.ndarray, t: np.ndarray, x: np.ndarray, missing: np.ndarray, piece: np.ndarray | None = None, keep: str = "all") -> tuple[np.ndarray, ...]:
     """(a, b, r, n) of pairs of members a < b: entry k is x[k] of member e[k] at place t[k], or missing.
 

@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -177,21 +178,68 @@ def matched_ions(batch: pa.RecordBatch, shifts: list[tuple[str, float]], ppm: fl
 def deconvolved(fragments: DataFrame, predictions: DataFrame, alpha: float = 0.1, least: float = 1e-10) -> DataFrame:
     """(scannr, peptidoform, coefficient): peptidoforms that a non-negative Lasso keeps to explain a scan's peaks.
 
-    fragments: scannr, peak_identifier, peptidoform, fragment_name, fragment_intensity. One Arrow group per scan.
+    fragments: scannr, peak_identifier, peptidoform, fragment_name, fragment_intensity. Scans lie in order in their partition,
+    and those of a few Arrow batches are solved together, so a scan costs no call of its own. A peak's intensity is that of its
+    first row by peptidoform and fragment, the least of equal ones.
     """
+    rows = fragments.join(predictions.select("peptidoform", "fragment_name", "predicted"), ["peptidoform", "fragment_name"], "left").fillna(0.0, ["predicted"])
+    rows = rows.select("scannr", "peak_identifier", "peptidoform", "fragment_name", F.col("fragment_intensity").cast("double").alias("fragment_intensity"), F.col("predicted").cast("double").alias("predicted"))
+    rows = rows.repartition("scannr").sortWithinPartitions("scannr", "peak_identifier", "peptidoform", "fragment_name", F.col("fragment_intensity").asc_nulls_last(), "predicted")
 
-    def run(table: pa.Table) -> pa.Table:
-        pdf = table.to_pandas().sort_values(["peak_identifier", "peptidoform", "fragment_name"])
-        y = pdf.groupby("peak_identifier")["fragment_intensity"].first().fillna(0.0)
-        total = y.sum()
-        x = pdf.pivot_table(index="peak_identifier", columns="peptidoform", values="predicted", aggfunc="sum", fill_value=0.0)
-        w, _ = K.nn_lasso(x.to_numpy(float), (y / total if total else y).to_numpy(float), alpha)
-        kept = np.flatnonzero(w > least)
-        scan = pa.array([pdf["scannr"].iloc[0]] * len(kept), pa.string())
-        return pa.table({"scannr": scan, "peptidoform": pa.array([str(x.columns[k]) for k in kept], pa.string()), "coefficient": pa.array(w[kept])})
+    most = LASSO_ROWS
 
-    rows = fragments.join(predictions.select("peptidoform", "fragment_name", "predicted"), ["peptidoform", "fragment_name"], "left").fillna(0.0, ["predicted"])
-    return rows.groupBy("scannr").applyInArrow(run, "scannr string, peptidoform string, coefficient double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= most:
+                table = pa.Table.from_batches(held)
+                scan = pc.rank(table["scannr"].combine_chunks(), "ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+                start = int(np.searchsorted(scan, scan[-1]))  # the last scan may go on
+                if start:
+                    yield from solved(table.slice(0, start), alpha, least).to_batches()
+                    held = table.slice(start).to_batches()
+        if held:
+            yield from solved(pa.Table.from_batches(held), alpha, least).to_batches()
+
+    return rows.mapInArrow(run, "scannr string, peptidoform string, coefficient double")
+
+
+#: Rows of whole scans that are solved together; a scan of more rows is held alone.
+LASSO_ROWS = 500_000
+
+
+def solved(table: pa.Table, alpha: float, least: float) -> pa.Table:
+    """The coefficients of the scans of a table that is in order of scan, peak, peptidoform, fragment and intensity."""
+    table = table.filter(pc.and_(pc.is_valid(table["peak_identifier"]), pc.is_valid(table["peptidoform"]))).combine_chunks()
+    if not table.num_rows:
+        return pa.table({"scannr": pa.array([], pa.string()), "peptidoform": pa.array([], pa.string()), "coefficient": pa.array([], pa.float64())})
+    dense = lambda name: pc.rank(table[name], "ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64) - 1
+    scan, peak, form = dense("scannr"), dense("peak_identifier"), dense("peptidoform")
+    bounds = np.searchsorted(scan, np.arange(scan[-1] + 2))
+    intensity, predicted = table["fragment_intensity"].to_numpy(), np.nan_to_num(table["predicted"].to_numpy())
+    problems: dict[tuple[int, int], list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = {}
+    for k, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        peaks, i = np.unique(peak[low:high], return_inverse=True)
+        forms, j = np.unique(form[low:high], return_inverse=True)
+        x = np.bincount(i * len(forms) + j, predicted[low:high], len(peaks) * len(forms)).reshape(len(peaks), len(forms))
+        y, v = np.zeros(len(peaks)), intensity[low:high]
+        known = np.flatnonzero(~np.isnan(v))[::-1]  # the first of a peak is put last
+        y[i[known]] = v[known]
+        total = y.sum()
+        problems.setdefault(tuple(1 << (size - 1).bit_length() for size in x.shape), []).append((low, x, y / total if total else y, forms))
+    scans, found, weights = [], [], []
+    for (height, width), same in problems.items():  # filled up to like sizes
+        a, r = np.zeros((width, height, len(same))), np.zeros((height, len(same)))
+        for k, (_, x, y, _) in enumerate(same):
+            a[: x.shape[1], : len(y), k], r[: len(y), k] = (x - x.mean(axis=0)).T, y - y.mean()
+        w = K.nn_lassos(a, r, np.array([len(p[2]) for p in same], dtype=float), alpha)
+        at, kept = np.nonzero(w.T > least)
+        scans.append(np.array([p[0] for p in same])[at])
+        found.append(np.array([same[k][3][j] for k, j in zip(at, kept)], dtype=int))
+        weights.append(w[kept, at])
+    order = np.unique(form, return_index=True)[1]  # a row of each peptidoform
+    return pa.table({"scannr": table["scannr"].take(pa.array(np.concatenate(scans))).cast(pa.string()), "peptidoform": table["peptidoform"].take(pa.array(order[np.concatenate(found)])).cast(pa.string()), "coefficient": pa.array(np.concatenate(weights))})
 
 
 def mass_differences(peaks: DataFrame, keys: list[str], mz: str = "mz", tolerance: float = 0.5, residues: dict[str, float] | None = None) -> DataFrame:

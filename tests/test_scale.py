@@ -1,11 +1,13 @@
 """Rows that operators make and put through a shuffle on the way to their result, and the same results by plainer means."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spectraloom.functions import expr as X
+from spectraloom.functions import kernels as K
 from spectraloom.operators import aggregates as A
 from spectraloom.operators import fragments as M
 from spectraloom.operators import spectra as S
@@ -76,3 +78,27 @@ def test_average_ranks_order_no_partition_in_one_task(spark):
     assert sorted(map(str, A.average_ranks(text, ["g"], "v", "r").collect())) == sorted(map(str, want.collect()))
     windows = [line for line in plan(A.average_ranks(df, ["g"], "v", "r")).splitlines() if "Window" in line]
     assert windows and all("__range" in line for line in windows)
+
+
+@pytest.mark.parametrize("held", [50, 100_000])
+def test_lasso_solves_scans_together(spark, monkeypatch, held):
+    draw = np.random.default_rng(0)
+    rows = [(f"s{s}", int(p), f"f{draw.integers(9)}", f"n{draw.integers(4)}", float(draw.random()) if draw.random() > 0.05 else None) for s in range(30) for p in draw.integers(1, 8, 40)]
+    names = ["scannr", "peak_identifier", "peptidoform", "fragment_name", "fragment_intensity"]
+    given = {(f"f{f}", f"n{n}"): float(draw.random()) for f in range(9) for n in range(3)}
+    pdf = pd.DataFrame(rows, columns=names).sort_values(names)
+    pdf["predicted"] = [given.get(k, 0.0) for k in zip(pdf["peptidoform"], pdf["fragment_name"])]
+    want = {}
+    for s, one in pdf.groupby("scannr"):
+        y = one.groupby("peak_identifier")["fragment_intensity"].first().fillna(0.0)
+        x = one.pivot_table(index="peak_identifier", columns="peptidoform", values="predicted", aggfunc="sum", fill_value=0.0)
+        want |= {(s, c): v for c, v in zip(x.columns, K.nn_lasso(x.to_numpy(float), (y / y.sum()).to_numpy(float), 0.001)[0]) if v > 1e-10}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        rows_of = spark.createDataFrame(rows, "scannr string, peak_identifier int, peptidoform string, fragment_name string, fragment_intensity double")
+        monkeypatch.setattr(S, "LASSO_ROWS", held)
+        got = S.deconvolved(rows_of, spark.createDataFrame([(*k, v) for k, v in given.items()], "peptidoform string, fragment_name string, predicted double"), 0.001)
+        assert "FlatMapGroups" not in plan(got)  # no call for each scan
+        assert {(r["scannr"], r["peptidoform"]): r["coefficient"] for r in got.collect()} == pytest.approx(want, abs=1e-9)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
