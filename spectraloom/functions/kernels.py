@@ -114,6 +114,34 @@ def pair_correlations(e: np.ndarray, t: np.ndarray, x: np.ndarray, missing: np.n
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
+def unit_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows centred and scaled to length 1, which of them vary); those that do not vary are 0."""
+    if not x.size:
+        return x, np.zeros(len(x), dtype=bool)
+    mean = x.mean(axis=1, keepdims=True)
+    centred = x - mean
+    length = np.sqrt((centred * centred).sum(axis=1))
+    varies = ~(length <= np.sqrt(x.shape[1]) * 1e-9 * (1 + np.abs(mean[:, 0])))
+    return np.where(varies[:, None], centred / np.where(varies, length, 1.0)[:, None], 0.0), varies
+
+
+def squared_pairs(unit: np.ndarray) -> np.ndarray:
+    """Ascending squares of the products of all pairs of different rows, each pair in both orders."""
+    square = (unit @ unit.T)[np.tril_indices(len(unit), -1)] ** 2
+    return np.repeat(np.sort(square), 2)
+
+
+def matrix_features(x: np.ndarray, p: np.ndarray, observed: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, ...]:
+    """(squared correlations of rows, of observed columns, each row's correlation with p, its number of entries but 0); the last two without `pairs`."""
+    unit, varies = unit_rows(x)
+    own, known = unit_rows(p[None, :])
+    c, n = unit @ own[0] if known[0] else np.zeros(len(x)), (x != 0).sum(axis=1).astype(float)
+    if not pairs:
+        return c, n
+    across, across_varies = unit_rows(x.T[observed])
+    return squared_pairs(unit[varies]), squared_pairs(across[across_varies]), c, n
+
+
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Continued fraction of the incomplete beta function, by Lentz, for arrays."""
     tiny, c = 1e-300, np.ones_like(x)

@@ -7,6 +7,8 @@ peptidoforms may have any fragments, and what a score does not need is pruned fr
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -86,18 +88,6 @@ def unit_vector(x: Column) -> Column:
     return F.element_at(F.transform(F.array(mean), scaled), 1)
 
 
-def squared_pairs(vectors: Column) -> Column:
-    """Ascending squares of the products of all pairs of different unit vectors, each pair in both orders; null vectors are left out."""
-    known = F.filter(vectors, lambda v: v.isNotNull())
-
-    def pairs(v: Column) -> Column:
-        below = F.transform(v, lambda a, i: F.transform(F.slice(v, 1, i), lambda b: F.pow(dot(a, b), F.lit(2.0))))
-        return F.flatten(below)
-
-    once = F.element_at(F.transform(F.array(known), pairs), 1)
-    return F.sort_array(F.element_at(F.transform(F.array(once), lambda o: F.concat(o, o)), 1))
-
-
 def matrices(fragments: DataFrame, predictions: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """One row per peptidoform: psms (array of struct(psm_id, x)), p, observed and apex (array of struct(q, i)).
 
@@ -147,7 +137,7 @@ def added(x: Column | str) -> Column:
 
 def psm_scores(m: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Correlation with the prediction and number of observed fragments of each PSM, from `matrices`."""
-    own = corr_features(m, keys).select(*keys, F.inline(F.arrays_zip(F.transform("psms", lambda r: r["psm_id"]).alias("psm_id"), F.col("c").alias("correlation"), F.col("n").alias("n"))))
+    own = corr_features(m.select(*keys, "psms", "p", "observed"), keys, pairs=False).select(*keys, F.inline(F.arrays_zip(F.transform("psms", lambda r: r["psm_id"]).alias("psm_id"), F.col("c").alias("correlation"), F.col("n").alias("n"))))
     return own.select(*keys, "psm_id", "correlation", F.col("n").cast("long").alias("n_observed"))
 
 
@@ -167,23 +157,38 @@ def apex_scores(m: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return units.select(*keys, F.coalesce(dot(F.col("uq"), F.col("ui")), F.lit(0.0)).alias("apex_correlation"), F.when(length > 0, dot(F.col("q"), F.col("i")) / length).otherwise(0.0).alias("apex_cosine"))
 
 
-def corr_features(m: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+def corr_features(m: DataFrame, keys: list[str] = KEYS, pairs: bool = True) -> DataFrame:
     """The columns of `matrices`, and psm_matrix, fragment_matrix (ascending squared correlations between PSMs and between
-    observed fragments), c and n (each PSM's correlation with the prediction and its number of observed fragments).
+    observed fragments; not without `pairs`), c and n (each PSM's correlation with the prediction and its number of observed fragments).
 
-    Vectors are multiplied as arrays in the JVM: no pairs of rows, no Python. A peptidoform's row holds all its PSMs.
+    Vectors are multiplied as matrices in Arrow batches: no pairs of rows. A peptidoform's row holds all its PSMs.
     """
-    columns = F.transform("observed", lambda o, i: F.when(o == 1, F.transform("psms", lambda r: F.get(r["x"], i))))
-    out = m.withColumns({"__units": F.transform("psms", lambda r: unit_vector(r["x"])), "__columns": F.filter(columns, lambda c: c.isNotNull()), "__p": unit_vector(F.col("p"))})
-    out = out.withColumns(
-        {
-            "psm_matrix": squared_pairs(F.col("__units")),
-            "fragment_matrix": squared_pairs(F.transform("__columns", unit_vector)),
-            "c": F.transform("__units", lambda u: F.coalesce(dot(u, F.col("__p")), F.lit(0.0))),
-            "n": F.transform("psms", lambda r: F.size(F.filter(r["x"], lambda v: v != 0)).cast("double")),
-        }
-    )
-    return out.drop("__units", "__columns", "__p")
+    doubles = T.ArrayType(T.DoubleType())
+    added = ["psm_matrix", "fragment_matrix", "c", "n"] if pairs else ["c", "n"]
+    schema = T.StructType([*m.schema.fields, *(T.StructField(name, doubles) for name in added)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            psms = batch.column("psms")
+            x = psms.flatten().field("x")
+            sizes = psms.value_lengths().to_numpy()
+            width = batch.column("p").value_lengths().to_numpy()
+            values, p, observed = x.flatten().to_numpy(zero_copy_only=False), batch.column("p").flatten().to_numpy(zero_copy_only=False), batch.column("observed").flatten().to_numpy(zero_copy_only=False)
+            places, at = np.concatenate([[0], np.cumsum(sizes * width)]), np.concatenate([[0], np.cumsum(width)])
+            made: dict[str, list[np.ndarray]] = {name: [] for name in added}
+            for k, (rows, columns) in enumerate(zip(sizes, width)):
+                own, seen = values[places[k] : places[k + 1]].reshape(rows, columns), observed[at[k] : at[k + 1]] == 1
+                for name, found in zip(added, K.matrix_features(own, p[at[k] : at[k + 1]], seen, pairs)):
+                    made[name].append(found)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(lists(made[name]) for name in added)], names=schema.names)
+
+    return m.mapInArrow(run, schema)
+
+
+def lists(arrays: list[np.ndarray]) -> pa.Array:
+    """Arrays of doubles as one list column."""
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0), *arrays])))
 
 
 QUANTILES = (0, 25, 50, 75, 100)

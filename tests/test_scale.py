@@ -102,3 +102,13 @@ def test_lasso_solves_scans_together(spark, monkeypatch, held):
         assert {(r["scannr"], r["peptidoform"]): r["coefficient"] for r in got.collect()} == pytest.approx(want, abs=1e-9)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_correlations_of_a_matrix():
+    x = np.random.default_rng(2).random((5, 7))
+    x[3] = 0.4  # does not vary
+    observed = np.array([True, True, False, True, True, False, True])
+    rows, columns, c, n = K.matrix_features(x, x[0] * 2, observed)
+    lower = lambda m: np.sort(np.repeat(np.corrcoef(m)[np.tril_indices(len(m), -1)] ** 2, 2))
+    assert rows == pytest.approx(lower(x[[0, 1, 2, 4]])) and columns == pytest.approx(lower(x.T[observed]))
+    assert c == pytest.approx([1.0, *(np.corrcoef(x[0], x[k])[0, 1] for k in (1, 2)), 0.0, np.corrcoef(x[0], x[4])[0, 1]]) and list(n) == [7.0] * 5
