@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,6 +12,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """The table, evaluated once for all that reads it inside the block; if the caller holds it already, it stays held."""
+    if df.storageLevel.useMemory or df.storageLevel.useDisk:
+        yield df
+        return
+    df = df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 def top_by(df: DataFrame, keys: list[str], value: str, *ties: str) -> DataFrame:
     """The row of each key with the greatest value; ties go to the smallest of `ties`, then of the other columns. Null is below all values.
 
@@ -88,10 +103,9 @@ def exact_percentile(df: DataFrame, value: Column, q: float, accuracy: int = 10_
     """
     v = df.select(value.cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
     shares = [max(q / 100 - 2 / accuracy, 0.0), min(q / 100 + 2 / accuracy, 1.0)]
-    n, low, high = v.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    n, low, high, bounds = v.agg(F.count(F.lit(1)), F.min("v"), F.max("v"), F.percentile_approx("v", shares, accuracy)).first()
     if not n:
         return None
-    bounds = v.agg(F.percentile_approx("v", shares, accuracy)).first()[0]
     low, high = bounds[0] if shares[0] > 0 else low, bounds[1] if shares[1] < 1 else high
     inside = v.where(F.col("v").between(low, high))
     place = q / 100 * (n - 1)

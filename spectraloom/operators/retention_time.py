@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -13,7 +14,12 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import RESIDUES
 from ..schemas import require_columns
-from .aggregates import exact_percentile, top_by
+from .aggregates import exact_percentile, held, top_by
+
+MODIFICATION = re.compile(r"\[.*?\]")
+OTHER = len(RESIDUES)  # the code of what is no residue
+CODES = np.full(128, OTHER)
+CODES[[ord(r) for r in RESIDUES]] = range(OTHER)
 
 
 def rt_features(psms: DataFrame, predictions: DataFrame, limit: float = 0.2, absolute: bool = True, relative: bool = True) -> DataFrame:
@@ -46,9 +52,18 @@ class RtProvider(Protocol):
 
 def composition(peptides: pd.Series, ends: int = 0) -> np.ndarray:
     """Residue counts, length and a constant; with `ends`, also which residues stand at so many places from either end."""
-    bare = peptides.fillna("").str.replace(r"\[.*?\]", "", regex=True)
-    places = [bare.str.get(i) == r for i in (*range(ends), *range(-ends, 0)) for r in RESIDUES]
-    return np.column_stack([*(bare.str.count(r) for r in RESIDUES), bare.str.len(), *places, np.ones(len(bare))]).astype(float)
+    bare = [MODIFICATION.sub("", p) if "[" in p else p for p in peptides.fillna("")]
+    n, size = len(bare), np.fromiter(map(len, bare), int, len(bare))
+    points = np.frombuffer("".join(bare).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = CODES[np.minimum(points, 127)]
+    counts = np.bincount(np.repeat(np.arange(n), size) * (OTHER + 1) + codes, minlength=n * (OTHER + 1)).reshape(n, OTHER + 1)
+    places = []
+    for i in (*range(ends), *range(-ends, 0)):
+        there = size > i if i >= 0 else size >= -i
+        code = np.full(n, OTHER)
+        code[there] = codes[(np.cumsum(size) + np.where(i >= 0, -size, 0) + i)[there]]
+        places.append(code[:, None] == np.arange(OTHER))
+    return np.column_stack([counts[:, :OTHER], size, *places, np.ones(n)]).astype(float)
 
 
 @dataclass(frozen=True)
@@ -73,11 +88,12 @@ class CompositionRt:
                 b += x.T @ pdf["rt"].to_numpy(float)
             yield pd.DataFrame({"k": range(n * n + n), "v": np.concatenate([a.ravel(), b])})
 
-        got = training.select("peptide", "rt").mapInPandas(sums, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas().sort_values("k")["v"].to_numpy()
+        parts = training.select("peptide", "rt").mapInPandas(sums, "k int, v double").repartition(8, "k")  # a partition's sums are few: no file for each of many tasks
+        got = parts.groupBy("k").agg(F.sum("v").alias("v")).toPandas().sort_values("k")["v"].to_numpy()
         if not len(got):
             return lambda peptides: pd.Series(np.zeros(len(peptides)))
         w = np.linalg.solve(got[: n * n].reshape(n, n) + self.ridge * np.eye(n), got[n * n :])
-        return lambda peptides: pd.Series(composition(peptides, ends) @ w)
+        return lambda peptides: pd.Series((composition(peptides, ends) * w).sum(axis=1))  # a peptide's sum, whatever its batch
 
 
 def predict_rt(peptides: DataFrame, model: Callable[[pd.Series], pd.Series]) -> DataFrame:
@@ -97,21 +113,35 @@ def training_rows(psms: DataFrame, q: float = 0.01) -> DataFrame:
 
 def below_percentile(df: DataFrame, column: str, q: float) -> DataFrame:
     """Rows strictly below the exact percentile of the column."""
-    return df.where(F.col(column) < F.lit(exact_percentile(df, F.col(column), q)).cast("double"))
+    with held(df.select(column)) as values:
+        limit = exact_percentile(values, F.col(column), q)
+    return df.where(F.col(column) < F.lit(limit).cast("double"))
 
 
-def retrained(psms: DataFrame, provider: RtProvider | None = None, exclude: float = 95, q: float = 0.01) -> tuple[Callable, Callable, float]:
-    """(first model, model fitted again without the worst errors, twice the 95th percentile of its errors)."""
-    provider = provider or CompositionRt()
-    rows = training_rows(psms, q)
+def with_errors(rows: DataFrame, model: Callable[[pd.Series], pd.Series]) -> DataFrame:
+    """Rows that have a peptide, with rt_predictions and error; each row is predicted where it is, so nothing is joined."""
+
+    @F.pandas_udf("double")
+    def predicted(peptides: pd.Series) -> pd.Series:
+        return pd.Series(model(peptides).to_numpy(float))
+
+    out = rows.where("peptide IS NOT NULL").withColumn("rt_predictions", predicted("peptide"))
+    return out.withColumn("error", F.abs(F.col("rt") - F.col("rt_predictions")))
 
-    def errors(rows: DataFrame, model: Callable) -> DataFrame:
-        return rows.join(predict_rt(rows, model), "peptide").withColumn("error", F.abs(F.col("rt") - F.col("rt_predictions")))
 
-    first = provider.fit(rows)
-    good = below_percentile(errors(rows, first), "error", exclude).select("peptide", "rt")
-    second = provider.fit(good)
-    width = exact_percentile(errors(good, second), F.col("error"), 95)
+def retrained(psms: DataFrame, provider: RtProvider | None = None, exclude: float = 95, q: float = 0.01) -> tuple[Callable, Callable, float]:
+    """(first model, model fitted again without the worst errors, twice the 95th percentile of its errors).
+
+    The training rows are taken from the PSMs once and held, as are their errors, which the percentiles read several times.
+    """
+    provider = provider or CompositionRt()
+    with held(training_rows(psms, q)) as rows:
+        first = provider.fit(rows)
+        with held(with_errors(rows, first).select("peptide", "rt", "error")) as judged:
+            good = below_percentile(judged, "error", exclude).select("peptide", "rt")
+            second = provider.fit(good)
+            with held(with_errors(good, second).select("error")) as errors:
+                width = exact_percentile(errors, F.col("error"), 95)
     return first, second, 2.0 * (width or 0.0)
 
 

@@ -10,6 +10,7 @@ from spectraloom.functions import expr as X
 from spectraloom.functions import kernels as K
 from spectraloom.operators import aggregates as A
 from spectraloom.operators import fragments as M
+from spectraloom.operators import retention_time as R
 from spectraloom.operators import spectra as S
 
 
@@ -112,3 +113,74 @@ def test_correlations_of_a_matrix():
     lower = lambda m: np.sort(np.repeat(np.corrcoef(m)[np.tril_indices(len(m), -1)] ** 2, 2))
     assert rows == pytest.approx(lower(x[[0, 1, 2, 4]])) and columns == pytest.approx(lower(x.T[observed]))
     assert c == pytest.approx([1.0, *(np.corrcoef(x[0], x[k])[0, 1] for k in (1, 2)), 0.0, np.corrcoef(x[0], x[4])[0, 1]]) and list(n) == [7.0] * 5
+
+
+def test_retraining_takes_its_rows_once_and_predicts_each_once(spark):
+    read, predicted = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    class Counting:
+        def fit(self, training):
+            model = R.CompositionRt(1e-3).fit(training)
+
+            def run(peptides):
+                predicted.add(len(peptides))
+                return model(peptides)
+
+            return run
+
+    rows = [(k, "".join("GASPVTC"[int(x)] for x in np.base_repr(k // 2, 7)), float(k * k * 37 % 501) / 10, float(k % 5), 0.001) for k in range(400)]
+    rows += [(400, None, 3.0, 1.0, 0.001), (401, "WW", None, 1.0, 0.001), (402, "KK", float("nan"), 1.0, 0.001), (403, "KKK", 1.0, 1.0, 0.5)]
+    schema = "psm_id long, peptide string, rt double, fragment_intensity double, spectrum_q double"
+    psms = spark.createDataFrame(rows, schema)
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    _, second, width = R.retrained(psms.mapInPandas(counted, schema), Counting())
+    assert read.value == len(rows)
+    assert 300 < predicted.value <= 202 + 200  # all with a peptide by the first model, the good ones by the second
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    best = {}
+    for k, p, rt, i, q in rows:
+        if q < 0.01 and p is not None and (p not in best or (-i, k) < best[p][0]):
+            best[p] = ((-i, k), rt)
+    have = pd.DataFrame([(p, rt) for p, (_, rt) in best.items() if rt is not None and rt == rt], columns=["peptide", "rt"])
+
+    def solved(t):
+        x = R.composition(t["peptide"])
+        return np.linalg.solve(x.T @ x + 1e-3 * np.eye(x.shape[1]), x.T @ t["rt"])
+
+    error = (have["rt"] - R.composition(have["peptide"]) @ solved(have)).abs()
+    good = have[error < np.percentile(error, 95)]
+    w = solved(good)
+    assert len(good) < len(have) and width == pytest.approx(2 * np.percentile((good["rt"] - R.composition(good["peptide"]) @ w).abs(), 95))
+    assert second(have["peptide"]).to_numpy() == pytest.approx(R.composition(have["peptide"]) @ w)
+    assert list(second(have["peptide"])) == [second(have["peptide"][k : k + 1])[0] for k in range(len(have))]  # the same number in any batch
+    read.value = 0
+    low = R.below_percentile(psms.mapInPandas(counted, schema), "fragment_intensity", 50)
+    assert read.value == len(rows) and low.count() == sum(r[3] < np.percentile([r[3] for r in rows], 50) for r in rows)
+
+
+def test_a_table_held_by_its_caller_stays_held(spark):
+    df = spark.range(10).select((F.col("id") * 1.0).alias("v")).persist()
+    try:
+        assert R.below_percentile(df.select("v"), "v", 50).count() == 5
+        with A.held(df) as same:
+            assert same.count() == 10
+        assert df.storageLevel.useMemory
+    finally:
+        df.unpersist()
+
+
+@pytest.mark.parametrize("ends", [0, 2])
+def test_composition_counts_as_plain_text_functions_do(ends):
+    letters = list("GASPVTCLINDQKEMHFRYWXga[]\n\u00e9\U0001f600.")
+    draw = np.random.default_rng(3)
+    texts = pd.Series(["", None, "A", "[x]A", "A[", "]A[", "A[\n]C", "P[+15.9]EP[]K", *("".join(draw.choice(letters, draw.integers(0, 12))) for _ in range(500))], index=range(7, 515))
+    bare = texts.fillna("").str.replace(r"\[.*?\]", "", regex=True)
+    places = [bare.str.get(i) == r for i in (*range(ends), *range(-ends, 0)) for r in X.RESIDUES]
+    want = np.column_stack([*(bare.str.count(r) for r in X.RESIDUES), bare.str.len(), *places, np.ones(len(bare))]).astype(float)
+    got = R.composition(texts, ends)
+    assert got.dtype == want.dtype and np.array_equal(got, want) and R.composition(texts[:0], ends).shape == (0, want.shape[1])
