@@ -6,32 +6,76 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: A side is broadcast only below this estimate of its size; above, Spark shuffles both sides on the bucket.
+#: A side is broadcast only below this size, by the optimizer's estimate and by its rows; above, both sides are shuffled on the bucket.
 BROADCAST_BYTES = 32 << 20
+#: Ranges of a bucket that meet a point in one task; a bucket with more is cut into pieces of about so many.
+PIECE_RANGES = 1 << 16
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether df is proven small enough to broadcast.
+
+    The optimizer's estimate is of compressed files and can be a hundredth of the rows' size in memory, so a side that
+    passes it is counted as well, up to the first row too many. A row is taken to have its types' default size.
+    """
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > BROADCAST_BYTES:
+        return False
+    most = BROADCAST_BYTES // (df._jdf.schema().defaultSize() + 32)
+    return df.limit(most + 1).count() <= most
 
 
 def maybe_broadcast(df: DataFrame) -> DataFrame:
-    """A broadcast hint if the optimizer's size estimate proves the side small."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    """A hint to broadcast a side that is proven small and to merge any other, which Spark's own estimate might broadcast."""
+    return df.hint("broadcast" if is_small(df) else "merge")
 
 
 def range_join(points: DataFrame, ranges: DataFrame, at: Column, low: Column, high: Column, width: float, on: list[str] = [], how: str = "inner", small: bool = True) -> DataFrame:
     """Rows of both sides with low <= at <= high (and equal `on` columns).
 
     Ranges are dealt to every bucket of `width` that they touch and points to their own, so the join has an
-    equality that hashes; each pair comes once. Choose a width near the usual length of a range. small=False never
-    broadcasts the ranges: where they are as many as the points, the estimate of compressed files says too little.
+    equality that hashes; each pair comes once. Choose a width near the usual length of a range. Ranges that are not
+    small meet the points packed (`packed_pairs`). small=False never broadcasts or packs the ranges: for those that
+    are as many as the points and hardly ever equal.
     """
     p = points.withColumn("__bucket", F.floor(at / width).cast("long")).withColumn("__at", at)
     r = ranges.withColumns({"__low": low, "__high": high}).where("__low <= __high")
     r = r.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("__low") / width).cast("long"), F.floor(F.col("__high") / width).cast("long"))))
-    pairs = p.join(maybe_broadcast(r) if small else r.hint("merge"), [*on, "__bucket"], "inner").where("__at between __low and __high")
+    few = small and is_small(r)
+    if small and not few and how == "inner":
+        return packed_pairs(p, r, points.columns, ranges.columns, on)
+    pairs = p.join(r.hint("broadcast" if few else "merge"), [*on, "__bucket"], "inner").where("__at between __low and __high")
     if how == "left_semi":
         return pairs.select(*points.columns).distinct()
     return pairs.drop("__bucket", "__at", "__low", "__high")
 
 
+def packed_pairs(p: DataFrame, r: DataFrame, points: list[str], ranges: list[str], on: list[str]) -> DataFrame:
+    """The pairs of a range join by shuffles alone; both sides have their columns and `on`, __bucket and __at or __low, __high.
+
+    Equal ranges of a bucket become one row with an array of what they carry: a point is compared with each range once and
+    its pairs are the elements. A bucket of very many ranges is cut into pieces, which its points meet in several tasks, so
+    neither arrays nor the rows that a merge holds of a key grow with the table. Only the extent and counts of the ranges
+    reach the driver; points outside that extent are not shuffled.
+    """
+    keys = [*on, "__bucket"]
+    counts = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("__count"), F.min("__low").alias("__low"), F.max("__high").alias("__high"))
+    cut = F.col("__count") > PIECE_RANGES
+    total, hot, least, most = counts.agg(F.coalesce(F.sum("__count"), F.lit(0)), F.count_if(cut), F.min("__low"), F.max("__high")).first()
+    p = p.where(F.col("__at").between(F.lit(least), F.lit(most)))
+    if hot:
+        pieces = counts.where(cut).select(*keys, F.ceil(F.col("__count") / PIECE_RANGES).cast("int").alias("__pieces"))
+        pieces = pieces.hint("broadcast" if hot <= 100_000 else "merge")
+        p, r = (df.join(pieces, keys, "left").withColumn("__pieces", F.coalesce("__pieces", F.lit(1))) for df in (p, r))
+        p = p.withColumn("__piece", F.explode(F.sequence(F.lit(0), F.col("__pieces") - 1)))
+        r = r.withColumn("__piece", F.pmod(F.xxhash64(*ranges), F.col("__pieces")).cast("int"))
+        keys = [*keys, "__piece"]
+    n = max(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PIECE_RANGES))
+    carried = [c for c in ranges if c not in on]
+    packed = r.repartition(n, *keys).groupBy(*keys, "__low", "__high").agg(F.collect_list(F.struct(F.lit(0).alias("__one"), *carried)).alias("__packed"))
+    pairs = p.repartition(n, *keys).join(packed.hint("merge"), keys).where("__at between __low and __high")
+    return pairs.select(*on, *(c for c in points if c not in on), F.inline("__packed").alias("__one", *carried)).drop("__one")
+
+
 def interval_overlap_join(left: DataFrame, right: DataFrame, left_low: str, left_high: str, right_low: str, right_high: str, width: float) -> DataFrame:
     """Pairs of rows whose closed intervals overlap.
 

@@ -10,6 +10,7 @@ from spectraloom.functions import expr as X
 from spectraloom.functions import kernels as K
 from spectraloom.operators import aggregates as A
 from spectraloom.operators import fragments as M
+from spectraloom.operators import joins as J
 from spectraloom.operators import retention_time as R
 from spectraloom.operators import spectra as S
 
@@ -44,6 +45,34 @@ def test_mass_differences_make_three_rows_of_a_peak_at_most(spark):
     assert S.mass_differences(peaks, ["scan"], residues={}).count() == 0
 
 
+@pytest.mark.parametrize("piece", [1 << 16, 100])
+def test_ranges_that_only_look_small_are_not_broadcast(spark, tmp_path, monkeypatch, piece):
+    nan = float("nan")
+    targets = spark.range(1500).select(F.col("id").alias("target"), F.when(F.col("id") % 250 > 0, 450 + F.floor(F.col("id") / 500) * 0.06).alias("target_mz"), F.lit("a").alias("file"))  # few masses
+    targets = targets.union(spark.createDataFrame([(-1, 450.06, None), (None, 450.0, "a"), (None, 450.0, "a"), (-2, nan, "a"), (-3, -0.0, "b"), (-4, 449.99, "b")], "target long, target_mz double, file string"))
+    targets.coalesce(1).write.parquet(str(tmp_path / "targets"))
+    targets = spark.read.parquet(str(tmp_path / "targets"))
+    peaks = [(k, 450 + k * 0.003, "ab"[k % 2]) for k in range(-20, 60)] + [(100, 450.0 - 450.0 * 20 * 1e-6, "a"), (101, nan, "a"), (102, 0.0, "b"), (103, None, "a"), (104, 450.0, None), (105, 900.0, "a"), (105, 450.06, "a")]
+    peaks = spark.createDataFrame(peaks, "scan int, mz double, file string")
+    within = "mz BETWEEN target_mz - target_mz * 20.0D * 1e-6D AND target_mz + target_mz * 20.0D * 1e-6D"
+    shown = lambda df: sorted(map(str, df.selectExpr("scan", "mz", "target", "target_mz", "file").collect()))
+    monkeypatch.setattr(J, "BROADCAST_BYTES", 64 << 10)
+    monkeypatch.setattr(J, "PIECE_RANGES", piece, raising=False)
+    assert int(str(targets._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < J.BROADCAST_BYTES
+    for on in ([], ["file"]):
+        right = targets if on else targets.drop("file")
+        got = J.ppm_range_join(peaks, right, on=on)
+        want = peaks.join(right, on).where(within) if on else peaks.crossJoin(right).where(within)
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString() or piece == 100  # but the few pieces
+        assert len(shown(want)) > 1000 and shown(got) == shown(want) and got.columns == [*on, *(c for c in ("scan", "mz", "file", "target", "target_mz") if c not in on)]
+    assert J.ppm_range_join(peaks, targets.drop("file", "target")).count() == peaks.crossJoin(targets.drop("file")).where(within).count()
+    spans = targets.select("target", F.col("target_mz").alias("low"), (F.col("target_mz") + 0.05).alias("high"))
+    got = J.interval_overlap_join(peaks.select("scan", F.col("mz").alias("a"), (F.col("mz") + 0.01).alias("b")), spans, "a", "b", "low", "high", 0.05)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    few = J.ppm_range_join(peaks, targets.drop("file").limit(50))
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("keep", ["all", "both", "any"])
 def test_pair_correlations_shuffle_entries_and_cut_large_keys(spark, keep):
     draw = np.random.default_rng(1)
